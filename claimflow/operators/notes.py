@@ -60,16 +60,22 @@ def itemized_totals(notes: DataFrame) -> DataFrame:
     """Sum of a note's top-level cost items, in the note's own currency, beside the stated total.
 
     Indented sub-items and the total line are left out; a difference is reported, not repaired.
+    A note without items has no sum.
     """
-    costs = F.coalesce(*[_first(F.col("text"), rf"(?s)(?:^|\n){h}:\n(.*?)(?:\nTotal|$)") for h in _COST_HEADINGS])
+    text, money = F.col("text"), "decimal(18,2)"
+    costs = F.coalesce(*[_first(text, rf"(?s)(?:^|\n){h}:\n(.*?)(?:(?<=\n)Total|$)") for h in _COST_HEADINGS])
     figures = F.regexp_extract_all(costs, F.lit(_ITEM), F.lit(1))
-    stated = _first(_first(F.col("text"), _TOTAL_LINE), r"([\d,]+(?:\.\d+)?)")
+    stated = _first(_first(text, _TOTAL_LINE), r"([\d,]+(?:\.\d+)?)")
     total = F.aggregate(
-        F.transform(figures, lambda x: F.coalesce(_amount(x), F.lit(0).cast("decimal(18,2)"))),
-        F.lit(0).cast("decimal(28,2)"),
-        lambda acc, x: (acc + x).cast("decimal(28,2)"),
+        F.transform(figures, lambda x: F.coalesce(_amount(x), F.lit(0).cast(money))),
+        F.lit(0).cast(money),
+        lambda acc, x: (acc + x).cast(money),
+    )
+    return notes.select(
+        "file_name",
+        _amount(stated).alias("stated_total"),
+        F.when(F.size(figures) > 0, total).alias("itemized_total"),
     )
-    return notes.select("file_name", _amount(stated).alias("stated_total"), total.cast("decimal(18,2)").alias("itemized_total"))
 
 
 def dataset_notes(extracted: DataFrame) -> DataFrame:

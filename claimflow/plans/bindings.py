@@ -209,7 +209,8 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 0, F.lit("DAMAGE ASSESSMENT:\n"))
         .when(key % 4 == 1, F.lit("OBSERVED DAMAGES:\n"))
         .otherwise(F.lit("INCIDENT DETAILS:\n")),
-        F.col("description"), F.lit("\n\nCOST BREAKDOWN:\n"), total, F.lit("\n\n"),
+        F.col("description"), F.lit("\n\nCOST BREAKDOWN:\n1. Parts: USD 1,000.50\n   - Bolts: USD 5\n- Labor: $"),
+        (key % 100).cast("string"), F.lit("\n"), total, F.lit("\n\n"),
         F.when(key % 3 == 0, F.lit("RECOMMENDATION:\n"))
         .when(key % 3 == 1, F.lit("RECOMMENDATIONS:\n"))
         .otherwise(F.lit("FINDINGS:\n")),

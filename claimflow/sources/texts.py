@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 def read_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
         .select(
             F.col("_metadata.file_name").alias("file_name"),
             F.col("_metadata.file_path").alias("file_path"),
