@@ -3,11 +3,11 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimflow.functions.scalars import is_blank, strip_ws
+from claimflow.functions.scalars import strip_ws
 
-_FIELDS = ["decision", "risk_score", "recommended_payout", "reasoning"]
-_SCHEMA = ", ".join(f"{name} string" for name in _FIELDS) + ", _bad string"
-_OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
+_SCHEMA = "array<struct<decision string, risk_score string, recommended_payout string, reasoning string>>"
+_OPTIONS = {"allowSingleQuotes": "false"}
+_JSON_SPACE = " \t\n\r"
 
 
 def without_fence(text: Column) -> Column:
@@ -17,32 +17,33 @@ def without_fence(text: Column) -> Column:
     return F.when(bare.startswith("```"), F.regexp_replace(opened, r"\s*```$", "")).otherwise(bare)
 
 
-def as_object(text: Column) -> Column:
-    """The four response fields as a struct of text; NULL unless the text is one JSON object.
+def as_objects(text: Column) -> Column:
+    """The JSON objects a text consists of, as an array; NULL where it is not JSON.
 
-    `from_json` on its own also takes text that follows the object. Wrapping the text in
-    brackets and asking for an array of one element rules that out.
+    `from_json` on the bare text would also take text that follows the object. In brackets, the
+    text is read to its end, and `only` then asks for exactly one object.
     """
-    parsed = F.from_json(text, _SCHEMA, _OPTIONS)
-    one_value = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    is_object = text.rlike(r"(?s)^\s*\{.*\}\s*$")
-    return F.when(is_object & one_value & parsed.isNotNull() & parsed["_bad"].isNull(), parsed)
+    bare = F.btrim(text, F.lit(_JSON_SPACE))
+    bracketed = F.concat(F.lit("["), bare, F.lit("]"))
+    return F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(bracketed, _SCHEMA, _OPTIONS))
 
 
-def holds_json(text: Column) -> Column:
-    """True when the whole text is one JSON array, which no response reader accepts."""
-    return F.json_array_length(text).isNotNull()
+def only(objects: Column) -> Column:
+    """The single element of an array of response structs, else NULL."""
+    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
 
 
 def widest_braces(text: Column) -> Column:
     """From the first opening to the last closing brace; NULL when there is no such span."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    start = F.instr(text, "{")
+    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    span = F.substring(text, start, end - start + 1)
+    return F.when((start > 0) & text.contains("}") & (end > start), span)
 
 
-def parsed_response(text: Column) -> Column:
-    """Response struct of a cleaned text: as a whole, else its widest braces, else NULL."""
-    inner = F.when(~holds_json(text), as_object(widest_braces(text)))
-    return F.coalesce(as_object(text), inner)
+def is_json_array(text: Column) -> Column:
+    """True when the whole text is one JSON array, which no response reader accepts."""
+    return F.when(text.startswith("["), F.json_array_length(text).isNotNull()).otherwise(F.lit(False))
 
 
 def clean_completion(text: Column) -> Column:
@@ -53,12 +54,3 @@ def clean_completion(text: Column) -> Column:
     lines = F.replace(inner, F.lit("\\n"), F.lit("\n"))
     return F.replace(F.replace(lines, F.lit("\\t"), F.lit(" ")), F.lit("$"), F.lit("\\$"))
 
-
-__all__ = [
-    "as_object",
-    "clean_completion",
-    "is_blank",
-    "parsed_response",
-    "widest_braces",
-    "without_fence",
-]

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from claimflow import vocab
 
 
+# The white space characters, Unicode included.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_ws(text: Column) -> Column:
-    """Drop all white space at both ends (`trim` drops blanks only)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Drop all white space at both ends (`trim` alone drops blanks only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:

@@ -20,14 +20,18 @@ def parse_decisions(responses_df: DataFrame, on_error: str = "REFER", text: str
     if on_error not in ("REFER", "ERROR"):
         raise ValueError("on_error is REFER or ERROR")
     refer = on_error == "REFER"
-    parsed, clean = F.col("_parsed"), F.col("_clean")
+    parsed, clean, whole = F.col("_parsed"), F.col("_clean"), F.col("_whole")
+    retry = responses.only(whole).isNull() & ~responses.is_json_array(clean)
+    inner = F.when(retry, responses.as_objects(responses.widest_braces(clean)))
     failed = parsed.isNull()
     fallback_score = F.lit("5") if refer else F.lit(None).cast("string")
     fallback_payout = F.lit(0).cast(MONEY) if refer else F.lit(None).cast(MONEY)
     unstated = F.lit("REFER" if refer else "UNKNOWN")
     return (
         responses_df.withColumn("_clean", responses.without_fence(F.col(text)))
-        .withColumn("_parsed", responses.parsed_response(clean))
+        .withColumn("_whole", responses.as_objects(clean))
+        .withColumn("_inner", inner)
+        .withColumn("_parsed", F.coalesce(responses.only(whole), responses.only(F.col("_inner"))))
         .withColumns(
             {
                 "decision": F.when(failed, F.lit(on_error)).otherwise(F.coalesce(parsed["decision"], unstated)),
@@ -38,17 +42,18 @@ def parse_decisions(responses_df: DataFrame, on_error: str = "REFER", text: str
                 "reasoning": F.when(failed, clean).otherwise(parsed["reasoning"]),
             }
         )
-        .drop("_clean", "_parsed")
+        .drop("_clean", "_whole", "_inner", "_parsed")
     )
 
 
 def previous_evaluation(claims: DataFrame) -> DataFrame:
     """Stored evaluations read back; stored columns fill what the stored JSON lacks."""
     decided = claims.filter(~fn.is_blank(F.col("ai_decision")))
-    stored = responses.as_object(F.col("ai_reasoning"))
+    objects = responses.as_objects(F.col("ai_reasoning"))
     has_text = F.coalesce(F.col("ai_reasoning") != "", F.lit(False))
     own_text = F.when(has_text, F.col("ai_reasoning"))
-    return decided.withColumn("_stored", stored).select(
+    read = decided.withColumn("_objects", objects).withColumn("_stored", responses.only(F.col("_objects")))
+    return read.select(
         "claim_id",
         F.coalesce(F.col("_stored")["decision"], "ai_decision").alias("decision"),
         F.coalesce(F.col("_stored")["risk_score"], F.lit("N/A")).alias("risk_score"),

@@ -13,9 +13,8 @@ _TOTAL_LINE = r"(?im)^Total[^:\n]*:\s*(.+)$"
 _USD = r"USD ([\d,]+(?:\.\d+)?)"
 _DOLLAR = r"\$([\d,]+(?:\.\d+)?)"
 _ITEM = r"(?m)^(?:- |\d+\. )?[A-Za-z0-9][^:\n]*: (?:USD |HKD |SGD |\$)([\d,]+(?:\.\d+)?)[ ]*$"
-_DATE_FORMATS = ["yyyy-MM-dd", "MMMM d, yyyy"]
 _DAMAGE_HEADINGS = ["DAMAGE ASSESSMENT", "OBSERVED DAMAGES"]
-_ADVICE_HEADINGS = ["RECOMMENDATIONS?", "FINDINGS"]
+_ADVICE_HEADINGS = ["RECOMMENDATION", "RECOMMENDATIONS", "FINDINGS"]
 _COST_HEADINGS = ["COST BREAKDOWN", "TREATMENT PLAN COSTS"]
 
 
@@ -25,13 +24,21 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 def section(text: Column, heading: str) -> Column:
     """Text below a heading up to the next empty line; NULL when the heading is absent."""
-    return _first(text, rf"(?s)(?:^|\n){heading}:\n(.*?)(?:\n\n|$)")
+    lines = F.concat(F.lit("\n"), text)
+    below = F.split_part(lines, F.lit(f"\n{heading}:\n"), F.lit(2))
+    return F.nullif(F.rtrim(F.split_part(below, F.lit("\n\n"), F.lit(1)), F.lit("\n")), F.lit(""))
 
 
 def _first_section(text: Column, headings: list[str]) -> Column:
     return F.coalesce(*[section(text, h) for h in headings])
 
 
+def _date(written: Column) -> Column:
+    """A date in either of two spellings. The spelling is told apart first: a failed parse is slow."""
+    iso = F.when(written.rlike("^[0-9]{4}-"), F.try_to_date(written, "yyyy-MM-dd"))
+    return F.coalesce(iso, F.when(written.rlike("^[A-Z]"), F.try_to_date(written, "MMMM d, yyyy")))
+
+
 def _amount(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
@@ -42,14 +49,13 @@ def extract_notes(notes: DataFrame) -> DataFrame:
     The amount is the stated gross total in USD: on the total line the figure marked USD, else
     the first one marked $. What a note does not say stays NULL.
     """
-    text = F.col("text")
-    written = _first(text, _DATE)
-    total = _first(text, _TOTAL_LINE)
-    return notes.select(
+    text, written, total = F.col("text"), F.col("_written"), F.col("_total")
+    lines = notes.withColumns({"_written": _first(text, _DATE), "_total": _first(text, _TOTAL_LINE)})
+    return lines.select(
         "file_name",
         _first(text, _CLAIM).alias("claim_id"),
         _first(text, _ADJUSTER).alias("adjuster_name"),
-        F.coalesce(*[F.try_to_date(written, f) for f in _DATE_FORMATS]).cast("string").alias("inspection_date"),
+        _date(written).cast("string").alias("inspection_date"),
         _first_section(text, _DAMAGE_HEADINGS).alias("damage_assessment"),
         _amount(F.coalesce(_first(total, _USD), _first(total, _DOLLAR))).alias("estimated_amount"),
         _first_section(text, _ADVICE_HEADINGS).alias("recommendation"),

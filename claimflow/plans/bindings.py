@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from claimflow import vocab
 from claimflow.functions import scalars as fn
 from claimflow.operators import curate, risk
+from claimflow.session import spread
 
 MONEY = "decimal(18,2)"
 # Codes by index 0..8: the eight markets, then a country outside them.
@@ -44,8 +45,21 @@ VARIABLE_NAMES = {
 }
 
 
+# Declared, so that opening a table reads no file footers.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _nth(options: list[str], index: Column) -> Column:
@@ -176,7 +190,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("  "), F.regexp_replace(body, "}$", "")))
         .otherwise(F.concat(F.lit("I cannot decide on "), F.col("claim_id")))
     )
-    first = raw_claims(spark, sf_dir).select(
+    first = spread(raw_claims(spark, sf_dir)).select(
         "claim_id", F.col("filing_date").alias("decided_at"), text.alias("response")
     )
     repeats = F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -216,13 +230,13 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("FINDINGS:\n")),
         F.lit("Handle "), F.col("claim_id"), F.lit(" as "), F.col("claim_type"), F.lit(".\n"),
     )
-    return raw_claims(spark, sf_dir).select(
+    return spread(raw_claims(spark, sf_dir)).select(
         F.concat(F.lit("note_"), key.cast("string"), F.lit(".txt")).alias("file_name"), text.alias("text")
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("doc_type"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
