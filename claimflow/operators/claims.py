@@ -34,6 +34,11 @@ def ordered(claims: DataFrame) -> DataFrame:
     return claims.orderBy("claim_id")
 
 
+def load_claims(claims_with_risk: DataFrame) -> DataFrame:
+    """The full claim list with the country figures, ordered by id and not limited."""
+    return ordered(claims_with_risk.select(*SCAN_COLUMNS, "population", "disaster_displaced_persons"))
+
+
 def largest(claims: DataFrame, limit: int = 10) -> DataFrame:
     """The largest claims; equal amounts are told apart by id."""
     return (

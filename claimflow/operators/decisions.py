@@ -162,26 +162,39 @@ def apply_decisions(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def batch_evaluate_pending(claims: DataFrame) -> DataFrame:
-    """The next version of the claims table with every pending claim evaluated.
+def evaluate_where(claims: DataFrame, condition: Column) -> DataFrame:
+    """The next version of the claims table with the claims that meet a condition evaluated.
 
     The decision follows from the claim's own row, so the write-back needs no join: one narrow
-    pass over the table.
+    pass over the table. A claim evaluated before is evaluated again.
     """
-    is_pending = F.coalesce(F.col("status") == "Pending", F.lit(False))
+    chosen = F.coalesce(condition, F.lit(False))
     return (
         evaluate(claims)
         .withColumns(
             {
-                "ai_decision": F.when(is_pending, F.col("decision")).otherwise(F.col("ai_decision")),
-                "ai_reasoning": F.when(is_pending, decision_json()).otherwise(F.col("ai_reasoning")),
-                "status": F.when(is_pending, fn.decision_to_status(F.col("decision"))).otherwise(F.col("status")),
+                "ai_decision": F.when(chosen, F.col("decision")).otherwise(F.col("ai_decision")),
+                "ai_reasoning": F.when(chosen, decision_json()).otherwise(F.col("ai_reasoning")),
+                "status": F.when(chosen, fn.decision_to_status(F.col("decision"))).otherwise(F.col("status")),
             }
         )
         .select(*claims.columns)
     )
 
 
+def batch_evaluate_pending(claims: DataFrame) -> DataFrame:
+    """Every pending claim evaluated, in one job."""
+    return evaluate_where(claims, F.col("status") == "Pending")
+
+
+def evaluate_claim(claims: DataFrame, claim_id: str) -> DataFrame:
+    """The evaluation of one claim, whatever its status, as fields and as JSON."""
+    one = evaluate(claims.filter(F.col("claim_id") == F.lit(claim_id)))
+    return one.select(
+        "claim_id", "decision", "risk_score", "recommended_payout", "reasoning", decision_json().alias("result")
+    )
+
+
 def status_transitions(claims: DataFrame) -> DataFrame:
     """Status and decision of each pending claim before and after its evaluation."""
     pending = evaluate(claims.filter(F.col("status") == "Pending"))

@@ -497,6 +497,9 @@ FROM ({_KPIS})""")
 
 oracle("claims_with_risk", "full_claims",
        "SELECT claim_id, country, claim_amount::DOUBLE AS claim_amount, population, disaster_displaced_persons FROM full_claims")
+oracle("load_claims", "full_claims", f"""
+SELECT {_ALL_CLAIM_COLUMNS.replace(' premium::DOUBLE AS premium,', '')}, description, population, disaster_displaced_persons
+FROM full_claims ORDER BY claim_id""")
 oracle("build_curated_claims", "full_claims", f"SELECT {_ALL_CLAIM_COLUMNS}, description FROM full_claims")
 oracle("decisions_onto_claims", "parsed",
        "SELECT claim_id, status, decision AS new_decision FROM raw_claims LEFT JOIN last_decisions USING (claim_id)")
@@ -601,6 +604,9 @@ oracle("batch_evaluate_pending", "judged", """
 SELECT claim_id, CASE WHEN status = 'Pending' THEN next_status ELSE status END AS status,
        CASE WHEN status = 'Pending' THEN decision END AS ai_decision, CASE WHEN status = 'Pending' THEN json END AS ai_reasoning,
        claim_amount::DOUBLE AS claim_amount FROM outcome""")
+oracle("evaluate_claim", "judged", """
+SELECT claim_id, decision, risk_score, recommended_payout::DOUBLE AS recommended_payout, reasoning, json AS result
+FROM outcome WHERE claim_id = 'CLM-7'""")
 oracle("status_transitions", "judged", """
 SELECT claim_id, status AS old_status, next_status AS new_status, 'None' AS old_decision, decision AS new_decision, risk_score,
        CASE WHEN risk_score <= 3 THEN 'Low' WHEN risk_score <= 6 THEN 'Medium' ELSE 'High' END AS risk_band

@@ -231,6 +231,7 @@ _over(_claims_with_risk)(
     "claims_with_risk",
     lambda df: df.select("claim_id", "country", "claim_amount", "population", "disaster_displaced_persons"),
 )
+_over(_claims_with_risk)("load_claims", views.load_claims)
 on_full_claims("build_curated_claims", lambda df: df)
 
 
@@ -341,6 +342,7 @@ on_full_claims(
         "claim_id", "status", "ai_decision", "ai_reasoning", "claim_amount"
     ),
 )
+on_full_claims("evaluate_claim", lambda df: decisions.evaluate_claim(df, "CLM-7"))
 on_full_claims("status_transitions", decisions.status_transitions)
 _over(b.raw_policies)("build_policy_text", curate.build_policy_text)
 _over(b.vectors)("search_vectors", lambda df: search.search_vectors(df, PROBES))

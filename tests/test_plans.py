@@ -87,3 +87,39 @@ def test_search_shuffles_ranks_only(spark, sf_dir):
 def test_fixed_rows_have_a_known_size(spark):
     df = fixed_rows(spark, "a string, b bigint", [("x", 1), (None, 2)])
     assert "LocalTableScan" in plan(df) and df.count() == 2
+
+
+def test_a_hot_policy_is_split(spark):
+    """A third of the claims on one policy: the join must not end up in one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        claims = spark.range(0, 120_000, 1, 8).selectExpr(
+            "concat('CLM-', id) AS claim_id", "if(id % 3 = 0, 'POL-0', concat('POL-', id)) AS policy_number",
+            "'Fire' AS claim_type", "'Pending' AS status", "TIMESTAMP_NTZ '2025-01-01 00:00:00' AS filing_date",
+            "CAST(id AS DECIMAL(18,2)) AS claim_amount", "md5(CAST(id AS STRING)) AS description")
+        policies = spark.range(0, 120_000, 1, 8).selectExpr(
+            "concat('POL-', id) AS policy_number", "concat('CUS-', id) AS customer_id", "'Home' AS policy_type",
+            "CAST(1 AS DECIMAL(18,2)) AS coverage_limit", "CAST(1 AS DECIMAL(18,2)) AS deductible",
+            "CAST(1 AS DECIMAL(18,2)) AS premium")
+        customers = spark.range(0, 120_000, 1, 8).selectExpr(
+            "concat('CUS-', id) AS customer_id", "'A' AS first_name", "'B' AS last_name", "'Japan' AS country", "'T' AS city")
+        empty = bindings._no_risk(spark)
+        wide = curate.build_curated_claims(claims, customers, policies, empty, 8)
+        assert wide.filter("policy_type IS NULL").count() == 0
+        rows = wide.groupBy("policy_type").count().collect()
+        assert rows[0]["count"] == 120_000
+        wide.write.format("noop").mode("overwrite").save()
+        collected = wide.select("claim_id", "country", "policy_number")
+        collected.collect()
+        assert "skew=true" in plan(collected)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
