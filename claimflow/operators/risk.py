@@ -1,6 +1,6 @@
 """Country risk from a long time series: newest value per indicator, then one row per country."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow import vocab
@@ -19,18 +19,16 @@ def scan_timeseries(timeseries: DataFrame, markets: dict[str, str] = vocab.MARKE
 def latest_value(timeseries: DataFrame) -> DataFrame:
     """The newest row per entity and indicator name.
 
-    A missing date sorts as newest; the larger value settles equal dates. Spark cuts each
-    group to one row before the shuffle, so an entity that holds most of the rows costs no
-    more than any other.
+    A missing date counts as newest; the larger value settles equal dates. This is the first
+    row of each group by that order, taken as a maximum: unlike a ranking it sorts no group, and
+    one row per group leaves each task, so an entity that holds most of the rows costs no more
+    than any other.
     """
-    newest = Window.partitionBy("geo_id", "variable_name").orderBy(
-        F.col("date").desc_nulls_first(), F.col("value").desc_nulls_last()
-    )
+    newest = F.max(F.struct(F.col("date").isNull().alias("undated"), "date", "value")).alias("newest")
     return (
-        timeseries.select("geo_id", "variable_name", "date", "value")
-        .withColumn("rn", F.row_number().over(newest))
-        .filter("rn = 1")
-        .drop("rn")
+        timeseries.groupBy("geo_id", "variable_name")
+        .agg(newest)
+        .select("geo_id", "variable_name", "newest.date", "newest.value")
     )
 
 

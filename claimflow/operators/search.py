@@ -8,12 +8,14 @@ shuffle carries k rows per question and task.
 """
 
 import re
+import sys
 from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from claimflow import vocab
 from claimflow.functions import scalars as fn
 from claimflow.session import broadcast_bounded
 
+# What runs in tasks travels with the job: executors need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUESTIONS_PER_PASS = 64
 # Scores are rounded before they rank, so that equal documents tie whatever the order of summation.
 DIGITS = 6
@@ -122,20 +127,16 @@ def _vocabulary(questions: list[tuple[int, str]]) -> list[str]:
 
 
 def _term_stats(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: the number of documents and, per term, how many documents hold it."""
-
-    def count_in_task(batches):
-        held, seen = np.zeros(len(terms), np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = set(_WORD.findall(text.lower())) if text else ()
-                held += np.fromiter((t in words for t in terms), dtype=bool, count=len(terms))
-            seen += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "df": pa.array([held.tolist()], pa.list_(pa.int64()))})
+    """One row, a map: documents per term, and under the empty term the number of documents.
 
-    per_task = docs.select("text").mapInArrow(count_in_task, "n bigint, df array<bigint>")
-    totals = [F.sum(F.get("df", F.lit(i))) for i in range(len(terms))]
-    return per_task.agg(F.struct(F.sum("n").alias("n"), F.array(*totals).alias("df")).alias("stats"))
+    Each document counts once under every asked term it holds; partial counts leave a task with
+    one row per term.
+    """
+    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    held = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")
+    marks = F.concat(F.array(F.lit("")), F.array_intersect(held, wanted))
+    counts = docs.select(F.explode(marks).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("stats"))
 
 
 def _with_stats(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -162,9 +163,9 @@ class _TextScorer:
     def scores(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
         if self.matrix is None:
-            stats = batch.column(2)[0].as_py()
-            held = np.array(stats["df"], np.float64)
-            idf = np.log1p(np.divide(stats["n"], held, out=np.zeros_like(held), where=held > 0))
+            stats = dict(batch.column(2)[0].as_py())
+            held = np.array([stats.get(t, 0) for t in self.index], np.float64)
+            idf = np.log1p(np.divide(stats[""], held, out=np.zeros_like(held), where=held > 0))
             weighted = self.own * idf[:, None]
             length = np.linalg.norm(weighted, axis=0)
             self.matrix = np.divide(weighted, length, out=np.zeros_like(weighted), where=length > 0)

@@ -28,7 +28,13 @@ def test_series_conditions_reach_the_scan(stored):
     pushed = text[text.index("PushedFilters") :].split("ReadSchema")[0]
     assert "In(geo_id" in pushed and "IsNotNull(value)" in pushed
     assert "unit" not in text[text.index("ReadSchema") :].split("\n")[0]
-    # One row per group leaves each task.
+    # One row per group leaves each task, and no group is sorted by date.
+    assert "partial_max" in text and "Window" not in text
+    assert text.index("partial_max") > text.index("Exchange hashpartitioning(geo_id")
+
+
+def test_newest_decision_is_cut_before_the_shuffle(spark, sf_dir):
+    text = plan(decisions.latest_decisions(decisions.parse_decisions(bindings.responses(spark, sf_dir))))
     assert text.count("WindowGroupLimit") == 2
 
 

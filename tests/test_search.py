@@ -1,10 +1,14 @@
 """Search against brute force on small fixtures."""
 
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from claimflow.operators import search
 
@@ -100,3 +104,11 @@ def test_context_is_in_rank_order(spark):
     assert row.context.split("\n\n") == [f"[Document {100 + r} — Home]\ntext {r}" for r in (1, 2, 10)]
     gate = search.search_quality_gate(hits).collect()[0]
     assert gate.best_score == 0.5 and gate.passed
+
+
+def test_task_code_needs_no_package_on_the_executors(tmp_path):
+    (tmp_path / "code").write_bytes(cloudpickle.dumps((search._TextScorer, search._Best, search.terms_of)))
+    check = "import pickle; s, b, t = pickle.load(open('code', 'rb')); print(t('a B a')['a'], b([1], 2).k, s([(0, 'x')], ['x']).own)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert out.stdout.split() == ["2", "2", "[[1.]]"], out.stderr
