@@ -209,6 +209,26 @@ def status_transitions(claims: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_display(evaluated: DataFrame) -> DataFrame:
+    """Evaluations as report text: status banner, risk label, payout and reasoning.
+
+    Needs claim_id, the status before, and the four decision columns. What a response left out
+    reads as it would on screen: no risk label, a payout of zero, a stock sentence.
+    """
+    score, after = F.col("risk_score"), fn.decision_to_status(F.col("decision"))
+    reasoning = F.coalesce("reasoning", F.lit("No reasoning provided"))
+    return evaluated.select(
+        "claim_id",
+        F.coalesce("decision", F.lit("UNKNOWN")).alias("decision"),
+        F.concat(F.lit("Claim status updated: "), F.col("status"), F.lit(" → "), after).alias("banner"),
+        F.concat(
+            fn.risk_points(score).cast("string"), F.lit("/10 — "), fn.risk_band(score), F.lit(" Risk")
+        ).alias("risk_label"),
+        fn.dollars(F.coalesce("recommended_payout", F.lit(0).cast(MONEY))).alias("payout"),
+        F.replace(reasoning, F.lit("$"), F.lit("\\$")).alias("reasoning"),
+    )
+
+
 def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Claims whose status or decision differs between two stored versions of the table."""
     before = old.select("claim_id", F.col("status").alias("old_status"), F.col("ai_decision").alias("old_decision"))

@@ -230,6 +230,48 @@ def with_documents(hits: DataFrame, docs: DataFrame, hits_at_most: int) -> DataF
     return docs.join(broadcast_bounded(hits, hits_at_most), "doc_id")
 
 
+def hit_display(found: DataFrame) -> DataFrame:
+    """A heading and a relevance line per hit."""
+    heading = F.concat(
+        F.col("rank").cast("string"), F.lit(". "), F.col("doc_id").cast("string"), F.lit(" — "), F.col("doc_type")
+    )
+    line = F.concat(fn.relevance_band(F.col("score")), F.lit(" ("), F.format_number("score", 2), F.lit(")"))
+    return found.select("query_id", "rank", heading.alias("heading"), line.alias("relevance"))
+
+
+# The shape of a search response.
+_RESPONSE = (
+    "struct<results: array<struct<POLICY_NUMBER: string, POLICY_TYPE: string, SEARCH_TEXT: string,"
+    " `@scores`: struct<cosine_similarity: double>>>>"
+)
+
+
+def search_response(found: DataFrame) -> DataFrame:
+    """One JSON response per question, its hits in rank order; a group holds k rows at most."""
+    hit = F.struct(
+        F.col("doc_id").cast("string").alias("POLICY_NUMBER"),
+        F.col("doc_type").alias("POLICY_TYPE"),
+        F.col("text").alias("SEARCH_TEXT"),
+        F.struct(F.col("score").alias("cosine_similarity")).alias("@scores"),
+    )
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", hit.alias("hit")))), lambda x: x["hit"])
+    return found.groupBy("query_id").agg(F.to_json(F.struct(hits.alias("results"))).alias("response"))
+
+
+def read_search_response(responses: DataFrame) -> DataFrame:
+    """Hits of JSON responses, ranked as listed; what a hit lacks is filled with defaults."""
+    listed = F.from_json("response", _RESPONSE)["results"]
+    rows = responses.select("query_id", F.posexplode(listed).alias("pos", "hit"))
+    return rows.select(
+        "query_id",
+        (F.col("pos") + 1).alias("rank"),
+        F.coalesce("hit.POLICY_NUMBER", F.lit("Unknown")).alias("policy_number"),
+        F.coalesce("hit.POLICY_TYPE", F.lit("Unknown")).alias("policy_type"),
+        F.coalesce("hit.SEARCH_TEXT", F.lit("")).alias("search_text"),
+        F.coalesce("hit.@scores.cosine_similarity", F.lit(0.0)).alias("score"),
+    )
+
+
 def assemble_context(hits: DataFrame) -> DataFrame:
     """All hits of a question as one labelled text in rank order; a group holds k rows at most."""
     part = F.concat(

@@ -607,6 +607,11 @@ SELECT claim_id, CASE WHEN status = 'Pending' THEN next_status ELSE status END A
 oracle("evaluate_claim", "judged", """
 SELECT claim_id, decision, risk_score, recommended_payout::DOUBLE AS recommended_payout, reasoning, json AS result
 FROM outcome WHERE claim_id = 'CLM-7'""")
+oracle("evaluation_display", "judged", """
+SELECT claim_id, decision, 'Claim status updated: ' || status || ' → ' || next_status AS banner,
+       risk_score || '/10 — ' || CASE WHEN risk_score <= 3 THEN 'Low' WHEN risk_score <= 6 THEN 'Medium' ELSE 'High' END || ' Risk' AS risk_label,
+       '$' || format('{:,.0f}', recommended_payout::DOUBLE) AS payout, reasoning
+FROM outcome""")
 oracle("status_transitions", "judged", """
 SELECT claim_id, status AS old_status, next_status AS new_status, 'None' AS old_decision, decision AS new_decision, risk_score,
        CASE WHEN risk_score <= 3 THEN 'Low' WHEN risk_score <= 6 THEN 'Medium' ELSE 'High' END AS risk_band
@@ -625,6 +630,12 @@ oracle("assemble_context", "search", """
 SELECT query_id, string_agg('[Document ' || doc_id || ' — ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
        count(*) AS documents
 FROM ranks JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
+oracle("search_display", "search", f"""
+SELECT query_id, rank, rank || '. ' || doc_id || ' — ' || lang AS heading, relevance || ' (' || format('{{:.2f}}', score) || ')' AS relevance
+FROM (SELECT query_id, rank, doc_id, lang, score, {_RELEVANCE} FROM ranks JOIN documents USING (doc_id) WHERE rank <= 5)""")
+oracle("search_response", "search", """
+SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS policy_number, lang AS policy_type, text AS search_text, score
+FROM ranks JOIN documents USING (doc_id) WHERE rank <= 5""")
 oracle("clean_completion", "", r"""
 SELECT conv_id, turn, replace(replace(replace(replace(text, chr(10), '\n'), '\n', chr(10)), '\t', ' ') || ' cost $5', '$', '\$') AS answer
 FROM conversations""")

@@ -343,18 +343,22 @@ on_full_claims(
     ),
 )
 on_full_claims("evaluate_claim", lambda df: decisions.evaluate_claim(df, "CLM-7"))
+on_full_claims("evaluation_display", lambda df: decisions.evaluation_display(decisions.evaluate(df)))
 on_full_claims("status_transitions", decisions.status_transitions)
 _over(b.raw_policies)("build_policy_text", curate.build_policy_text)
 _over(b.vectors)("search_vectors", lambda df: search.search_vectors(df, PROBES))
 _over(b.documents)("search_text", lambda df: search.with_relevance(search.search_text(df, QUESTIONS)))
 
 
-@register("assemble_context")
-def _context(spark, sf_dir):
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of the sample questions with their documents."""
     docs = b.documents(spark, sf_dir)
-    hits = search.search_text(docs, QUESTIONS)
-    found = search.with_documents(hits, docs, vocab.SEARCH_HITS * len(QUESTIONS))
-    return search.assemble_context(found)
+    return search.with_documents(search.search_text(docs, QUESTIONS), docs, vocab.SEARCH_HITS * len(QUESTIONS))
+
+
+_over(_found)("assemble_context", search.assemble_context)
+_over(_found)("search_display", search.hit_display)
+_over(_found)("search_response", lambda df: search.read_search_response(search.search_response(df)))
 
 
 @register("clean_completion")

@@ -168,3 +168,15 @@ def test_batch_equals_write_back_of_its_own_decisions(spark, sf_dir):
     )
     joined, narrow = decisions.apply_decisions(df, judged), decisions.batch_evaluate_pending(df)
     assert joined.exceptAll(narrow).count() == 0 and narrow.count() == joined.count()
+
+
+def test_evaluation_display(spark):
+    df = spark.sql("""
+        SELECT * FROM VALUES
+          ('a', 'Pending', 'APPROVE', '7.9', CAST(1234.5 AS DECIMAL(18,2)), 'pays $5'),
+          ('b', 'Submitted', NULL, 'high', NULL, NULL)
+        AS t(claim_id, status, decision, risk_score, recommended_payout, reasoning)""")
+    assert sorted(tuple(r) for r in decisions.evaluation_display(df).collect()) == [
+        ("a", "APPROVE", "Claim status updated: Pending → Approved", "7/10 — High Risk", "$1,234", "pays \\$5"),
+        ("b", "UNKNOWN", "Claim status updated: Submitted → Under Review", None, "$0", "No reasoning provided"),
+    ]

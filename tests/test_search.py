@@ -1,5 +1,6 @@
 """Search against brute force on small fixtures."""
 
+import json
 import math
 import os
 import subprocess
@@ -106,6 +107,15 @@ def test_context_is_in_rank_order(spark):
     assert gate.best_score == 0.5 and gate.passed
 
 
+def test_responses_fill_what_is_missing(spark):
+    full = {"POLICY_NUMBER": "P1", "POLICY_TYPE": "Home", "SEARCH_TEXT": "t", "@scores": {"cosine_similarity": 0.7}}
+    rows = [(1, json.dumps({"results": [full, {}]})), (2, json.dumps({"results": []})), (3, "{}"), (4, "not json"), (5, None)]
+    got = search.read_search_response(spark.createDataFrame(rows, "query_id bigint, response string"))
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == [
+        (1, 1, "P1", "Home", "t", 0.7), (1, 2, "Unknown", "Unknown", "", 0.0),
+    ]
+
+
 def test_task_code_needs_no_package_on_the_executors(tmp_path):
     (tmp_path / "code").write_bytes(cloudpickle.dumps((search._TextScorer, search._Best, search.terms_of)))
     check = "import pickle; s, b, t = pickle.load(open('code', 'rb')); print(t('a B a')['a'], b([1], 2).k, s([(0, 'x')], ['x']).own)"
