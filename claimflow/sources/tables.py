@@ -32,6 +32,16 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Store a table in buckets of a key, so that later joins on the key leave it in place.
+
+    Worth its one shuffle for the claims table, which every write-back joins on the claim id.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def export_csv(df: DataFrame, condition: Column | str, path: str) -> None:
     """Rows that meet a condition, as CSV files with a header. Line ends in text are kept by quoting."""
     df.filter(condition).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

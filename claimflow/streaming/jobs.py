@@ -13,11 +13,14 @@ from claimflow.operators import decisions, kpis
 MALFORMED = "_malformed"
 
 
-def _read_json_stream(spark: SparkSession, schema: str, folder: str, files_per_batch: int | None) -> DataFrame:
+def _read_json_stream(
+    spark: SparkSession, schema: str, folder: str, files_per_batch: int | None, whole_files: bool = False
+) -> DataFrame:
     reader = (
         spark.readStream.schema(f"{schema}, {MALFORMED} string")
         .option("columnNameOfCorruptRecord", MALFORMED)
         .option("mode", "PERMISSIVE")
+        .option("multiLine", whole_files)
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -43,13 +46,16 @@ def ingest_claims(
     checkpoint: str,
     schema: str = schemas.RAW_CLAIMS,
     files_per_batch: int | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
-    """Bring newly arrived claim files (one JSON object per line or file) into the raw table.
+    """Bring newly arrived claim files into the raw table.
+
+    A file holds one JSON object per line or, with `whole_files`, one object over many lines.
 
     A record that does not parse stays in the table with its raw text in `_malformed`, so that
     nothing is lost; `raw_claims` and `malformed_claims` tell the two apart.
     """
-    arrived = _read_json_stream(spark, schema, folder, files_per_batch).withColumn(
+    arrived = _read_json_stream(spark, schema, folder, files_per_batch, whole_files).withColumn(
         "source_file", F.col("_metadata.file_name")
     )
     _run_to_end(arrived, out, checkpoint)

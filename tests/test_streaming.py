@@ -40,6 +40,15 @@ def test_ingest(spark, tmp_path):
     assert len(bad) == 1 and bad[0].source_file == "three.json"
 
 
+def test_one_claim_over_many_lines(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "raw", "check"))
+    put(folder, "one.json", json.dumps(claim(1), indent=2))
+    put(folder, "two.json", "{ not json")
+    table = jobs.ingest_claims(spark, folder, out, check, whole_files=True)
+    assert [r.claim_id for r in jobs.raw_claims(table).collect()] == ["CLM-1"]
+    assert [r.source_file for r in jobs.malformed_claims(table).collect()] == ["two.json"]
+
+
 def test_decisions_follow_the_stream(spark, sf_dir, tmp_path):
     folder, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
     claims = bindings.claims(spark, sf_dir)
