@@ -8,6 +8,7 @@ from claimflow.functions.scalars import strip_ws
 _SCHEMA = "array<struct<decision string, risk_score string, recommended_payout string, reasoning string>>"
 _OPTIONS = {"allowSingleQuotes": "false"}
 _JSON_SPACE = " \t\n\r"
+_END = "end of response"
 
 
 def without_fence(text: Column) -> Column:
@@ -18,19 +19,20 @@ def without_fence(text: Column) -> Column:
 
 
 def as_objects(text: Column) -> Column:
-    """The JSON objects a text consists of, as an array; NULL where it is not JSON.
+    """The JSON objects a text consists of and an end mark, as an array; NULL where it is not JSON.
 
-    `from_json` on the bare text would also take text that follows the object. In brackets, the
-    text is read to its end, and `only` then asks for exactly one object.
+    `from_json` on its own also takes text that follows the object. Here the text is the first of
+    two array elements, so it has to be read to its end before the end mark can be met.
     """
     bare = F.btrim(text, F.lit(_JSON_SPACE))
-    bracketed = F.concat(F.lit("["), bare, F.lit("]"))
-    return F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(bracketed, _SCHEMA, _OPTIONS))
+    marked = F.concat(F.lit("["), bare, F.lit(f', {{"decision": "{_END}"}}]'))
+    return F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(marked, _SCHEMA, _OPTIONS))
 
 
 def only(objects: Column) -> Column:
-    """The single element of an array of response structs, else NULL."""
-    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+    """The single object in front of the end mark, else NULL."""
+    ended = F.get(objects, F.lit(1))["decision"] == _END
+    return F.when((F.size(objects) == 2) & ended, F.get(objects, F.lit(0)))
 
 
 def widest_braces(text: Column) -> Column:
@@ -43,7 +45,9 @@ def widest_braces(text: Column) -> Column:
 
 def is_json_array(text: Column) -> Column:
     """True when the whole text is one JSON array, which no response reader accepts."""
-    return F.when(text.startswith("["), F.json_array_length(text).isNotNull()).otherwise(F.lit(False))
+    marked = F.concat(F.lit("["), text, F.lit(f', "{_END}"]'))
+    second = F.get(F.from_json(marked, "array<string>", _OPTIONS), F.lit(1))
+    return F.when(text.startswith("["), F.coalesce(second == _END, F.lit(False))).otherwise(F.lit(False))
 
 
 def clean_completion(text: Column) -> Column:

@@ -70,15 +70,23 @@ def decision_to_status(decision: Column) -> Column:
     return F.coalesce(lookup(vocab.STATUS_AFTER, decision), F.lit(vocab.STATUS_OTHERWISE))
 
 
+def _finite(score: Column) -> Column:
+    """A score given as number or text; NULL when it is no finite number."""
+    text = score.cast("string")
+    # A trailing d or f is Java's mark for a number's type, not part of a score.
+    number = F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def risk_points(score: Column) -> Column:
-    """A score given as number or text, cut to a whole number; NULL when it is not a number."""
-    return score.cast("string").try_cast("double").try_cast("bigint")
+    """The score cut to a whole number."""
+    return _finite(score).try_cast("bigint")
 
 
 def risk_band(score: Column) -> Column:
-    """Low up to 3, Medium up to 6, High above; there is no range check on the score."""
-    points = risk_points(score)
-    return F.when(points <= 3, "Low").when(points <= 6, "Medium").when(points > 6, "High")
+    """Low up to 3, Medium up to 6, High above, after the cut; the score's range is not checked."""
+    number = _finite(score)
+    return F.when(number < 4, "Low").when(number < 7, "Medium").when(number.isNotNull(), "High")
 
 
 def risk_percent(score: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # A side whose row count is bounded by a fixed list is broadcast up to this many rows.
 BROADCAST_ROWS = 100_000
 
+# Pieces that one input split is dealt out into where cores would idle.
+SPREAD = 8
+
 
 def builder(app: str = "claimflow") -> SparkSession.Builder:
     """A session builder with the settings the operators are tuned for.
@@ -71,5 +74,5 @@ def spread(df: DataFrame) -> DataFrame:
     enough for every core, as any large one has, comes back as it is and is not shuffled.
     Give it a scan, not a join: counting the splits of a join would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, SPREAD * splits)) if splits < cores else df

@@ -1,6 +1,7 @@
 """Responses, stored evaluations, rule decisions and write-back."""
 
 import json
+import random
 import re
 
 import pytest
@@ -180,3 +181,21 @@ def test_evaluation_display(spark):
         ("a", "APPROVE", "Claim status updated: Pending → Approved", "7/10 — High Risk", "$1,234", "pays \\$5"),
         ("b", "UNKNOWN", "Claim status updated: Submitted → Under Review", None, "$0", "No reasoning provided"),
     ]
+
+
+def test_random_texts_read_alike(spark):
+    """Text put together from JSON scraps is read as the step-by-step reading does."""
+    rnd = random.Random(5)
+    scraps = ["{", "}", "[", "]", '"decision"', ":", ",", '"DENY"', "7", " ", "\n", "```", "json", "'", "\\", "null", "//c", "-",
+              '{"decision": "DENY"}', '{"decision": "APPROVE", "reasoning": "x {y}"}', '{"decision": null}', "text", " ",
+              '{"a": {"b": [1, 2]}}', '"a\\"b"', "NaN", "01"]
+    texts = ["".join(rnd.choices(scraps, k=rnd.randint(1, 7))) for _ in range(8000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "claim_id bigint, response string")
+    got = {r.claim_id: r.decision for r in decisions.parse_decisions(df, on_error="ERROR").collect()}
+    for i, text in enumerate(texts):
+        wanted = by_reading(text)
+        expected = "ERROR" if wanted is None else wanted.get("decision") or "UNKNOWN"
+        if isinstance(expected, dict):  # an object in place of a word is kept as its JSON text
+            assert json.loads(got[i]) == expected, text
+        else:
+            assert got[i] == expected, (text, wanted)

@@ -11,9 +11,9 @@ def column(spark, values, expression, kind="string"):
 
 
 def test_risk_band(spark):
-    scores = ["3", "3.9", "7.9", "0", "-5", "99", "N/A", None, "", " 6 ", "4", "inf", "nan", "1e3"]
+    scores = ["3", "3.9", "7.9", "0", "-5", "99", "N/A", None, "", " 6 ", "4", "inf", "nan", "1e3", "7d", "1e30"]
     assert column(spark, scores, fn.risk_band) == [
-        "Low", "Low", "High", "Low", "Low", "High", None, None, None, "Medium", "Medium", None, None, "High",
+        "Low", "Low", "High", "Low", "Low", "High", None, None, None, "Medium", "Medium", None, None, "High", None, "High",
     ]
     assert column(spark, scores[:6], fn.risk_percent) == [30, 30, 70, 0, -50, 990]
     assert column(spark, [2.5, 6.99], fn.risk_points, "double") == [2, 6]
