@@ -1,6 +1,6 @@
 """Evaluation of claims as set-based column work, and the write-back of decisions."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow.functions import responses, scalars as fn
@@ -126,15 +126,17 @@ def decision_json() -> Column:
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """One decision per claim, the newest; the group is cut to one row before the shuffle."""
-    newest = Window.partitionBy("claim_id").orderBy(
-        F.col("decided_at").desc_nulls_last(), F.col("decision"), F.col("reasoning")
-    )
+    """One decision per claim, the newest; a decision without a time is the oldest.
+
+    Taken as a maximum over the whole decision, so equal times are settled the same way on every
+    run, and one row per claim leaves each task however often a claim was decided.
+    """
+    newest = F.max(F.struct("decided_at", "decision", "risk_score", "recommended_payout", "reasoning"))
     return (
         decisions.filter(F.col("claim_id").isNotNull())
-        .withColumn("rn", F.row_number().over(newest))
-        .filter("rn = 1")
-        .drop("rn")
+        .groupBy("claim_id")
+        .agg(newest.alias("newest"))
+        .select("claim_id", "newest.*")
     )
 
 

@@ -23,6 +23,12 @@ def dataset_risk(risk: DataFrame) -> DataFrame:
     return risk.select(*DATASET_RISK)
 
 
+def register_views(datasets: dict[str, DataFrame]) -> None:
+    """Offer datasets to Spark SQL under their names; they are computed when queried."""
+    for name, df in datasets.items():
+        df.createOrReplaceTempView(name)
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table version and read it back. The path must not be one that `df` reads."""
     writer = df.write.mode("overwrite")

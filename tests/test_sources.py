@@ -4,6 +4,7 @@ import pytest
 
 from claimflow import schemas
 from claimflow.operators import notes
+from claimflow.plans import bindings
 from claimflow.session import scratch
 from claimflow.sources import tables, texts
 
@@ -85,6 +86,14 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == rows[:3]
 
 
+def test_datasets_answer_sql(spark, sf_dir):
+    claims = bindings.claims(spark, sf_dir, with_risk=True)
+    tables.register_views({"claims_report": tables.dataset_claims(claims)})
+    assert spark.table("claims_report").columns == [c for c in schemas.names(schemas.CLAIMS) if c != "description"]
+    total = spark.sql("SELECT count(*) AS n FROM claims_report WHERE status = :s", args={"s": "Pending"}).collect()[0].n
+    assert total == claims.filter("status = 'Pending'").count()
+
+
 def test_snapshot_is_a_new_version(spark, tmp_path):
     df = spark.range(10).selectExpr("id", "id % 2 AS part")
     back = tables.write_snapshot(df, str(tmp_path / "v1"), ["part"])
