@@ -18,6 +18,11 @@ _ADVICE_HEADINGS = ["RECOMMENDATION", "RECOMMENDATIONS", "FINDINGS"]
 _COST_HEADINGS = ["COST BREAKDOWN", "TREATMENT PLAN COSTS"]
 
 
+def _lines(notes: DataFrame) -> DataFrame:
+    """Notes with Windows line ends made plain, so that headings and empty lines are found."""
+    return notes.withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n")))
+
+
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -50,7 +55,7 @@ def extract_notes(notes: DataFrame) -> DataFrame:
     the first one marked $. What a note does not say stays NULL.
     """
     text, written, total = F.col("text"), F.col("_written"), F.col("_total")
-    lines = notes.withColumns({"_written": _first(text, _DATE), "_total": _first(text, _TOTAL_LINE)})
+    lines = _lines(notes).withColumns({"_written": _first(text, _DATE), "_total": _first(text, _TOTAL_LINE)})
     return lines.select(
         "file_name",
         _first(text, _CLAIM).alias("claim_id"),
@@ -77,7 +82,7 @@ def itemized_totals(notes: DataFrame) -> DataFrame:
         F.lit(0).cast(money),
         lambda acc, x: (acc + x).cast(money),
     )
-    return notes.select(
+    return _lines(notes).select(
         "file_name",
         _amount(stated).alias("stated_total"),
         F.when(F.size(figures) > 0, total).alias("itemized_total"),

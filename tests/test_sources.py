@@ -1,6 +1,7 @@
 """Whole-text reading, snapshots, CSV export, note extraction, scratch space."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimflow import schemas
 from claimflow.operators import notes
@@ -71,6 +72,13 @@ def test_extraction(spark, folder):
     assert set(tuple(c)[1:]) == {None}
 
 
+def test_windows_line_ends_change_nothing(spark, folder):
+    plain = texts.read_notes(spark, folder)
+    windows = plain.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    for operator in (notes.extract_notes, notes.itemized_totals):
+        assert sorted(map(tuple, operator(windows).collect())) == sorted(map(tuple, operator(plain).collect()))
+
+
 def test_itemized_totals(spark, folder):
     rows = {r.file_name: r for r in notes.itemized_totals(texts.read_notes(spark, folder)).collect()}
     assert [float(x) for x in tuple(rows["a.txt"])[1:]] == [1500.25, 1500.25]
