@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from claimflow.llm.text import hashes, mixed, portions, remainder, sampled_ids, sampled_texts, starts_of, sums, table, words
 
 # Bounds of the fitting sample: documents of each label, characters of each.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3_000, 6_000, 8_000
-# Strength of the Dirichlet prior in documents, z from which a token's log-odds count, score of other tokens.
-PRIOR, SURE, DRIFT = 50.0, 4.0, -0.25
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_000, 3_000, 6_000
+# Strength of the Dirichlet prior in documents, and z from which the log-odds of a unit count.
+PRIOR, SURE = 50.0, 5.0
+# A token stands for itself and for its beginnings of these lengths, so that inflected forms share evidence.
+STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
 SCORES = (
     "doc_id bigint, score double, predicted int, "
@@ -23,12 +25,15 @@ SCORES = (
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words, words per text, and a hash for each code: letters and digits, lower-cased.
+    """Codes of the words, words per text, and per code the hashes of its units.
 
-    A word without a letter or digit keeps its place and hashes as the empty string.
+    Units are the letters and digits of the word, lower-cased, and their beginnings. A word
+    without a letter or digit keeps its place; its units are the empty string.
     """
     codes, counts, distinct = words(texts)
-    return codes, counts, hashes(pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", ""))
+    plain = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "")
+    units = [hashes(pc.utf8_slice_codeunits(plain, 0, n)) for n in STEMS] + [hashes(plain)]
+    return codes, counts, np.stack(units, axis=1)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -56,19 +61,29 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicModel:
-    """Token scores as sorted hashes, the extreme-value figures and the final calibration."""
+    """Unit scores as sorted hashes, the extreme-value figures and the final calibration."""
 
     keys: np.ndarray
+    z: np.ndarray
     scores: np.ndarray
+    drift: float  # log-odds of all other tokens
     rate: float  # lambda
     size: float  # K
     weights: np.ndarray
 
+    def units_of(self, hashed: np.ndarray) -> np.ndarray:
+        """The surest listed unit of each row of hashes, -1 where none is listed."""
+        best, z = np.full(len(hashed), -1), np.zeros(len(hashed))
+        if len(self.keys):
+            for column in hashed.T:
+                at = np.minimum(np.searchsorted(self.keys, column), len(self.keys) - 1)
+                better = (self.keys[at] == column) & (self.z[at] >= np.maximum(z, 1e-9))
+                best[better], z[better] = at[better], self.z[at][better]
+        return best
+
     def token_scores(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashed), DRIFT)
-        at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashed, self.scores[at], DRIFT)
+        unit = self.units_of(hashed)
+        return np.where(unit < 0, self.drift, np.append(self.scores, 0.0)[unit])
 
     def passages(self, texts: pa.Array) -> tuple[list[list[tuple]], np.ndarray]:
         """Segments of each text, and its words."""
@@ -94,40 +109,64 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _log_odds(texts: pd.Series, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted token hashes, log-odds of the toxic label, and the clean share, with Dirichlet priors.
-
-    Documents count each token once, and copies count as one document: those that share two
-    minima of their word pairs.
-    """
-    codes, counts, hashed = _tokens(pa.array(texts, pa.string()))
-    doc = np.repeat(np.arange(len(counts)), counts)
-    token = hashed[codes]
-    pair = mixed(token ^ mixed(np.roll(token, -1)))
-    held = counts > 0
+def _groups(hashed: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number per document that copies share: those with the same two minima over word pairs."""
     group = np.arange(len(counts)).astype(np.uint64)
+    held = counts > 0
     if held.any():
+        token = hashed[codes, -1]
+        pair = mixed(token ^ mixed(np.roll(token, -1)))
         low = [np.minimum.reduceat(mixed(pair ^ np.uint64(s)), starts_of(counts)[held]) for s in (1, 2)]
         group[held] = mixed(low[0]) ^ low[1]
-    rows = pd.DataFrame({"token": token, "group": group[doc], "label": labels[doc]}).drop_duplicates()
-    n = pd.DataFrame({"group": group, "label": labels}).drop_duplicates()["label"].value_counts()
-    n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
-    held = rows.groupby(["token", "label"]).size().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0).sort_index()
-    y0, y1 = held[0].to_numpy(float), held[1].to_numpy(float)
-    prior = PRIOR * (y0 + y1 + 0.01) / (n0 + n1 + 1)
-    a1, a0 = y1 + prior, y0 + prior
-    odds = np.log(a1 / (n1 + PRIOR - y1 - prior + 0.01)) - np.log(a0 / (n0 + PRIOR - y0 - prior + 0.01))
-    z = odds / np.sqrt(1 / a1 + 1 / a0)
-    sure = np.abs(z) >= SURE
-    return held.index.to_numpy(np.uint64)[sure], np.where(odds > 0, odds, np.maximum(odds, -2.0))[sure], (a0 / a0.sum())[sure]
+    return np.unique(group, return_inverse=True)[1]
+
+
+def _learned(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
+    """The units sure to speak for the toxic label, with their log-odds under Dirichlet priors.
+
+    Whether a unit is listed is decided by the documents that hold it, copies counting as one;
+    its score and that of all other tokens come from the tokens, each document's copies sharing
+    the weight of one.
+    """
+    codes, counts, hashed = _tokens(texts)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    group = _groups(hashed, codes, counts)
+    toxic_group = np.zeros(group.max() + 1)
+    np.maximum.at(toxic_group, group, labels.astype(float))
+    n1, n0 = float(toxic_group.sum()), float((1 - toxic_group).sum())
+    which = pd.DataFrame({"code": codes, "group": group[doc]}).drop_duplicates()
+    code, own = which["code"].to_numpy(), which["group"].to_numpy()
+    listed = {}
+    for column in hashed.T:
+        distinct, unit = np.unique(column, return_inverse=True)
+        pairs = np.unique(unit[code].astype(np.int64) * len(toxic_group) + own)
+        toxic = toxic_group[pairs % len(toxic_group)]
+        y1 = np.bincount(pairs // len(toxic_group), toxic, minlength=len(distinct))
+        y0 = np.bincount(pairs // len(toxic_group), 1 - toxic, minlength=len(distinct))
+        prior = PRIOR * (y0 + y1) / (n0 + n1)
+        a1, a0 = y1 + prior, y0 + prior
+        odds = np.log(a1 / np.maximum(n1 + PRIOR - a1, 0.5)) - np.log(a0 / np.maximum(n0 + PRIOR - a0, 0.5))
+        z = odds / np.sqrt(1 / a1 + 1 / a0)
+        listed |= {int(distinct[i]): float(z[i]) for i in np.flatnonzero(z >= SURE)}
+    keys = np.array(sorted(listed), np.uint64)
+    model = ToxicModel(keys, np.array([listed[int(k)] for k in keys]), np.zeros(len(keys)), 0.0, 1.0, 1.0, np.zeros(4))
+    unit = model.units_of(hashed)[codes]
+    weight = (1 / np.bincount(group))[group][doc]
+    c1 = np.bincount(unit + 1, weight * labels[doc], minlength=len(keys) + 1)
+    c0 = np.bincount(unit + 1, weight * (1 - labels[doc]), minlength=len(keys) + 1)
+    prior = PRIOR * (c0 + c1 + 0.01) / (c0 + c1 + 0.01).sum()
+    share1, share0 = (c1 + prior) / (c1 + prior).sum(), (c0 + prior) / (c0 + prior).sum()
+    scores = np.log(share1 / share0)
+    model.drift, model.scores = float(min(scores[0], -1e-3)), np.maximum(scores[1:], 1e-3)
+    model.rate = _rate(np.append(model.scores, model.drift), np.append(share0[1:], share0[0]))
+    return model
 
 
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of the scores' generating function over clean tokens."""
-    rest = max(1e-9, 1 - share.sum())
-    grown = lambda x: share @ np.exp(x * scores) + rest * np.exp(x * DRIFT) - 1
+    grown = lambda x: share @ np.exp(x * scores) - 1
     low, high = 1e-3, 1.0
-    while grown(high) < 0 and high < 64:
+    while grown(high) < 0 and high < 16:
         high *= 2
     for _ in range(60):
         middle = (low + high) / 2
@@ -161,13 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> ToxicModel:
     chosen = [(i, y) for y, n in ((0, FIT_CLEAN), (1, FIT_TOXIC)) for i in sampled_ids(known.filter(F.col("toxic") == y), n, seed)]
     sample = sampled_texts(docs, chosen, FIT_CHARS)
     y = sample["label"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
-    none = np.zeros(0)
     if len(set(y.tolist())) < 2:
         constant = 30.0 if len(y) and y[0] else -30.0
-        return ToxicModel(none.astype(np.uint64), none, 1.0, 1.0, np.array([constant, 0, 0, 0]))
-    keys, scores, clean = _log_odds(sample["text"], y)
-    model = ToxicModel(keys, scores, _rate(scores, clean), 1.0, np.zeros(4))
-    found, counts = model.passages(pa.array(sample["text"], pa.string()))
+        none = np.zeros(0)
+        return ToxicModel(none.astype(np.uint64), none, none, -1.0, 1.0, 1.0, np.array([constant, 0, 0, 0]))
+    texts = pa.array(sample["text"], pa.string())
+    model = _learned(texts, y)
+    found, counts = model.passages(texts)
     best = np.array([max((s[2] for s in f), default=0.0) for f in found])
     quiet = y == 0  # the likeliest K when clean documents follow the extreme-value law
     model.size = float(quiet.sum() / np.sum(np.maximum(counts[quiet], 1) * np.exp(-model.rate * best[quiet])))
