@@ -34,7 +34,12 @@ class StableIndex:
             slots = np.floor((lifted @ direction + offset) / slot).astype(np.int64)
             buckets, which, sizes = np.unique(slots, axis=0, return_inverse=True, return_counts=True)
             order = np.argsort(which, kind="stable")
-            self.tables.append((buckets, order, np.concatenate([[0], np.cumsum(sizes)])))
+            # Per projection the slots in use and which of them each bucket has.
+            used = [np.unique(column, return_inverse=True) for column in buckets.T]
+            self.tables.append((used, order, sizes, np.concatenate([[0], np.cumsum(sizes)])))
+        self.single = rows.astype(np.float32)
+        # Twice the most that single precision can be off by, for a query of length 1.
+        self.slack = 2.0 * rows.shape[1] * 2.0**-23 * top
 
     def _candidates(self, units: np.ndarray) -> list[np.ndarray]:
         """Rows of the visited buckets of all tables, for each query.
@@ -44,12 +49,13 @@ class StableIndex:
         gathered; its own bucket has distance 0 and comes first.
         """
         visited = np.zeros((len(units), len(self.ids)), bool)
-        for (buckets, order, starts), direction, offset in zip(self.tables, self.directions, self.offsets):
+        for (used, order, sizes, starts), direction, offset in zip(self.tables, self.directions, self.offsets):
             at = (units @ direction + offset) / self.slot
-            low = buckets[None, :, :] - at[:, None, :]  # above 0: the slot lies higher
-            gap = np.maximum(np.maximum(low, -low - 1), 0)
-            ranked = np.argsort(np.einsum("qbi,qbi->qb", gap, gap), axis=1, kind="stable")
-            sizes = np.diff(starts)
+            far = np.zeros((len(units), len(sizes)), np.float32)
+            for (slots, which), place in zip(used, at.T):
+                low = slots[None, :] - place[:, None]  # above 0: the slot lies higher
+                far += (np.maximum(np.maximum(low, -low - 1), 0) ** 2).astype(np.float32)[:, which]
+            ranked = self._nearest_buckets(far)
             gathered = np.cumsum(sizes[ranked], axis=1)
             taken = np.concatenate([np.ones((len(units), 1), bool), gathered[:, :-1] < self.budget], axis=1)
             query, place = np.nonzero(taken)
@@ -58,6 +64,13 @@ class StableIndex:
             visited[np.repeat(query, sizes[bucket]), rows] = True
         return [np.flatnonzero(v) for v in visited]
 
+    def _nearest_buckets(self, far: np.ndarray) -> np.ndarray:
+        """The nearest buckets in order; every bucket holds a row, so `budget` of them suffice."""
+        if far.shape[1] <= self.budget:
+            return np.argsort(far, axis=1, kind="stable")
+        near = np.sort(np.argpartition(far, self.budget - 1, axis=1)[:, : self.budget], axis=1)
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1)
+
     def find(self, query_ids: np.ndarray, queries: np.ndarray):
         out_q, out_id, out_score = [], [], []
         for begin in range(0, len(query_ids), QUERY_PORTION):
@@ -65,11 +78,11 @@ class StableIndex:
             units = np.hstack([some / np.linalg.norm(some, axis=1, keepdims=True), np.zeros((len(some), 1))])
             for own, query, near in zip(query_ids[begin:], some, self._candidates(units)):
                 near = near[self.ids[near] != own]
+                if len(near) > self.k:  # what single precision shows to lie behind the k best need not be ranked
+                    rough = self.single[near] @ query.astype(np.float32)
+                    last = np.partition(rough, len(near) - self.k)[len(near) - self.k]
+                    near = near[rough >= last - self.slack * np.linalg.norm(query)]
                 scores = self.rows[near] @ query
-                # The k best, and whatever ties with the last of them.
-                if len(near) > self.k:
-                    last = np.partition(scores, len(near) - self.k)[len(near) - self.k]
-                    near, scores = near[scores >= last], scores[scores >= last]
                 best = np.lexsort((self.ids[near], -scores))[: self.k]
                 out_q.append(np.full(len(best), own))
                 out_id.append(self.ids[near[best]])
