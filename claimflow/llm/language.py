@@ -12,8 +12,9 @@ from claimflow.llm.text import mixed, portions, remainder, sampled_ids, sampled_
 ORDER = 4
 # Bounds of the sample that the models are fitted on: documents per language, characters of each.
 FIT_DOCS, FIT_CHARS = 600, 4_000
-# Share of the fitting documents that the calibrated limit may reject, and room beyond it in bits a letter.
-REJECT_SHARE, REJECT_ROOM = 0.002, 1.0
+# Share of the fitting documents that the calibrated limit may reject, room beyond it in bits a
+# letter, and more of it for a short text of n letters: REJECT_SHORT / sqrt(n).
+REJECT_SHARE, REJECT_ROOM, REJECT_SHORT = 0.002, 1.0, 8.0
 NONE = "und"
 PREDICTIONS = "doc_id bigint, lang_pred string, score double, bits double, rejected boolean"
 
@@ -132,7 +133,7 @@ class Languages:
         gap = np.exp2(-(bits - least[:, None]) * np.minimum(n, 40)[:, None])
         held = n > 0
         names = np.where(held, np.array(self.names, object)[best], NONE)
-        return names, np.where(held, 1 / gap.sum(axis=1), 0.0), least, ~held | (least > self.limits[best])
+        return names, np.where(held, 1 / gap.sum(axis=1), 0.0), least, ~held | (least > self.limits[best] + REJECT_SHORT / np.sqrt(np.maximum(n, 1)))
 
 
 def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHARS, seed: int = 11) -> Languages:
@@ -194,6 +195,22 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(judged, PREDICTIONS)
 
 
+def accepted(docs: DataFrame, languages: Languages) -> DataFrame:
+    """The rows of `docs` that `identify` does not reject, in all their columns; a null lang becomes the language found."""
+
+    def kept(batches):
+        for batch in batches:
+            for part in portions(batch):
+                if not languages.names:
+                    continue
+                names, _, _, rejected = languages.judge(part.column("text"))
+                lang = pc.coalesce(part.column("lang"), pa.array(names, pa.string()))
+                part = part.set_column(part.schema.get_field_index("lang"), "lang", lang)
+                yield part.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     return docs.filter(remainder(F.col("doc_id"), 5) != 0)
 

@@ -354,5 +354,38 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     return listed.unionByName(rest.select(null.alias("doc_id"), "n_shingles", null.alias("component_id"), F.lit(True).alias("kept")))
 
 
+def representatives(docs: DataFrame, words_per_shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps, in all their columns; of repeated rows one.
+
+    Rows without id all stay.
+    """
+    kept = near_duplicates(docs, words_per_shingle, percent).filter("kept AND doc_id IS NOT NULL")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), "n_shingles")
+    named = docs.join(kept.select("kept_id").distinct(), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2)
+
+
+ORACLE = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+  FROM split
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b
+    ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+), smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM sets s JOIN smallest m USING (doc_id)
+"""

@@ -246,6 +246,18 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scored, SCORES)
 
 
+def accepted(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of `docs` that `score` does not predict toxic, in all their columns."""
+
+    def kept(batches):
+        for batch in batches:
+            for part in portions(batch):
+                found, counts = model.passages(part.column("text"))
+                yield part.filter(pa.array(model.probability(model.features(found, counts)) < THRESHOLD))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     return labels.filter(remainder(F.col("doc_id"), 5) != 0)
 
