@@ -117,12 +117,12 @@ def op4_hamming_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH held AS (
-  SELECT vec_id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), apart AS (
   SELECT q.vec_id AS query_id, r.vec_id,
-    CAST(len(list_filter(range(1, len(q.code) + 1), i -> q.code[i] <> r.code[i])) AS INTEGER) AS distance
+    CAST(len(list_filter(range(1, len(q.code) + 1), lambda i: q.code[i] <> r.code[i])) AS INTEGER) AS distance
   FROM held q JOIN held r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
