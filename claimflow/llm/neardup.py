@@ -18,8 +18,9 @@ PERMUTATIONS, BAND = 80, 5
 BANDS = 2 * PERMUTATIONS // BAND
 # Share of equal values below which a pair is taken to lie under 0.8: 4.5 standard deviations.
 ESTIMATE = 0.66
-# Members of a cell, the unit that tasks compare pairwise; a larger bucket becomes several cells.
-CELL = 512
+# Members of a cell, the unit that a task holds at once: with whole sets, and with signatures
+# alone. More members become several cells.
+CELL, SIGNATURE_CELL = 512, 4_096
 # Bits of the filter that tells which documents are candidates; fixed, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -179,9 +180,9 @@ def _any_similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> bool
     return any(similar(x, y, percent) for x in a for y in b)
 
 
-def _blocks(count, of):
-    """The block of a member when `count` members are dealt into blocks of CELL."""
-    n = F.ceil(count / CELL).cast("bigint")
+def _blocks(count, of, size):
+    """How many blocks of about `size` hold `count` members, and the block of a member."""
+    n = F.ceil(count / size).cast("bigint")
     return n, F.pmod(F.xxhash64(of, F.lit(3)), n)
 
 
@@ -197,7 +198,7 @@ def _star_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     order = F.col("shared") + F.pmod(F.xxhash64("node", "centre"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = stored(shared.groupBy("node").agg(F.max_by("centre", order).alias("centre")), "chosen")
     sizes = stored(chosen.groupBy("centre").agg(F.count("*").alias("n")), "sizes")
-    n, block = _blocks(F.col("n"), F.col("node"))
+    n, block = _blocks(F.col("n"), F.col("node"), CELL)
     members = chosen.join(sizes, "centre").select(F.xxhash64("centre", block).alias("cell"), "node", "centre")
     middle = sizes.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("block"))
     cells = members.unionByName(middle.select(F.xxhash64("centre", "block").alias("cell"), "node", "centre"))
@@ -223,7 +224,7 @@ def _open_cells(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     known = stored(known, "labelled")
     several = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     several = stored(several.filter("low <> high").select("key", "n"), "several")
-    n, block = _blocks(F.col("n"), F.col("node"))
+    n, block = _blocks(F.col("n"), F.col("node"), SIGNATURE_CELL)
     rows = known.join(several, "key").withColumn("blocks", n).withColumn("side", block)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
