@@ -147,7 +147,8 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHAR
     names = sorted(r[0] for r in known.select("lang").distinct().collect())
     chosen = [(i, n) for n in names for i in sampled_ids(known.filter(F.col("lang") == n), per_language, seed)]
     texts = sampled_texts(labelled, chosen, chars)
-    samples = {n: t for n, t in texts[texts["text"].str.contains(r"[^\W\d_]")].groupby("label")}
+    lettered = [any(map(str.isalpha, t)) for t in texts["text"]]
+    samples = {n: t for n, t in texts[np.array(lettered, bool)].groupby("label")}
     if not samples:
         return Languages({}, {})
     found = {n: _counted(s) for n, s in samples.items()}
@@ -156,7 +157,7 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHAR
     free = Languages(models, {})
     limits = {}
     for i, n in enumerate(free.names):
-        bits, held = free.cross_entropy(pa.array(samples[n]["text"], pa.string()))
+        bits, held = free.cross_entropy(pa.array(samples[n]["text"].tolist(), pa.string()))
         own = bits[held > 0, i]
         limits[n] = float(np.quantile(own, 1 - REJECT_SHARE)) + REJECT_ROOM if len(own) else np.inf
     return Languages(models, limits)
@@ -164,7 +165,7 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHAR
 
 def _counted(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The windows of a sample, each distinct word once, and how often each occurs."""
-    codes, _, distinct = words(pa.array(sample["text"], pa.string()), lower=False)
+    codes, _, distinct = words(pa.array(sample["text"].tolist(), pa.string()), lower=False)
     grams, sizes = _grams(_letters(distinct))
     return grams, np.repeat(np.bincount(codes, minlength=len(distinct)), sizes).astype(np.float64)
 

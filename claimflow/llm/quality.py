@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 13) -> GatedAttention |
     y = sample["label"].to_numpy(np.float64) if len(sample) else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    rows, n = instances(pa.array(sample["text"], pa.string()))
+    rows, n = instances(pa.array(sample["text"].tolist(), pa.string()))
     importance = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
     return _trained(rows, n, y, importance / importance.mean(), seed)
 

@@ -13,8 +13,8 @@ from claimflow.llm.text import hashes, mixed, portions, remainder, sampled_ids,
 
 # Bounds of the fitting sample: documents of each label, characters of each.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_000, 3_000, 6_000
-# Strength of the Dirichlet prior in documents, and z from which the log-odds of a unit count.
-PRIOR, SURE = 50.0, 5.0
+# Strength of the Dirichlet prior in documents.
+PRIOR = 50.0
 # A token stands for itself and for its beginnings of these lengths, so that inflected forms share evidence.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
@@ -121,6 +121,17 @@ def _groups(hashed: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.nda
     return np.unique(group, return_inverse=True)[1]
 
 
+def _surprise(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Signed root of the likelihood ratio that a unit is held by toxic documents as often as by clean ones."""
+    share = (y1 + y0) / (n1 + n0)
+
+    def part(y, expected):
+        return np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    ratio = part(y1, n1 * share) + part(n1 - y1, n1 * (1 - share)) + part(y0, n0 * share) + part(n0 - y0, n0 * (1 - share))
+    return np.sign(y1 * n0 - y0 * n1) * np.sqrt(np.maximum(2 * ratio, 0))
+
+
 def _learned(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
     """The units sure to speak for the toxic label, with their log-odds under Dirichlet priors.
 
@@ -143,11 +154,10 @@ def _learned(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
         toxic = toxic_group[pairs % len(toxic_group)]
         y1 = np.bincount(pairs // len(toxic_group), toxic, minlength=len(distinct))
         y0 = np.bincount(pairs // len(toxic_group), 1 - toxic, minlength=len(distinct))
-        prior = PRIOR * (y0 + y1) / (n0 + n1)
-        a1, a0 = y1 + prior, y0 + prior
-        odds = np.log(a1 / np.maximum(n1 + PRIOR - a1, 0.5)) - np.log(a0 / np.maximum(n0 + PRIOR - a0, 0.5))
-        z = odds / np.sqrt(1 / a1 + 1 / a0)
-        listed |= {int(distinct[i]): float(z[i]) for i in np.flatnonzero(z >= SURE)}
+        z = _surprise(y1, y0, n1, n0)
+        # As high as the best of so many units without a tie to the label would come by chance.
+        sure = np.sqrt(2 * np.log(hashed.shape[1] * max(len(distinct), 2)))
+        listed |= {int(distinct[i]): float(z[i]) for i in np.flatnonzero(z >= sure)}
     keys = np.array(sorted(listed), np.uint64)
     model = ToxicModel(keys, np.array([listed[int(k)] for k in keys]), np.zeros(len(keys)), 0.0, 1.0, 1.0, np.zeros(4))
     unit = model.units_of(hashed)[codes]
@@ -204,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> ToxicModel:
         constant = 30.0 if len(y) and y[0] else -30.0
         none = np.zeros(0)
         return ToxicModel(none.astype(np.uint64), none, none, -1.0, 1.0, 1.0, np.array([constant, 0, 0, 0]))
-    texts = pa.array(sample["text"], pa.string())
+    texts = pa.array(sample["text"].tolist(), pa.string())
     model = _learned(texts, y)
     found, counts = model.passages(texts)
     best = np.array([max((s[2] for s in f), default=0.0) for f in found])
