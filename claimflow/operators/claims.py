@@ -56,8 +56,8 @@ def largest_display(top: DataFrame) -> DataFrame:
 
 def labels(claims: DataFrame) -> DataFrame:
     label = F.concat(
-        F.col("claim_id"), F.lit(" — "), F.col("claim_type"),
-        F.lit(" | "), F.col("country"), F.lit(" | "), F.col("status"),
+        _text("claim_id"), F.lit(" — "), _text("claim_type"),
+        F.lit(" | "), _text("country"), F.lit(" | "), _text("status"),
     )
     return claims.select("claim_id", label.alias("label"))
 
@@ -69,7 +69,7 @@ def detail_rows(claims: DataFrame) -> DataFrame:
         F.col("policy_number").alias("Policy"),
         F.col("claim_type").alias("Claim Type"),
         F.col("policy_type").alias("Policy Type"),
-        F.concat("city", F.lit(", "), "country").alias("Location"),
+        F.concat(_text("city"), F.lit(", "), _text("country")).alias("Location"),
         F.col("filing_date").cast("string").alias("Filing Date"),
     )
     return facts.unpivot(
@@ -114,7 +114,7 @@ def _text(column: str) -> Column:
 
 def render_prompts(claims: DataFrame) -> DataFrame:
     """One request text per claim, from fifteen columns, for a scorer further down the line."""
-    amount, limit, deductible = (fn.dollars(F.col(c)) for c in ["claim_amount", "coverage_limit", "deductible"])
+    amount, limit, deductible = (F.coalesce(fn.dollars(F.col(c)), F.lit("None")) for c in ["claim_amount", "coverage_limit", "deductible"])
     lines = [
         F.lit("Assess this insurance claim and answer with one JSON object."),
         F.concat(F.lit("Claim: "), _text("claim_id"), F.lit(", status "), _text("status")),

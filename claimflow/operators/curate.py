@@ -1,6 +1,6 @@
 """Joins that build the wide claims table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow import schemas
@@ -48,11 +48,14 @@ def build_curated_claims(
 
 def build_policy_text(policies: DataFrame) -> DataFrame:
     """Search-ready text per policy."""
+    def part(value) -> Column:
+        return F.coalesce(value, F.lit("None"))
+
     text = F.concat(
-        F.lit("Policy "), F.col("policy_number"),
-        F.lit(" is a "), F.col("policy_type"),
-        F.lit(" policy. Coverage limit $"), F.format_number("coverage_limit", 0),
-        F.lit(", deductible $"), F.format_number("deductible", 0),
-        F.lit(", annual premium $"), F.format_number("premium", 0), F.lit("."),
+        F.lit("Policy "), part(F.col("policy_number")),
+        F.lit(" is a "), part(F.col("policy_type")),
+        F.lit(" policy. Coverage limit $"), part(F.format_number("coverage_limit", 0)),
+        F.lit(", deductible $"), part(F.format_number("deductible", 0)),
+        F.lit(", annual premium $"), part(F.format_number("premium", 0)), F.lit("."),
     )
     return policies.select("policy_number", "policy_type", text.alias("search_text"))

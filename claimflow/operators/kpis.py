@@ -119,4 +119,5 @@ def kpi_display(kpis: DataFrame) -> DataFrame:
         fn.dollars(F.col("avg_amount")).alias("Avg Claim"),
         F.col("countries").cast("string").alias("Markets"),
         F.concat_ws(" / ", "evaluated", "total_claims").alias("Evaluated"),
+        *(fn.whole_number(F.col(name.lower())).alias(name) for name in ("Approved", "Denied", "Referred")),
     )

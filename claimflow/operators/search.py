@@ -1,16 +1,16 @@
 """Ranked search over text and over vectors.
 
 The questions are arguments of a call: a list the user gives, small by nature, and taken in
-blocks where it is long. The documents are the large side and never move: each task scores
-its documents against all questions of a block as one matrix product per Arrow batch, and
-hands on its k best per question. No join of questions with documents takes place, and the
-shuffle carries k rows per question and task.
+blocks inside a task where it is long. The documents are the large side and never move: each
+task scores its documents against all questions and hands on its k best per question. No join
+of questions with documents takes place, the shuffle carries k rows per question and task, and
+the documents are read once, or twice where corpus figures are needed, for any number of
+questions. Scores rank unrounded, and documents that are alike score alike to the last bit.
 """
 
 import re
 import sys
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 
 from claimflow import vocab
 from claimflow.functions import scalars as fn
-from claimflow.session import broadcast_bounded
+from claimflow.session import broadcast_bounded, fixed_rows
 
 # What runs in tasks travels with the job: executors need numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUESTIONS_PER_PASS = 64
-# Scores are rounded before they rank, so that equal documents tie whatever the order of summation.
-DIGITS = 6
-HITS = "query_id bigint, doc_id bigint, score double"
+# Questions that a task scores at once.
+BLOCK = 64
+
+
+def _hits(docs: DataFrame) -> str:
+    """The schema of hits; ids keep the type they have."""
+    return f"query_id bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
 
 
 def ranked_hits(scored: DataFrame, k: int) -> DataFrame:
@@ -38,38 +41,39 @@ def ranked_hits(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
-def _in_blocks(questions: list[tuple], one_pass) -> DataFrame:
+def _asked(questions: list[tuple]) -> list[int]:
     if not questions:
         raise ValueError("no questions given")
-    starts = range(0, len(questions), QUESTIONS_PER_PASS)
-    return reduce(DataFrame.unionByName, [one_pass(questions[i : i + QUESTIONS_PER_PASS]) for i in starts])
+    return [q for q, _ in questions]
 
 
 class _Best:
     """The k best (document, score) pairs per question seen by one task."""
 
     def __init__(self, query_ids: list[int], k: int):
-        self.query_ids, self.k = query_ids, k
-        self.kept = [(np.empty(0, np.int64), np.empty(0)) for _ in query_ids]
-
-    def add(self, doc_ids: np.ndarray, scores: np.ndarray) -> None:
-        for j, (old_ids, old_scores) in enumerate(self.kept):
-            ids = np.concatenate([old_ids, doc_ids])
-            values = np.concatenate([old_scores, scores[:, j]])
-            # Best score first, then smallest id: the order of the final ranking.
-            best = np.lexsort((ids, -values))[: self.k]
-            self.kept[j] = ids[best], values[best]
-
-    def batch(self) -> pa.RecordBatch:
-        counts = [len(ids) for ids, _ in self.kept]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(self.query_ids, np.int64), counts)),
-                pa.array(np.concatenate([ids for ids, _ in self.kept])),
-                pa.array(np.concatenate([values for _, values in self.kept])),
-            ],
-            ["query_id", "doc_id", "score"],
-        )
+        self.query_ids, self.k, self.type = query_ids, k, None
+        self.kept = [None] * len(query_ids)
+
+    def add(self, j: int, doc_ids: pa.Array, scores: np.ndarray) -> None:
+        """Rows of one batch for question number j."""
+        self.type = doc_ids.type
+        ids = doc_ids.to_numpy(zero_copy_only=False)
+        if self.kept[j] is not None:
+            ids = np.concatenate([self.kept[j][0], ids])
+            scores = np.concatenate([self.kept[j][1], scores])
+        if len(scores) > self.k:  # only rows that reach the k-th best score can stay
+            last = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            ids, scores = ids[scores >= last], scores[scores >= last]
+        # Best score first, then smallest id: the order of the final ranking.
+        by_id = np.argsort(ids, kind="stable")
+        best = by_id[np.argsort(-scores[by_id], kind="stable")][: self.k]
+        self.kept[j] = ids[best], scores[best]
+
+    def batches(self):
+        for query_id, kept in zip(self.query_ids, self.kept):
+            if kept is not None and len(kept[0]):
+                columns = [pa.array(np.full(len(kept[0]), query_id, np.int64)), pa.array(kept[0], self.type), pa.array(kept[1])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "score"])
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -78,15 +82,11 @@ class _Best:
 def search_vectors(docs: DataFrame, questions: list[tuple[int, list[float]]], k: int = vocab.SEARCH_HITS) -> DataFrame:
     """The k nearest documents per question vector by cosine, exactly.
 
-    `docs` has doc_id (bigint) and embedding. A document whose vector is missing, of another
+    `docs` has doc_id, of any type, and embedding. A document whose vector is missing, of another
     length or all zeros has no cosine and is no hit.
     """
-    return _in_blocks(questions, lambda block: _nearest(docs, block, k))
-
-
-def _nearest(docs: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    query_ids = [q for q, _ in block]
-    matrix = np.array([v for _, v in block], dtype=np.float64)
+    query_ids = _asked(questions)
+    matrix = np.array([v for _, v in questions], dtype=np.float64)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     width = matrix.shape[1]
 
@@ -95,17 +95,17 @@ def _nearest(docs: DataFrame, block: list[tuple[int, list[float]]], k: int) -> D
         for batch in batches:
             doc_ids, vectors = batch.column(0), batch.column(1)
             usable = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
-            doc_ids = doc_ids.filter(usable).to_numpy(zero_copy_only=False)
             flat = vectors.filter(usable).flatten().to_numpy(zero_copy_only=False)
             rows = flat.astype(np.float64).reshape(-1, width)
             norms = np.sqrt((rows * rows).sum(axis=1))
             good = np.isfinite(norms) & (norms > 0)
-            scores = (rows[good] / norms[good, None]) @ matrix.T
-            best.add(doc_ids[good], np.round(scores, DIGITS))
-        yield best.batch()
+            rows = rows[good] / norms[good, None]
+            doc_ids = doc_ids.filter(usable).filter(pa.array(good))
+            for j, question in enumerate(matrix):
+                best.add(j, doc_ids, (rows * question).sum(axis=1))  # a sum per row: equal rows, equal scores
+        yield from best.batches()
 
-    candidates = docs.select(F.col("doc_id").cast("bigint"), "embedding").mapInArrow(best_of_task, HITS)
-    return ranked_hits(candidates, k)
+    return ranked_hits(docs.select("doc_id", "embedding").mapInArrow(best_of_task, _hits(docs)), k)
 
 
 # --- text ----------------------------------------------------------------------------------------
@@ -140,82 +140,107 @@ def _term_stats(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _with_stats(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents beside the corpus figures: a scalar subquery of one short row."""
-    stats = _term_stats(docs, terms).scalar()
-    return docs.select(F.col("doc_id").cast("bigint"), "text", stats.alias("stats"))
+    """Documents with the corpus figures, a scalar subquery, in the first row of each partition."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return docs.select("doc_id", "text", F.when(first, _term_stats(docs, terms).scalar()).alias("stats"))
 
 
 class _TextScorer:
-    """Cosine of documents with a block of questions.
+    """Cosine of documents with questions.
 
     A document weighs a term 1 + ln(tf); a question does the same, times ln(1 + N / df). The
     norm of a document then needs nothing but its own text.
     """
 
     def __init__(self, questions: list[tuple[int, str]], terms: list[str]):
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.own = np.zeros((len(terms), len(questions)))
-        for j, (_, text) in enumerate(questions):
+        index = {t: i for i, t in enumerate(terms)}
+        self.terms = pa.array(terms, pa.string())
+        self.own = []
+        for _, text in questions:
             counts = terms_of(text)
-            self.own[[self.index[t] for t in counts], j] = _weights(counts.values())
-        self.matrix = None
-
-    def scores(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-        if self.matrix is None:
-            stats = dict(batch.column(2)[0].as_py())
-            held = np.array([stats.get(t, 0) for t in self.index], np.float64)
-            idf = np.log1p(np.divide(stats[""], held, out=np.zeros_like(held), where=held > 0))
-            weighted = self.own * idf[:, None]
-            length = np.linalg.norm(weighted, axis=0)
-            self.matrix = np.divide(weighted, length, out=np.zeros_like(weighted), where=length > 0)
-        rows = np.zeros((batch.num_rows, len(self.index)))
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            counts = terms_of(text)
-            if not counts:
-                continue
-            found = [t for t in counts if t in self.index]
-            norm = np.linalg.norm(_weights(counts.values()))
-            rows[i, [self.index[t] for t in found]] = _weights(counts[t] for t in found) / norm
-        return doc_ids, np.round(rows @ self.matrix, DIGITS)
+            at = np.array(sorted(index[t] for t in counts), np.int64)
+            self.own.append((at, _weights(counts[terms[i]] for i in at)))
+        self.weighted = None
+
+    def _learn(self, stats: dict) -> None:
+        held = np.array([stats.get(t, 0) for t in self.terms.to_pylist()], np.float64)
+        idf = np.log1p(np.divide(stats[""], held, out=np.zeros_like(held), where=held > 0))
+        self.weighted = []
+        for at, own in self.own:
+            values = own * idf[at]
+            length = np.sqrt((values * values).sum())
+            self.weighted.append((at, values / length if length > 0 else values))
+
+    def scores(self, batch: pa.RecordBatch):
+        """For blocks of questions: the first one's number, and a row of scores per document."""
+        if self.weighted is None:
+            self._learn(dict(batch.column(2)[0].as_py()))
+        texts = pc.utf8_lower(pc.fill_null(batch.column(1), ""))
+        parts = pc.split_pattern_regex(texts, "[^a-z]+")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        flat = parts.flatten()
+        full = pc.not_equal(flat, "")
+        coded = flat.filter(full).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = max(len(coded.dictionary), 1)
+        pair, tf = np.unique(row[full.to_numpy(zero_copy_only=False)] * n + codes, return_counts=True)
+        # In order of the count, so that alike documents add up the same numbers in the same order.
+        order = np.lexsort((tf, pair // n))
+        row, code, weight = (pair // n)[order], (pair % n)[order], 1 + np.log(tf[order])
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=batch.num_rows))
+        term = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        term = term[code] if len(code) else np.zeros(0, np.int64)
+        asked = term >= 0
+        row, term, weight = row[asked], term[asked], weight[asked]
+        for start in range(0, len(self.weighted), BLOCK):
+            block = self.weighted[start : start + BLOCK]
+            used = np.unique(np.concatenate([at for at, _ in block]))
+            place = np.full(len(self.terms), -1)
+            place[used] = np.arange(len(used))
+            own = place[term] >= 0
+            rows = np.zeros((batch.num_rows, len(used)))
+            rows[row[own], place[term[own]]] = weight[own]
+            total = np.stack([(rows[:, place[at]] * values).sum(axis=1) for at, values in block], axis=1)
+            yield start, np.divide(total, norm[:, None], out=np.zeros_like(total), where=norm[:, None] > 0)
 
 
 def search_text(docs: DataFrame, questions: list[tuple[int, str]], k: int = vocab.SEARCH_HITS) -> DataFrame:
     """The k best documents per question by term cosine over whole texts; a hit scores above zero.
 
-    Two narrow passes over the texts: one for the corpus figures, one that scores.
+    `docs` has doc_id, of any type, and text. Two narrow passes over the texts, whatever the
+    number of questions: one for the corpus figures, one that scores.
     """
+    query_ids, terms = _asked(questions), _vocabulary(questions)
 
-    def one_pass(block: list[tuple[int, str]]) -> DataFrame:
-        terms, query_ids = _vocabulary(block), [q for q, _ in block]
-
-        def best_of_task(batches):
-            scorer, best = _TextScorer(block, terms), _Best(query_ids, k)
-            for batch in batches:
-                if batch.num_rows:
-                    best.add(*scorer.scores(batch))
-            yield best.batch()
-
-        candidates = _with_stats(docs, terms).mapInArrow(best_of_task, HITS)
-        return ranked_hits(candidates.filter("score > 0"), k)
+    def best_of_task(batches):
+        scorer, best = _TextScorer(questions, terms), _Best(query_ids, k)
+        for batch in batches:
+            if batch.num_rows:
+                for start, scores in scorer.scores(batch):
+                    for j, own in enumerate(scores.T, start):
+                        best.add(j, batch.column(0).filter(pa.array(own > 0)), own[own > 0])
+        yield from best.batches()
 
-    return _in_blocks(questions, one_pass)
+    return ranked_hits(_with_stats(docs, terms).mapInArrow(best_of_task, _hits(docs)), k)
 
 
 def best_question(docs: DataFrame, questions: list[tuple[int, str]]) -> DataFrame:
     """Each document beside the question it answers best, the first listed on a tie; no shuffle."""
-    terms, query_ids = _vocabulary(questions), np.array([q for q, _ in questions], np.int64)
+    query_ids, terms = np.array(_asked(questions), np.int64), _vocabulary(questions)
 
     def best_per_document(batches):
         scorer = _TextScorer(questions, terms)
         for batch in batches:
             if batch.num_rows:
-                doc_ids, scores = scorer.scores(batch)
-                top = scores.argmax(axis=1)
-                columns = [doc_ids, query_ids[top], scores[np.arange(len(top)), top]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "query_id", "score"])
+                top, high = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1.0)
+                for start, scores in scorer.scores(batch):
+                    at = scores.argmax(axis=1)
+                    own = scores[np.arange(len(at)), at]
+                    top, high = np.where(own > high, at + start, top), np.maximum(own, high)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(query_ids[top]), pa.array(high)], ["doc_id", "query_id", "score"])
 
-    return _with_stats(docs, terms).mapInArrow(best_per_document, "doc_id bigint, query_id bigint, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_stats(docs, terms).mapInArrow(best_per_document, f"doc_id {kind}, query_id bigint, score double")
 
 
 # --- after the search ----------------------------------------------------------------------------
@@ -230,10 +255,15 @@ def with_documents(hits: DataFrame, docs: DataFrame, hits_at_most: int) -> DataF
     return docs.join(broadcast_bounded(hits, hits_at_most), "doc_id")
 
 
+def _kind():
+    """The document's type, or the word for a missing one."""
+    return F.coalesce("doc_type", F.lit("Unknown"))
+
+
 def hit_display(found: DataFrame) -> DataFrame:
     """A heading and a relevance line per hit."""
     heading = F.concat(
-        F.col("rank").cast("string"), F.lit(". "), F.col("doc_id").cast("string"), F.lit(" — "), F.col("doc_type")
+        F.col("rank").cast("string"), F.lit(". "), F.col("doc_id").cast("string"), F.lit(" — "), _kind()
     )
     line = F.concat(fn.relevance_band(F.col("score")), F.lit(" ("), F.format_number("score", 2), F.lit(")"))
     return found.select("query_id", "rank", heading.alias("heading"), line.alias("relevance"))
@@ -275,8 +305,8 @@ def read_search_response(responses: DataFrame) -> DataFrame:
 def assemble_context(hits: DataFrame) -> DataFrame:
     """All hits of a question as one labelled text in rank order; a group holds k rows at most."""
     part = F.concat(
-        F.lit("[Document "), F.col("doc_id").cast("string"), F.lit(" — "), F.col("doc_type"),
-        F.lit("]\n"), F.col("text"),
+        F.lit("[Document "), F.col("doc_id").cast("string"), F.lit(" — "), _kind(),
+        F.lit("]\n"), F.coalesce("text", F.lit("")),
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))
     return hits.groupBy("query_id").agg(
@@ -285,10 +315,9 @@ def assemble_context(hits: DataFrame) -> DataFrame:
     )
 
 
-def search_quality_gate(hits: DataFrame, pass_mark: float = vocab.SEARCH_PASS_MARK) -> DataFrame:
-    """Best score per question, and whether it reaches the pass mark."""
-    return (
-        hits.groupBy("query_id")
-        .agg(F.max("score").alias("best_score"))
-        .withColumn("passed", F.col("best_score") >= pass_mark)
-    )
+def search_quality_gate(hits: DataFrame, query_ids: list[int], pass_mark: float = vocab.SEARCH_PASS_MARK) -> DataFrame:
+    """Best score per asked question, and whether it reaches the pass mark; one without hits scores 0."""
+    asked = fixed_rows(hits.sparkSession, "query_id bigint", [(q,) for q in query_ids])
+    best = hits.groupBy("query_id").agg(F.max("score").alias("best_score"))
+    found = asked.join(best, "query_id", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))
+    return found.withColumn("passed", F.col("best_score") >= pass_mark)

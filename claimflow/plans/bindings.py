@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from claimflow import vocab
 from claimflow.functions import scalars as fn
 from claimflow.operators import curate, risk
-from claimflow.session import spread
 
 MONEY = "decimal(18,2)"
 # Codes by index 0..8: the eight markets, then a country outside them.
@@ -190,7 +189,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("  "), F.regexp_replace(body, "}$", "")))
         .otherwise(F.concat(F.lit("I cannot decide on "), F.col("claim_id")))
     )
-    first = spread(raw_claims(spark, sf_dir)).select(
+    first = raw_claims(spark, sf_dir).repartition(F.xxhash64("claim_id")).select(
         "claim_id", F.col("filing_date").alias("decided_at"), text.alias("response")
     )
     repeats = F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -230,13 +229,13 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("FINDINGS:\n")),
         F.lit("Handle "), F.col("claim_id"), F.lit(" as "), F.col("claim_type"), F.lit(".\n"),
     )
-    return spread(raw_claims(spark, sf_dir)).select(
+    return raw_claims(spark, sf_dir).repartition(F.xxhash64("claim_id")).select(
         F.concat(F.lit("note_"), key.cast("string"), F.lit(".txt")).alias("file_name"), text.alias("text")
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("doc_type"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

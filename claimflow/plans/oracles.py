@@ -246,7 +246,7 @@ questions AS (SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS)})) AS query_id, u
 doc_terms AS (
   SELECT doc_id, term, 1 + ln(count(*)) AS w
   FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
-doc_norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM doc_terms GROUP BY doc_id),
+doc_norms AS (SELECT doc_id, sqrt(list_sum(list(w * w ORDER BY w))) AS norm FROM doc_terms GROUP BY doc_id),
 idf AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM doc_terms GROUP BY term),
 question_terms AS (
   SELECT query_id, term, (1 + ln(count(*))) * any_value(idf) AS w
@@ -254,7 +254,7 @@ question_terms AS (
   GROUP BY ALL),
 question_norms AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM question_terms GROUP BY query_id),
 scored AS (
-  SELECT t.query_id, d.doc_id, round(sum(t.w * d.w) / any_value(n.norm * m.norm), 6) AS score
+  SELECT t.query_id, d.doc_id, list_sum(list(t.w * d.w ORDER BY t.term)) / any_value(n.norm) / any_value(m.norm) AS score
   FROM question_terms t JOIN doc_terms d USING (term) JOIN doc_norms n USING (doc_id) JOIN question_norms m ON m.query_id = t.query_id
   GROUP BY t.query_id, d.doc_id),
 ranks AS (
@@ -410,7 +410,7 @@ SELECT claim_id, score AS risk_score, points, CASE WHEN points <= 3 THEN 'Low' W
 FROM (SELECT *, CAST(trunc(TRY_CAST(score AS DOUBLE)) AS BIGINT) AS points
       FROM (SELECT claim_id, CASE WHEN failed THEN NULL ELSE risk_score END AS score FROM parsed))""")
 _RELEVANCE = "CASE WHEN score > 0.65 THEN 'High' WHEN score > 0.55 THEN 'Medium' ELSE 'Low' END AS relevance"
-oracle("relevance_band", "search", f"SELECT doc_id, score, {_RELEVANCE} FROM best")
+oracle("relevance_band", "search", f"SELECT doc_id, round(score, 6) AS score, {_RELEVANCE.replace('score', 'best.score')} FROM best")
 oracle("claim_labels", "claims", "SELECT claim_id, claim_id || ' — ' || claim_type || ' | ' || country || ' | ' || status AS label FROM claims")
 oracle("claim_detail_unpivot", "claims", """
 SELECT claim_id, 'Policy' AS field, policy_number AS value FROM claims
@@ -490,7 +490,8 @@ FROM evaluated"""
 oracle("kpi_display", "evaluated", f"""
 SELECT format('{{:,}}', total_claims) AS "Total Claims", '$' || format('{{:,.0f}}', total_amount) AS "Total Claimed",
        '$' || format('{{:,.0f}}', avg_amount) AS "Avg Claim", CAST(countries AS VARCHAR) AS "Markets",
-       evaluated || ' / ' || total_claims AS "Evaluated"
+       evaluated || ' / ' || total_claims AS "Evaluated", format('{{:,}}', approved) AS "Approved",
+       format('{{:,}}', denied) AS "Denied", format('{{:,}}', referred) AS "Referred"
 FROM ({_KPIS})""")
 
 # --- joins -----------------------------------------------------------------------------------------
@@ -506,7 +507,7 @@ oracle("decisions_onto_claims", "parsed",
 oracle("mismatch_anti_join", "claims", _MISMATCH)
 _BY_NAME = f"SELECT *, ({_POOL})[{bucket('claim_id', 10)} + 1] AS surname FROM claims"
 oracle("names_by_country", "claims", f"SELECT claim_id, country, surname FROM ({_BY_NAME})")
-oracle("query_doc_join", "search", "SELECT doc_id, query_id, score FROM best")
+oracle("query_doc_join", "search", "SELECT doc_id, query_id, round(score, 6) AS score FROM best")
 
 # --- aggregations ----------------------------------------------------------------------------------
 
@@ -574,7 +575,7 @@ oracle("risk_by_population", "risk", """
 SELECT country, country_code, gdp_per_capita, insurance_penetration, coalesce(natural_disaster_exposure, 0) AS disaster_exp,
        population, coalesce(disaster_displaced_persons, 0) AS displaced
 FROM country_risk ORDER BY population DESC NULLS FIRST, country""")
-oracle("search_topk", "search", "SELECT query_id, doc_id, score, rank FROM ranks WHERE rank <= 3")
+oracle("search_topk", "search", "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranks WHERE rank <= 3")
 oracle("row_count_gate", "claims risk", "SELECT tbl, cnt, expected, cnt = expected AS passed FROM (" + " UNION ALL ".join(
     f"SELECT {q(t)} AS tbl, (SELECT count(*) FROM {'country_risk' if t == 'indicators' else t}) AS cnt, CAST({n} AS BIGINT) AS expected"
     for t, n in vocab.EXPECTED_ROWS.items()) + ")")
@@ -621,11 +622,17 @@ oracle("search_vectors", "", """
 WITH probes AS (
   SELECT q AS query_id, list_transform(range(64), lambda i: cos((q + 1) * (i + 1))) AS probe FROM range(5) t(q)),
 scored AS (
-  SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], probe), 6) AS score
+  SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], probe) AS score
   FROM probes, embeddings)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY scored.score DESC, doc_id) AS rank
 FROM scored QUALIFY rank <= 5""")
-oracle("search_text", "search", f"SELECT query_id, doc_id, score, rank, {_RELEVANCE} FROM ranks WHERE rank <= 5")
+oracle("search_text", "search", f"SELECT query_id, doc_id, round(score, 6) AS score, rank, {_RELEVANCE.replace('score', 'ranks.score')} FROM ranks WHERE rank <= 5")
+PARTS["policy_docs"] = (f"""
+policy_docs AS (SELECT policy_number AS doc_id, policy_type AS lang, {_POLICY_TEXT} AS text FROM raw_policies)""", ["raw_policies"])
+PARTS["policy_hits"] = (SEARCH.replace("FROM documents", "FROM policy_docs"), ["policy_docs"])
+oracle("policy_search", "policy_hits", """
+SELECT query_id, rank, doc_id AS policy_number, lang AS policy_type, text AS search_text, round(score, 6) AS score
+FROM ranks JOIN policy_docs USING (doc_id) WHERE rank <= 5""")
 oracle("assemble_context", "search", """
 SELECT query_id, string_agg('[Document ' || doc_id || ' — ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
        count(*) AS documents
@@ -634,13 +641,15 @@ oracle("search_display", "search", f"""
 SELECT query_id, rank, rank || '. ' || doc_id || ' — ' || lang AS heading, relevance || ' (' || format('{{:.2f}}', score) || ')' AS relevance
 FROM (SELECT query_id, rank, doc_id, lang, score, {_RELEVANCE} FROM ranks JOIN documents USING (doc_id) WHERE rank <= 5)""")
 oracle("search_response", "search", """
-SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS policy_number, lang AS policy_type, text AS search_text, score
+SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS policy_number, lang AS policy_type, text AS search_text, round(score, 6) AS score
 FROM ranks JOIN documents USING (doc_id) WHERE rank <= 5""")
 oracle("clean_completion", "", r"""
 SELECT conv_id, turn, replace(replace(replace(replace(text, chr(10), '\n'), '\n', chr(10)), '\t', ' ') || ' cost $5', '$', '\$') AS answer
 FROM conversations""")
 oracle("search_quality_gate", "search",
-       "SELECT query_id, max(score) AS best_score, max(score) >= 0.5 AS passed FROM ranks GROUP BY query_id")
+       f"""
+SELECT q.query_id, round(coalesce(max(score), 0), 6) AS best_score, coalesce(max(score), 0) >= 0.5 AS passed
+FROM (SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS) + 1})) AS query_id) q LEFT JOIN ranks USING (query_id) GROUP BY 1""")
 
 # --- streaming and repair --------------------------------------------------------------------------
 

@@ -75,6 +75,11 @@ on_series = _over(b.timeseries)
 on_risk = _over(b.country_risk)
 
 
+def _shown(df: DataFrame, column: str = "score") -> DataFrame:
+    """Scores rank and filter unrounded; what is shown has six digits."""
+    return df.withColumn(column, F.round(column, 6))
+
+
 # --- sources and sinks -----------------------------------------------------------------------------
 
 
@@ -193,7 +198,7 @@ def _risk_band(spark, sf_dir):
 
 @register("relevance_band")
 def _relevance_band(spark, sf_dir):
-    return search.with_relevance(search.best_question(b.documents(spark, sf_dir), QUESTIONS)).select(
+    return _shown(search.with_relevance(search.best_question(b.documents(spark, sf_dir), QUESTIONS))).select(
         "doc_id", "score", "relevance"
     )
 
@@ -247,7 +252,7 @@ on_claims("mismatch_anti_join", quality.mismatch_anti_join)
 on_claims(
     "names_by_country", lambda df: repair.names_by_country(df).select("claim_id", "country", "surname")
 )
-_over(b.documents)("query_doc_join", lambda df: search.best_question(df, QUESTIONS))
+_over(b.documents)("query_doc_join", lambda df: _shown(search.best_question(df, QUESTIONS)))
 
 # --- aggregations ----------------------------------------------------------------------------------
 
@@ -305,7 +310,7 @@ on_claims("top10_claims", views.largest)
 on_risk("risk_profile", risk.risk_profile)
 on_risk("indicators_view", lambda df: risk.indicators_view(risk.indicators(df)))
 on_risk("risk_by_population", risk.risk_by_population)
-_over(b.documents)("search_topk", lambda df: search.search_text(df, QUESTIONS, k=3))
+_over(b.documents)("search_topk", lambda df: _shown(search.search_text(df, QUESTIONS, k=3)))
 
 
 @register("row_count_gate")
@@ -346,8 +351,8 @@ on_full_claims("evaluate_claim", lambda df: decisions.evaluate_claim(df, "CLM-7"
 on_full_claims("evaluation_display", lambda df: decisions.evaluation_display(decisions.evaluate(df)))
 on_full_claims("status_transitions", decisions.status_transitions)
 _over(b.raw_policies)("build_policy_text", curate.build_policy_text)
-_over(b.vectors)("search_vectors", lambda df: search.search_vectors(df, PROBES))
-_over(b.documents)("search_text", lambda df: search.with_relevance(search.search_text(df, QUESTIONS)))
+_over(b.vectors)("search_vectors", lambda df: _shown(search.search_vectors(df, PROBES)))
+_over(b.documents)("search_text", lambda df: _shown(search.with_relevance(search.search_text(df, QUESTIONS))))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +363,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _over(_found)("assemble_context", search.assemble_context)
 _over(_found)("search_display", search.hit_display)
-_over(_found)("search_response", lambda df: search.read_search_response(search.search_response(df)))
+_over(_found)("search_response", lambda df: _shown(search.read_search_response(search.search_response(df))))
 
 
 @register("clean_completion")
@@ -370,7 +375,22 @@ def _clean(spark, sf_dir):
     return rows.select("conv_id", "turn", responses.clean_completion(quoted).alias("answer"))
 
 
-_over(b.documents)("search_quality_gate", lambda df: search.search_quality_gate(search.search_text(df, QUESTIONS)))
+@register("policy_search")
+def _policy_search(spark, sf_dir):
+    """The sample questions over the texts of the policies, whose ids are policy numbers."""
+    docs = curate.build_policy_text(b.raw_policies(spark, sf_dir)).selectExpr(
+        "policy_number AS doc_id", "policy_type AS doc_type", "search_text AS text"
+    )
+    hits = search.with_documents(search.search_text(docs, QUESTIONS), docs, vocab.SEARCH_HITS * len(QUESTIONS))
+    return _shown(search.read_search_response(search.search_response(hits)))
+
+
+# One question more, which no document answers.
+ASKED = [*QUESTIONS, (len(QUESTIONS), "qqqzzzx")]
+_over(b.documents)(
+    "search_quality_gate",
+    lambda df: _shown(search.search_quality_gate(search.search_text(df, ASKED), [q for q, _ in ASKED]), "best_score"),
+)
 
 
 # --- streaming and repair --------------------------------------------------------------------------

@@ -1,6 +1,5 @@
 """Session settings and shared scratch space."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -10,9 +9,6 @@ from pyspark.sql import functions as F
 # A side whose row count is bounded by a fixed list is broadcast up to this many rows.
 BROADCAST_ROWS = 100_000
 
-# Pieces that one input split is dealt out into where cores would idle.
-SPREAD = 8
-
 
 def builder(app: str = "claimflow") -> SparkSession.Builder:
     """A session builder with the settings the operators are tuned for.
@@ -37,15 +33,11 @@ def builder(app: str = "claimflow") -> SparkSession.Builder:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared folder.
 
-    The folder named by spark.checkpoint.dir is used as it is; a machine-local one is made only
-    where the setting is empty, which is the case in local tests.
+    The folder named by spark.checkpoint.dir, else one in the warehouse, which a session's
+    executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="claimflow-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -65,14 +57,3 @@ def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame
     columns = [list(values) for values in zip(*rows)]
     names = [part.split()[0] for part in schema.split(",")]
     return spark.createDataFrame(pa.table(dict(zip(names, columns))), schema)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores where the input has fewer splits than cores.
-
-    For work that is heavy per row, on a stored table of one or two files. A table with splits
-    enough for every core, as any large one has, comes back as it is and is not shuffled.
-    Give it a scan, not a join: counting the splits of a join would run it.
-    """
-    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    return df.repartition(min(cores, SPREAD * splits)) if splits < cores else df

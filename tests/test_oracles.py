@@ -4,8 +4,8 @@ import __spark_entry__ as entry_point
 import pytest
 from compare import connect, differences
 
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+from claimflow.plans.oracles import ORACLES
+from claimflow.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +14,10 @@ def con(sf_dir):
         yield connection
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+
+
 def test_each_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
