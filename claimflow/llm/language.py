@@ -11,7 +11,7 @@ from claimflow.llm.text import mixed, portions, remainder, sampled_ids, sampled_
 
 ORDER = 4
 # Bounds of the sample that the models are fitted on: documents per language, characters of each.
-FIT_DOCS, FIT_CHARS = 600, 4_000
+FIT_DOCS, FIT_CHARS = 400, 4_000
 # Share of the fitting documents that the calibrated limit may reject, room beyond it in bits a
 # letter, and more of it for a short text of n letters: REJECT_SHORT / sqrt(n).
 REJECT_SHARE, REJECT_ROOM, REJECT_SHORT = 0.002, 1.0, 8.0
@@ -160,6 +160,7 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHAR
         bits, held = free.cross_entropy(pa.array(samples[n]["text"].tolist(), pa.string()))
         own = bits[held > 0, i]
         limits[n] = float(np.quantile(own, 1 - REJECT_SHARE)) + REJECT_ROOM if len(own) else np.inf
+    pa.default_memory_pool().release_unused()
     return Languages(models, limits)
 
 

@@ -13,7 +13,7 @@ from claimflow.llm.text import mixed, portions, remainder, sampled_ids, sampled_
 PASSAGE = 64  # words of an instance
 HIDDEN, GATE = 24, 12
 # Bounds of the fitting sample: documents of each label, characters of each.
-FIT_DOCS, FIT_CHARS = 2_500, 12_000
+FIT_DOCS, FIT_CHARS = 2_000, 8_000
 EPOCHS, RATE, RIDGE = 150, 0.01, 1e-4
 THRESHOLD = 0.3
 # Character classes counted in each word, as byte ranges: capitals, small letters, vowels, digits,
@@ -174,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 13) -> GatedAttention |
     y = sample["label"].to_numpy(np.float64) if len(sample) else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    rows, n = instances(pa.array(sample["text"].tolist(), pa.string()))
+    # A few documents at a time: the features of all words at once would fill the driver.
+    parts = [instances(pa.array(some.tolist(), pa.string())) for some in np.array_split(sample["text"].to_numpy(object), max(1, len(sample) // 100))]
+    rows, n = (np.concatenate(x) for x in zip(*parts))
+    pa.default_memory_pool().release_unused()
     importance = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
     return _trained(rows, n, y, importance / importance.mean(), seed)
 
@@ -188,7 +191,7 @@ def score(docs: DataFrame, model: GatedAttention | float) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, limit=1 << 20):
                 rows, n = instances(part.column("text"))
                 if isinstance(model, float):
                     p, weight = np.full(len(n), model), np.repeat(1.0 / n, n)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimflow.llm.text import hashes, mixed, portions, remainder, sampled_ids, sampled_texts, starts_of, sums, table, words
 
 # Bounds of the fitting sample: documents of each label, characters of each.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_000, 3_000, 6_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1_500, 2_000, 4_000
 # Strength of the Dirichlet prior in documents.
 PRIOR = 50.0
 # A token stands for itself and for its beginnings of these lengths, so that inflected forms share evidence.
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> ToxicModel:
     model.size = float(quiet.sum() / np.sum(np.maximum(counts[quiet], 1) * np.exp(-model.rate * best[quiet])))
     importance = np.where(y == 1, share[1] / max((y == 1).sum(), 1), share[0] / max((y == 0).sum(), 1))
     model.weights = _calibrated(model.features(found, counts), y, importance / importance.mean())
+    pa.default_memory_pool().release_unused()
     return model
 
 
