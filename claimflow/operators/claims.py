@@ -54,6 +54,21 @@ def largest_display(top: DataFrame) -> DataFrame:
     )
 
 
+def headline(claims: DataFrame) -> DataFrame:
+    """The four headline figures of each claim as report text; N/A where one is missing."""
+
+    def shown(value: Column) -> Column:
+        return F.coalesce(value, F.lit("N/A"))
+
+    return claims.select(
+        "claim_id",
+        shown(fn.dollars(F.col("claim_amount"))).alias("Claim Amount"),
+        shown(fn.dollars(F.col("coverage_limit"))).alias("Coverage Limit"),
+        shown(fn.dollars(F.col("deductible"))).alias("Deductible"),
+        shown(F.col("status")).alias("Status"),
+    )
+
+
 def labels(claims: DataFrame) -> DataFrame:
     label = F.concat(
         _text("claim_id"), F.lit(" — "), _text("claim_type"),

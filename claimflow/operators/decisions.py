@@ -16,6 +16,7 @@ def parse_decisions(responses_df: DataFrame, on_error: str = "REFER", text: str
 
     With on_error "REFER" an unreadable response becomes REFER with score 5 and payout 0, and
     an object without a decision counts as REFER. With "ERROR" they become ERROR and UNKNOWN.
+    `accepted` is the text of the object that was read, with all its keys, NULL without one.
     """
     if on_error not in ("REFER", "ERROR"):
         raise ValueError("on_error is REFER or ERROR")
@@ -40,6 +41,9 @@ def parse_decisions(responses_df: DataFrame, on_error: str = "REFER", text: str
                     parsed["recommended_payout"].try_cast(MONEY)
                 ),
                 "reasoning": F.when(failed, clean).otherwise(parsed["reasoning"]),
+                "accepted": F.when(responses.only(whole).isNotNull(), clean).when(
+                    ~failed, responses.widest_braces(clean)
+                ),
             }
         )
         .drop("_clean", "_whole", "_inner", "_parsed")
@@ -131,7 +135,9 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
     Taken as a maximum over the whole decision, so equal times are settled the same way on every
     run, and one row per claim leaves each task however often a claim was decided.
     """
-    newest = F.max(F.struct("decided_at", "decision", "risk_score", "recommended_payout", "reasoning"))
+    if "accepted" not in decisions.columns:
+        decisions = decisions.withColumn("accepted", F.lit(None).cast("string"))
+    newest = F.max(F.struct("decided_at", "decision", "risk_score", "recommended_payout", "reasoning", "accepted"))
     return (
         decisions.filter(F.col("claim_id").isNotNull())
         .groupBy("claim_id")
@@ -141,9 +147,15 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
 
 def decisions_onto_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Claims beside their newest decision, if any. A claim is never lost or doubled."""
+    """Claims beside their newest decision, if any. A claim is never lost or doubled.
+
+    What is stored is the JSON as it was accepted; a decision that came without one is written
+    as JSON of its four fields.
+    """
     found = latest_decisions(decisions).select(
-        "claim_id", F.col("decision").alias("new_decision"), decision_json().alias("new_reasoning")
+        "claim_id",
+        F.col("decision").alias("new_decision"),
+        F.coalesce("accepted", decision_json()).alias("new_reasoning"),
     )
     return claims.join(found, "claim_id", "left")
 

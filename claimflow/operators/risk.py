@@ -19,17 +19,26 @@ def scan_timeseries(timeseries: DataFrame, markets: dict[str, str] = vocab.MARKE
 def latest_value(timeseries: DataFrame) -> DataFrame:
     """The newest row per entity and indicator name.
 
-    A missing date counts as newest; the larger value settles equal dates. This is the first
-    row of each group by that order, taken as a maximum: unlike a ranking it sorts no group, and
-    one row per group leaves each task, so an entity that holds most of the rows costs no more
-    than any other.
+    A missing date counts as newest; the larger value settles equal dates. Two hash aggregates
+    with buffers of fixed width: the newest date per group, then the largest value among the rows
+    of that date. Neither sorts a row, and one row per group leaves each task, so an entity that
+    holds most of the rows costs no more than any other. The series is read twice for it.
     """
-    newest = F.max(F.struct(F.col("date").isNull().alias("undated"), "date", "value")).alias("newest")
-    return (
-        timeseries.groupBy("geo_id", "variable_name")
-        .agg(newest)
-        .select("geo_id", "variable_name", "newest.date", "newest.value")
+    keys = ["geo_id", "variable_name"]
+    newest = timeseries.groupBy(*keys).agg(
+        F.bool_or(F.col("date").isNull()).alias("undated"), F.max("date").alias("dated")
+    ).select(
+        F.col("geo_id").alias("_geo"),
+        F.col("variable_name").alias("_name"),
+        F.when(~F.col("undated"), F.col("dated")).alias("_date"),
+    )
+    of_newest = (
+        F.col("geo_id").eqNullSafe(F.col("_geo"))
+        & F.col("variable_name").eqNullSafe(F.col("_name"))
+        & F.col("date").eqNullSafe(F.col("_date"))
     )
+    rows = timeseries.select(*keys, "date", "value").join(newest, of_newest, "left_semi")
+    return rows.groupBy(*keys, "date").agg(F.max("value").alias("value"))
 
 
 def _largest(name_matches: Column) -> Column:

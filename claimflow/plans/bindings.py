@@ -178,7 +178,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit('{"decision": "'), word, F.lit('", "risk_score": '), (key % 10 + 1).cast("string"),
         F.lit(', "recommended_payout": '), (key % 1000).cast("string"),
-        F.lit(', "reasoning": "case '), F.col("claim_id"), F.lit('"}'),
+        F.lit(', "flags": ["manual"], "reasoning": "case '), F.col("claim_id"), F.lit('"}'),
     )
     shape = key % 6
     text = (

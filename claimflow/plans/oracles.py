@@ -124,7 +124,7 @@ RESPONSES = r"""
 first_responses AS (
   SELECT claim_id, filing_date, k,
          '{"decision": "' || CASE k % 3 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'DENY' ELSE 'REFER' END || '", "risk_score": '
-         || (k % 10 + 1) || ', "recommended_payout": ' || (k % 1000) || ', "reasoning": "case ' || claim_id || '"}' AS body
+         || (k % 10 + 1) || ', "recommended_payout": ' || (k % 1000) || ', "flags": ["manual"], "reasoning": "case ' || claim_id || '"}' AS body
   FROM raw_claims),
 responses AS (
   SELECT claim_id, filing_date AS decided_at,
@@ -157,7 +157,7 @@ parsed AS (
          CASE WHEN obj IS NULL THEN 'REFER' ELSE coalesce(obj ->> '$.decision', 'REFER') END AS decision,
          CASE WHEN obj IS NULL THEN '5' ELSE obj ->> '$.risk_score' END AS risk_score,
          CASE WHEN obj IS NULL THEN 0 ELSE TRY_CAST(obj ->> '$.recommended_payout' AS DECIMAL(18,2)) END AS recommended_payout,
-         CASE WHEN obj IS NULL THEN clean ELSE obj ->> '$.reasoning' END AS reasoning, obj IS NULL AS failed
+         CASE WHEN obj IS NULL THEN clean ELSE obj ->> '$.reasoning' END AS reasoning, obj AS accepted, obj IS NULL AS failed
   FROM read),
 last_decisions AS (
   SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY decided_at DESC) = 1)
@@ -326,24 +326,35 @@ _ALL_CLAIM_COLUMNS = """claim_id, claim_type, policy_type, policy_number, status
 oracle("ingest_claims_stream", "raw_claims",
        "SELECT claim_id, policy_number, claim_type, status, filing_date, claim_amount::DOUBLE AS claim_amount, description FROM raw_claims")
 oracle("read_notes", "raw_claims", """
-SELECT claim_type AS kind, CAST(sum(length(claim_id || ' ' || description) + 1) AS BIGINT) AS chars, count(*) AS lines
-FROM raw_claims GROUP BY 1""")
+SELECT claim_type AS kind, CAST(k // 5000 AS BIGINT) AS part, true AS named, count(*) AS lines,
+       md5(string_agg(claim_id || ' ' || description || chr(10), '' ORDER BY k)) AS text_md5
+FROM raw_claims GROUP BY ALL""")
 _POLICY_TEXT = """'Policy ' || policy_number || ' is a ' || policy_type || ' policy. Coverage limit $'
   || format('{:,.0f}', coverage_limit::DOUBLE) || ', deductible $' || format('{:,.0f}', deductible::DOUBLE)
   || ', annual premium $' || format('{:,.0f}', premium::DOUBLE) || '.'"""
 oracle("read_policy_docs", "raw_policies", f"""
-SELECT policy_type AS kind, CAST(sum(length({_POLICY_TEXT}) + 1) AS BIGINT) AS chars, count(*) AS lines
-FROM raw_policies GROUP BY 1""")
+SELECT policy_type AS kind, CAST(CAST(substr(policy_number, 5) AS BIGINT) // 5000 AS BIGINT) AS part, true AS named,
+       count(*) AS lines, md5(string_agg({_POLICY_TEXT} || chr(10), '' ORDER BY CAST(substr(policy_number, 5) AS BIGINT))) AS text_md5
+FROM raw_policies GROUP BY ALL""")
 oracle("materialize_risk", "risk", "SELECT * FROM country_risk")
 _APPLIED = """
 SELECT c.claim_id, coalesce(CASE d.decision WHEN 'APPROVE' THEN 'Approved' WHEN 'DENY' THEN 'Denied' WHEN 'REFER' THEN 'Under Review' END,
                             CASE WHEN d.decision IS NULL THEN c.status ELSE 'Under Review' END) AS status,
        d.decision AS ai_decision,
-       '{"decision":"' || d.decision || '","risk_score":"' || d.risk_score || '","recommended_payout":'
-         || CAST(d.recommended_payout AS DECIMAL(18,2)) || ',"reasoning":"' || replace(d.reasoning, '"', '\\"') || '"}' AS ai_reasoning,
+       CASE WHEN d.accepted IS NOT NULL THEN d.accepted ELSE '{"decision":"' || d.decision || '","risk_score":"' || d.risk_score || '","recommended_payout":'
+         || CAST(d.recommended_payout AS DECIMAL(18,2)) || ',"reasoning":"' || replace(d.reasoning, '"', '\\"') || '"}' END AS ai_reasoning,
        c.claim_amount::DOUBLE AS claim_amount
 FROM claims c LEFT JOIN last_decisions d USING (claim_id)"""
 oracle("apply_decisions", "claims parsed", _APPLIED)
+oracle("write_back_versions", "claims parsed", f"""
+SELECT c.claim_id, c.status AS old_status, c.ai_decision AS old_decision, a.status AS new_status, a.ai_decision AS new_decision
+FROM claims c JOIN ({_APPLIED}) a USING (claim_id)
+WHERE c.status IS DISTINCT FROM a.status OR c.ai_decision IS DISTINCT FROM a.ai_decision""")
+oracle("claim_headline", "claims", """
+SELECT claim_id, coalesce('$' || format('{:,.0f}', claim_amount::DOUBLE), 'N/A') AS "Claim Amount",
+       coalesce('$' || format('{:,.0f}', coverage_limit::DOUBLE), 'N/A') AS "Coverage Limit",
+       coalesce('$' || format('{:,.0f}', deductible::DOUBLE), 'N/A') AS "Deductible", coalesce(status, 'N/A') AS "Status"
+FROM claims""")
 oracle("export_csv", "claims", """
 SELECT claim_id, claim_type, country, city, claim_amount::DOUBLE AS claim_amount, description FROM claims WHERE claim_amount > 250000""")
 oracle("scan_claims", "full_claims", f"SELECT {_ALL_CLAIM_COLUMNS.replace(' premium::DOUBLE AS premium,', '')}, description FROM full_claims")
@@ -587,11 +598,11 @@ oracle("itemized_totals", "notes", """
 SELECT file_name, CASE WHEN k % 3 = 2 THEN 999999.0 ELSE claim_amount::DOUBLE END AS stated_total, 1000.5::DOUBLE + k % 100 AS itemized_total
 FROM note_texts""")
 oracle("parse_decisions", "parsed", """
-SELECT claim_id, decided_at, decision, risk_score, recommended_payout::DOUBLE AS recommended_payout, reasoning FROM parsed""")
+SELECT claim_id, decided_at, decision, risk_score, recommended_payout::DOUBLE AS recommended_payout, reasoning, accepted FROM parsed""")
 oracle("parse_decisions_strict", "parsed", """
 SELECT claim_id, decided_at, CASE WHEN failed THEN 'ERROR' ELSE decision END AS decision,
        CASE WHEN failed THEN NULL ELSE risk_score END AS risk_score,
-       CASE WHEN failed THEN NULL ELSE recommended_payout::DOUBLE END AS recommended_payout, reasoning FROM parsed""")
+       CASE WHEN failed THEN NULL ELSE recommended_payout::DOUBLE END AS recommended_payout, reasoning, accepted FROM parsed""")
 oracle("previous_evaluation", "evaluated", """
 SELECT claim_id, coalesce(obj ->> '$.decision', ai_decision) AS decision, coalesce(obj ->> '$.risk_score', 'N/A') AS risk_score,
        coalesce(obj ->> '$.recommended_payout', '0') AS recommended_payout,
@@ -654,6 +665,7 @@ FROM (SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS) + 1})) AS query_id) q LEF
 # --- streaming and repair --------------------------------------------------------------------------
 
 oracle("stream_status_counts", "claims parsed", f"SELECT status, count(*) AS cnt FROM ({_APPLIED}) GROUP BY 1")
+oracle("malformed_decisions", "responses", """SELECT '{"claim_id": "' || claim_id || '"' AS record FROM responses""")
 oracle("hash_bucket", "claims", f"SELECT claim_id, {bucket('claim_id', 7)} AS bucket FROM claims")
 oracle("repair_claim_types", "retyped", "SELECT claim_id, policy_type, claim_type FROM retyped")
 oracle("repair_descriptions", "retyped", f"""

@@ -23,7 +23,8 @@ MARKET_ROWS = len(vocab.MARKETS)
 # Parameters of the vector and text searches: probe vectors by rule, and the sample questions.
 PROBES = [(q, [math.cos((q + 1) * (i + 1)) for i in range(64)]) for q in range(5)]
 QUESTIONS = list(enumerate(vocab.SAMPLE_QUESTIONS))
-NOTE_LINES_PER_FILE = 20_000
+# Claims or policies per note file, by key: the files grow in number with the data, not in length.
+KEYS_PER_FILE = 5_000
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -60,8 +61,8 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def _claims_with_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide claims plus population and displaced persons; the risk table is computed once, stored."""
-    table = tables.write_snapshot(b.country_risk(spark, sf_dir), scratch(spark, "country_risk"))
+    """Wide claims plus population and displaced persons; both joins read one aggregate."""
+    table = b.country_risk(spark, sf_dir)
     wide = curate.build_curated_claims(
         b.raw_claims(spark, sf_dir), b.raw_customers(spark, sf_dir), b.raw_policies(spark, sf_dir), table, MARKET_ROWS
     )
@@ -92,15 +93,19 @@ def _ingest(spark, sf_dir):
 
 
 def _write_lines(lines: DataFrame, folder: str) -> None:
-    lines.write.option("maxRecordsPerFile", NOTE_LINES_PER_FILE).partitionBy("kind").text(folder)
-
-
-def _text_sizes(whole: DataFrame) -> DataFrame:
-    """Characters and lines per folder, whatever the number of files in it."""
-    kind = F.url_decode(F.regexp_extract("file_path", "kind=([^/]*)/", 1))
-    return whole.groupBy(kind.alias("kind")).agg(
-        F.sum(F.length("text")).alias("chars"),
-        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"),
+    """One file per kind and range of keys, in a folder named after both, lines by key."""
+    dealt = lines.withColumn("part", F.floor(F.col("key") / KEYS_PER_FILE)).repartition("kind", "part")
+    dealt.sortWithinPartitions("kind", "part", "key").drop("key").write.partitionBy("kind", "part").text(folder)
+
+
+def _per_file(whole: DataFrame) -> DataFrame:
+    """One row per file: its kind and part by its path, its lines and a hash of its text."""
+    return whole.select(
+        F.url_decode(F.regexp_extract("file_path", "kind=([^/]*)/", 1)).alias("kind"),
+        F.regexp_extract("file_path", "part=([^/]*)/", 1).cast("bigint").alias("part"),
+        (F.col("file_name") == F.element_at(F.split("file_path", "/"), -1)).alias("named"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"),
+        F.md5("text").alias("text_md5"),
     )
 
 
@@ -109,16 +114,17 @@ def _read_notes(spark, sf_dir):
     folder = scratch(spark, "notes")
     claims = b.raw_claims(spark, sf_dir)
     line = F.concat("claim_id", F.lit(" "), "description")
-    _write_lines(claims.select(F.col("claim_type").alias("kind"), line.alias("value")), folder)
-    return _text_sizes(texts.read_notes(spark, folder))
+    _write_lines(claims.select(F.col("claim_type").alias("kind"), b.claim_key().alias("key"), line.alias("value")), folder)
+    return _per_file(texts.read_notes(spark, folder))
 
 
 @register("read_policy_docs")
 def _read_policy_docs(spark, sf_dir):
     folder = scratch(spark, "policies")
     docs = curate.build_policy_text(b.raw_policies(spark, sf_dir))
-    _write_lines(docs.select(F.col("policy_type").alias("kind"), F.col("search_text").alias("value")), folder)
-    return _text_sizes(texts.read_policy_docs(spark, folder))
+    key = F.substring("policy_number", 5, 20).cast("bigint").alias("key")
+    _write_lines(docs.select(F.col("policy_type").alias("kind"), key, F.col("search_text").alias("value")), folder)
+    return _per_file(texts.read_policy_docs(spark, folder))
 
 
 @register("materialize_risk")
@@ -133,6 +139,17 @@ def _apply(spark, sf_dir):
     return done.select("claim_id", "status", "ai_decision", "ai_reasoning", "claim_amount")
 
 
+@register("write_back_versions")
+def _versions(spark, sf_dir):
+    """Two committed versions of the claims, parsed decisions between them; what has changed."""
+    root = scratch(spark, "claims_versions")
+    rows = b.claims(spark, sf_dir).select("claim_id", "status", "ai_decision", "ai_reasoning")
+    before = tables.write_version(rows, root, first=True)
+    parsed = decisions.parse_decisions(b.responses(spark, sf_dir))
+    tables.write_version(decisions.apply_decisions(tables.read_version(spark, root, rows.schema), parsed), root)
+    return decisions.version_changes(before, tables.read_version(spark, root, rows.schema))
+
+
 @register("export_csv")
 def _export(spark, sf_dir):
     path = scratch(spark, "csv")
@@ -204,6 +221,7 @@ def _relevance_band(spark, sf_dir):
 
 
 on_claims("claim_labels", views.labels)
+on_claims("claim_headline", views.headline)
 on_claims("claim_detail_unpivot", views.detail_rows)
 on_claims("claim_type_mismatch", quality.claim_type_mismatch)
 on_claims("description_violations", quality.description_violations)
@@ -396,12 +414,23 @@ _over(b.documents)(
 # --- streaming and repair --------------------------------------------------------------------------
 
 
+def _decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All responses through the stream, and for each a second record that breaks off."""
+    root = scratch(spark, "decisions")
+    whole = F.to_json(F.struct("claim_id", "decided_at", "response"))
+    broken = F.concat(F.lit('{"claim_id": "'), F.col("claim_id"), F.lit('"'))
+    b.responses(spark, sf_dir).select(F.explode(F.array(whole, broken)).alias("value")).write.text(f"{root}/in")
+    return jobs.log_decisions(spark, f"{root}/in", f"{root}/log", f"{root}/checkpoint")
+
+
 @register("stream_status_counts")
 def _stream_counts(spark, sf_dir):
-    root = scratch(spark, "decisions")
-    b.responses(spark, sf_dir).write.json(f"{root}/in")
-    log = jobs.log_decisions(spark, f"{root}/in", f"{root}/log", f"{root}/checkpoint")
-    return jobs.stream_status_counts(b.claims(spark, sf_dir), log)
+    return jobs.stream_status_counts(b.claims(spark, sf_dir), _decision_log(spark, sf_dir))
+
+
+@register("malformed_decisions")
+def _malformed(spark, sf_dir):
+    return jobs.malformed_decisions(_decision_log(spark, sf_dir)).select(F.col(jobs.MALFORMED).alias("record"))
 
 
 on_claims("hash_bucket", lambda df: repair.hash_buckets(df, 7))

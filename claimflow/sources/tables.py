@@ -1,6 +1,9 @@
-"""Tables, dataset projections, snapshots and CSV export."""
+"""Tables, dataset projections, snapshots, versions and CSV export."""
+
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimflow import schemas
 
@@ -38,6 +41,33 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+VERSIONS = "version bigint, folder string"
+
+
+def _newest_version(spark: SparkSession, root: str):
+    return spark.read.schema(VERSIONS).json(f"{root}/versions").orderBy(F.desc("version"), "folder").first()
+
+
+def read_version(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The committed version of a table."""
+    return spark.read.schema(schema).parquet(f"{root}/{_newest_version(spark, root)['folder']}")
+
+
+def write_version(df: DataFrame, root: str, first: bool = False) -> DataFrame:
+    """Commit the next version of a table and read it back. One writer at a time.
+
+    The rows go to a new folder, and the record that names it is written last, so a version is
+    seen whole or not at all, and `df` may read the version before. `first` starts the table.
+    """
+    spark = df.sparkSession
+    number = 0 if first else _newest_version(spark, root)["version"] + 1
+    folder = f"v{number}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{folder}")
+    record = spark.range(1).select(F.lit(number).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
+    record.write.mode("errorifexists" if first else "append").json(f"{root}/versions")
+    return spark.read.schema(df.schema).parquet(f"{root}/{folder}")
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
     """Store a table in buckets of a key, so that later joins on the key leave it in place.
 

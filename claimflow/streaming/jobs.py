@@ -76,17 +76,27 @@ def log_decisions(
     """Parse newly arrived evaluation responses and append them to the decision log.
 
     A micro-batch writes its own decisions only. The wide claims table is not rewritten per
-    batch; `current_claims` applies the log when the table is read.
+    batch; `current_claims` applies the log when the table is read. A record that does not parse,
+    or whose time does not, stays in the log with its raw text in `_malformed` and is not applied;
+    `malformed_decisions` lists such records.
     """
-    arrived = _read_json_stream(spark, schemas.RAW_DECISIONS, folder, files_per_batch).drop(MALFORMED)
+    arrived = _read_json_stream(spark, schemas.RAW_DECISIONS, folder, files_per_batch)
     parsed = decisions.parse_decisions(arrived).drop("response")
     _run_to_end(parsed, log, checkpoint)
     return spark.read.schema(parsed.schema).parquet(log)
 
 
+def good_decisions(log: DataFrame) -> DataFrame:
+    return log.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def malformed_decisions(log: DataFrame) -> DataFrame:
+    return log.filter(F.col(MALFORMED).isNotNull()).select(MALFORMED)
+
+
 def current_claims(claims: DataFrame, log: DataFrame) -> DataFrame:
-    """Claims with the newest logged decision applied; write it out to compact the log."""
-    return decisions.apply_decisions(claims, log)
+    """Claims with the newest logged decision applied; a version of it compacts the log."""
+    return decisions.apply_decisions(claims, good_decisions(log))
 
 
 def stream_status_counts(claims: DataFrame, log: DataFrame) -> DataFrame:

@@ -199,3 +199,17 @@ def test_random_texts_read_alike(spark):
             assert json.loads(got[i]) == expected, text
         else:
             assert got[i] == expected, (text, wanted)
+
+
+def test_the_whole_accepted_object_is_stored(spark):
+    text = '{"decision": "DENY", "risk_score": 7, "recommended_payout": 10.5, "flags": ["a"], "reasoning": "r"}'
+    claims = spark.createDataFrame([("C1", "Pending", None, None), ("C2", "Pending", None, None)],
+                                   "claim_id string, status string, ai_decision string, ai_reasoning string")
+    said = spark.createDataFrame([("C1", f"Well: {text} .", None), ("C2", "no idea", None)],
+                                 "claim_id string, response string, decided_at timestamp_ntz")
+    done = decisions.apply_decisions(claims, decisions.parse_decisions(said))
+    rows = {r.claim_id: r for r in done.collect()}
+    assert rows["C1"].ai_reasoning == text and rows["C1"].status == "Denied"
+    assert rows["C2"].ai_decision == "REFER" and '"reasoning":"no idea"' in rows["C2"].ai_reasoning
+    read = {r.claim_id: r for r in decisions.previous_evaluation(done).collect()}
+    assert (read["C1"].risk_score, read["C1"].recommended_payout, read["C1"].reasoning) == ("7", "10.5", "r")

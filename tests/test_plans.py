@@ -31,6 +31,7 @@ def test_series_conditions_reach_the_scan(stored):
     # One row per group leaves each task, and no group is sorted by date.
     assert "partial_max" in text and "Window" not in text
     assert text.index("partial_max") > text.index("Exchange hashpartitioning(geo_id")
+    assert "SortAggregate" not in text and "HashAggregate" in text
 
 
 def test_newest_decision_is_cut_before_the_shuffle(spark, sf_dir):

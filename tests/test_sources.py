@@ -112,3 +112,17 @@ def test_scratch_follows_the_cluster_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch(spark, "x"), scratch(spark, "x")
     assert first != second and first.startswith(f"{base}/x-")
+
+
+def test_versions_are_committed_one_after_the_other(spark, tmp_path):
+    root = str(tmp_path / "table")
+    first = tables.write_version(spark.range(3).selectExpr("id", "0 AS v"), root, first=True)
+    old = tables.read_version(spark, root, first.schema)
+    tables.write_version(old.selectExpr("id", "v + 1 AS v"), root)
+    assert {r.v for r in tables.read_version(spark, root, first.schema).collect()} == {1}
+    assert {r.v for r in first.collect()} == {0}
+    # A folder that no record names is never read, and a table starts once.
+    spark.range(9).selectExpr("id", "5 AS v").write.parquet(f"{root}/v9-unfinished")
+    assert tables.read_version(spark, root, first.schema).count() == 3
+    with pytest.raises(Exception):
+        tables.write_version(first, root, first=True)

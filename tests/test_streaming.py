@@ -65,6 +65,25 @@ def test_decisions_follow_the_stream(spark, sf_dir, tmp_path):
     assert table.count() == 4 and jobs.log_decisions(spark, folder, log, check).count() == 4
     after = {r.status: r.cnt for r in jobs.stream_status_counts(claims, table).collect()}
     assert after["Approved"] == 1 and "Denied" not in after
+    assert jobs.malformed_decisions(table).count() == 0
     assert after["Pending"] == before["Pending"] - 2
     assert after["Under Review"] == before["Under Review"] + 1
     assert jobs.current_claims(claims, table).count() == claims.count()
+
+
+def test_unreadable_decision_records_are_kept_and_not_applied(spark, sf_dir, tmp_path):
+    folder, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    claims = bindings.claims(spark, sf_dir)
+    lines = [
+        '{"claim_id": "CLM-1", "decided_at": "not a time", "response": "{\\"decision\\": \\"DENY\\"}"}',
+        '{"claim_id": "CLM-1", "decided_at"',
+        '{"claim_id": "CLM-1", "response": "{\\"decision\\": \\"APPROVE\\"}"}',
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n")
+    table = jobs.log_decisions(spark, folder, log, check)
+    assert {r[0] for r in jobs.malformed_decisions(table).collect()} == set(lines[:2])
+    good = jobs.good_decisions(table).collect()
+    assert [(r.claim_id, r.decided_at, r.decision) for r in good] == [("CLM-1", None, "APPROVE")]
+    done = jobs.current_claims(claims, table).filter("claim_id = 'CLM-1'").first()
+    assert done.status == "Approved"
