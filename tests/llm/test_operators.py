@@ -365,6 +365,34 @@ def test_base_scores_against_counts(docs, odd, none, monkeypatch):
     assert scoring.score(odd, none).count() == len(TEXTS)
 
 
+def test_context_past_any_prefix_is_learned(spark, monkeypatch):
+    """Texts differ only behind 6,000 characters; what stands there has to shape the scores."""
+    monkeypatch.setattr(scoring, "STEPS", 20)
+    rng = np.random.default_rng(4)
+    opening = " ".join(rng.permutation(["red", "blue", "green", "white", "black"] * 300).tolist())
+    tail = "north south east west " * 200
+    turned = "south north west east " * 200  # the same words, so the same counts of words and ids
+    asked = spark.createDataFrame([(1, "north south east west " * 5), (2, "south north west east " * 5)], "doc_id long, text string")
+
+    def gap(end):
+        learn = spark.createDataFrame([(i, f"{opening} {end}") for i in range(12)], "doc_id long, text string")
+        found = {r["doc_id"]: r["score"] for r in scoring.score(asked, learn).collect()}
+        return found[1] - found[2]
+
+    assert gap(tail) - gap(turned) > 10
+
+
+def test_transitions_cover_all_texts_however_dealt(docs):
+    counts = scoring.id_counts(scoring.word_counts(docs), scoring.TOKENIZER)
+    counts[scoring.END] += docs.count()
+    model = scoring.Attention.new(counts, 1)
+    runs = [scoring.context(docs.repartition(n), model, scoring.TOKENIZER, 0.1).toPandas() for n in (2, 7)]
+    assert all(r["n"].sum() == counts.sum() for r in runs)
+    one, other = (sorted(r["window"].dropna()) for r in runs)
+    assert one == other and len(one) > 0
+    assert runs[0].groupby("cell")["n"].sum().equals(runs[1].groupby("cell")["n"].sum())
+
+
 def test_every_id_is_scored_once():
     counts = np.array([1, 8, 9, 40, 3])
     seen = np.zeros(counts.sum(), int)
