@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from claimflow.llm.text import mixed, portions, remainder, sampled_ids, sampled_texts, spans, starts_of, sums, table, words
 
 ORDER = 4
-# Bounds of the sample that the models are fitted on: documents per language, characters of each.
-FIT_DOCS, FIT_CHARS = 400, 4_000
+# Bound of the sample that the models are fitted on: documents per language, whole.
+FIT_DOCS = 400
 # Share of the fitting documents that the calibrated limit may reject, room beyond it in bits a
 # letter, and more of it for a short text of n letters: REJECT_SHORT / sqrt(n).
 REJECT_SHARE, REJECT_ROOM, REJECT_SHORT = 0.002, 1.0, 8.0
@@ -136,39 +136,59 @@ class Languages:
         return names, np.where(held, 1 / gap.sum(axis=1), 0.0), least, ~held | (least > self.limits[best] + REJECT_SHORT / np.sqrt(np.maximum(n, 1)))
 
 
-def fit(labelled: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHARS, seed: int = 11) -> Languages:
+def fit(labelled: DataFrame, per_language: int = FIT_DOCS, seed: int = 11) -> Languages:
     """Models from the non-null lang and the text of `labelled`, on a bounded sample.
 
-    Of each language the `per_language` documents smallest by hash enter with at most `chars`
-    characters. The limit of a language lets pass all but REJECT_SHARE of its own sample, and
+    Of each language the `per_language` documents smallest by hash enter with their whole texts;
+    tasks count their windows and measure them, and the driver gets the sums. The limit of a language lets pass all but REJECT_SHARE of its own sample, and
     REJECT_ROOM bits more.
     """
     known = labelled.filter(F.col("lang").isNotNull())
     names = sorted(r[0] for r in known.select("lang").distinct().collect())
     chosen = [(i, n) for n in names for i in sampled_ids(known.filter(F.col("lang") == n), per_language, seed)]
-    texts = sampled_texts(labelled, chosen, chars)
-    lettered = [any(map(str.isalpha, t)) for t in texts["text"]]
-    samples = {n: t for n, t in texts[np.array(lettered, bool)].groupby("label")}
-    if not samples:
+    sample = sampled_texts(labelled, chosen, "string")
+    found = _counted(sample)
+    if not found:
         return Languages({}, {})
-    found = {n: _counted(s) for n, s in samples.items()}
     alphabet = max(2, len(np.unique(np.concatenate([g[:, -1] for g, _ in found.values()]))) + 1)
     models = {n: KneserNey(g, w, alphabet) for n, (g, w) in found.items()}
     free = Languages(models, {})
-    limits = {}
-    for i, n in enumerate(free.names):
-        bits, held = free.cross_entropy(pa.array(samples[n]["text"].tolist(), pa.string()))
-        own = bits[held > 0, i]
-        limits[n] = float(np.quantile(own, 1 - REJECT_SHARE)) + REJECT_ROOM if len(own) else np.inf
+
+    def measured(batches):
+        for batch in batches:
+            for part in portions(batch):
+                bits, held = free.cross_entropy(part.column("text"))
+                own = np.array([free.names.index(n) if n in models else -1 for n in part.column("label").to_pylist()])
+                known_ = (held > 0) & (own >= 0)
+                yield pa.RecordBatch.from_arrays([part.column("label").filter(pa.array(known_)), pa.array(bits[known_, own[known_]])], ["label", "bits"])
+
+    bits = sample.mapInArrow(measured, "label string, bits double").toPandas()
+    limits = {n: float(np.quantile(own, 1 - REJECT_SHARE)) + REJECT_ROOM for n, own in bits.groupby("label")["bits"]}
     pa.default_memory_pool().release_unused()
     return Languages(models, limits)
 
 
-def _counted(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of a sample, each distinct word once, and how often each occurs."""
-    codes, _, distinct = words(pa.array(sample["text"].tolist(), pa.string()), lower=False)
-    grams, sizes = _grams(_letters(distinct))
-    return grams, np.repeat(np.bincount(codes, minlength=len(distinct)), sizes).astype(np.float64)
+def _counted(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The distinct windows of each label's texts, and how often each occurs."""
+
+    def counted(batches):
+        for batch in batches:
+            for part in portions(batch):
+                for label in part.column("label").unique().to_pylist():
+                    codes, _, distinct = words(part.filter(pc.equal(part.column("label"), label)).column("text"), lower=False)
+                    grams, sizes = _grams(_letters(distinct))
+                    n = np.repeat(np.bincount(codes, minlength=len(distinct)), sizes).astype(np.int64)
+                    wide = grams.astype(np.int64)
+                    halves = [(wide[:, i] << 32) | wide[:, i + 1] for i in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(n), pa.string()), *map(pa.array, halves), pa.array(n)], ["label", "first", "last", "n"])
+
+    rows = sample.mapInArrow(counted, "label string, first bigint, last bigint, n bigint").groupBy("label", "first", "last").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for label, own in rows.groupby("label"):
+        halves = own[["first", "last"]].to_numpy()
+        grams = np.stack([halves[:, 0] >> 32, halves[:, 0], halves[:, 1] >> 32, halves[:, 1]], axis=1) & 0xFFFFFFFF
+        out[label] = grams.astype(np.uint32), own["n"].to_numpy(np.float64)
+    return out
 
 
 def identify(docs: DataFrame, languages: Languages) -> DataFrame:

@@ -12,8 +12,8 @@ from claimflow.llm.text import mixed, portions, remainder, sampled_ids, sampled_
 
 PASSAGE = 64  # words of an instance
 HIDDEN, GATE = 24, 12
-# Bounds of the fitting sample: documents of each label, characters of each.
-FIT_DOCS, FIT_CHARS = 2_000, 8_000
+# Bound of the fitting sample: documents of each label, whole.
+FIT_DOCS = 2_000
 EPOCHS, RATE, RIDGE = 150, 0.01, 1e-4
 THRESHOLD = 0.3
 # Character classes counted in each word, as byte ranges: capitals, small letters, vowels, digits,
@@ -163,20 +163,28 @@ def _trained(rows: np.ndarray, n: np.ndarray, y: np.ndarray, importance: np.ndar
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 13) -> GatedAttention | float:
     """A model from the non-null `quality` of `labels`, on a bounded sample of documents.
 
-    Of each label the FIT_DOCS documents smallest by hash enter with at most FIT_CHARS
-    characters, weighed back to the labels' true shares. With one label only, or none, the share
+    Of each label the FIT_DOCS documents smallest by hash enter with the passages of their whole
+    texts, which tasks turn into feature rows, weighed back to the labels' true shares. With one label only, or none, the share
     of label 1 is returned and stands for every text.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     share = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     chosen = [(i, y) for y in (0, 1) for i in sampled_ids(known.filter(F.col("quality") == y), FIT_DOCS, seed)]
-    sample = sampled_texts(docs, chosen, FIT_CHARS)
-    y = sample["label"].to_numpy(np.float64) if len(sample) else np.zeros(0)
+    sample = sampled_texts(docs, chosen, "bigint")
+
+    def featured(batches):
+        for batch in batches:
+            for part in portions(batch, limit=1 << 20):
+                rows, n = instances(part.column("text"))
+                data = [x.astype("<f8").tobytes() for x in np.split(rows, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(n), pa.array(data, pa.binary())], ["doc_id", "label", "n", "rows"])
+
+    found = sample.mapInArrow(featured, "doc_id bigint, label bigint, n bigint, rows binary").toArrow().sort_by("doc_id")
+    y, n = found.column("label").to_numpy().astype(np.float64), found.column("n").to_numpy()
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    # A few documents at a time: the features of all words at once would fill the driver.
-    parts = [instances(pa.array(some.tolist(), pa.string())) for some in np.array_split(sample["text"].to_numpy(object), max(1, len(sample) // 100))]
-    rows, n = (np.concatenate(x) for x in zip(*parts))
+    rows = np.frombuffer(b"".join(found.column("rows").to_pylist()), "<f8").reshape(int(n.sum()), -1)
+    del found
     pa.default_memory_pool().release_unused()
     importance = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
     return _trained(rows, n, y, importance / importance.mean(), seed)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimflow.llm.store import stored
+
 # Bytes of text that a task works on at once; a longer single text is a portion of its own.
 PORTION_BYTES = 4 << 20
 
@@ -101,18 +103,16 @@ def sampled_ids(rows: DataFrame, n: int, seed: int) -> list[int]:
     return [r[0] for r in held.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).collect()]
 
 
-def sampled_texts(docs: DataFrame, chosen: list[tuple[int, object]], chars: int) -> pd.DataFrame:
-    """Texts of chosen (doc_id, label) rows in the driver, for fitting only.
+def sampled_texts(docs: DataFrame, chosen: list[tuple[int, object]], kind: str) -> DataFrame:
+    """The whole texts of chosen (doc_id, label) rows, for fitting only: doc_id, label, text.
 
-    Ids are chosen before any text is read. Of each text at most `chars` characters enter, so
-    the sample is bounded by len(chosen) * chars whatever the documents hold.
+    Ids are chosen before any text is read. The sample is bounded by its rows alone; its texts
+    stay in the cluster, in the shared folder, and the driver gets what tasks make of them. An id
+    that stands for several texts enters with the smallest of them.
     """
     labels = dict(chosen)
-    if not labels:
-        return pd.DataFrame({"doc_id": [], "text": [], "label": []})
-    ids = docs.sparkSession.createDataFrame(pd.DataFrame({"picked": list(labels)}))
-    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))
-    rows = found.select("picked", F.substring(F.coalesce("text", F.lit("")), 1, chars)).collect()
-    held = pd.DataFrame([(r[0], r[1]) for r in rows], columns=["doc_id", "text"]).sort_values(["doc_id", "text"])
-    held = held.drop_duplicates("doc_id", ignore_index=True)
-    return held.assign(label=[labels[i] for i in held["doc_id"]])
+    frame = pd.DataFrame({"doc_id": list(labels), "label": list(labels.values())})
+    ids = docs.sparkSession.createDataFrame(frame if labels else [], f"doc_id bigint, label {kind}")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return stored(found, "sample")

@@ -3,7 +3,6 @@
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 
 from claimflow.llm.text import hashes, mixed, portions, remainder, sampled_ids, sampled_texts, starts_of, sums, table, words
 
-# Bounds of the fitting sample: documents of each label, characters of each.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1_500, 2_000, 4_000
+# Bounds of the fitting sample: documents of each label, whole.
+FIT_TOXIC, FIT_CLEAN = 1_500, 2_000
 # Strength of the Dirichlet prior in documents.
 PRIOR = 50.0
 # A token stands for itself and for its beginnings of these lengths, so that inflected forms share evidence.
@@ -109,16 +108,53 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _groups(hashed: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A number per document that copies share: those with the same two minima over word pairs."""
-    group = np.arange(len(counts)).astype(np.uint64)
+def _groups(ids: np.ndarray, hashed: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash per document that copies share: those with the same two minima over word pairs."""
+    group = mixed(ids.astype(np.uint64))
     held = counts > 0
     if held.any():
         token = hashed[codes, -1]
         pair = mixed(token ^ mixed(np.roll(token, -1)))
         low = [np.minimum.reduceat(mixed(pair ^ np.uint64(s)), starts_of(counts)[held]) for s in (1, 2)]
         group[held] = mixed(low[0]) ^ low[1]
-    return np.unique(group, return_inverse=True)[1]
+    return group
+
+
+def _unit_counts(sample: DataFrame) -> tuple[np.ndarray, ...]:
+    """Of each sampled document its label and group, and its distinct units with how often they occur.
+
+    Tasks read the whole texts. Returned are labels and groups by document, then document, units
+    (hashes of a word's beginnings) and number of each of its distinct words.
+    """
+    width = len(STEMS) + 1
+
+    def counted(batches):
+        for batch in batches:
+            for part in portions(batch):
+                codes, counts, hashed = _tokens(part.column("text"))
+                group = _groups(part.column("doc_id").to_numpy(), hashed, codes, counts)
+                same, code = np.unique(hashed, axis=0, return_inverse=True) if len(hashed) else (hashed, codes)
+                types = max(len(same), 1)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                pairs, n = np.unique(doc * types + code.ravel()[codes] if len(codes) else doc, return_counts=True)
+                ends = np.searchsorted(pairs // types, np.arange(len(counts) + 1))
+                each = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+                units = [same[pairs[some] % types].astype("<u8").tobytes() for some in each]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("label"), pa.array(group.view(np.int64)),
+                        pa.array(units, pa.binary()), pa.array([n[some].astype("<i8").tobytes() for some in each], pa.binary()),
+                    ],
+                    ["doc_id", "label", "group", "units", "n"],
+                )
+
+    found = sample.mapInArrow(counted, "doc_id bigint, label bigint, group bigint, units binary, n binary").toArrow().sort_by("doc_id")
+    group = np.unique(found.column("group").to_numpy(), return_inverse=True)[1]
+    held = found.column("n").to_pylist()
+    doc = np.repeat(np.arange(len(held)), [len(x) // 8 for x in held])
+    n = np.frombuffer(b"".join(held), "<i8")
+    hashed = np.frombuffer(b"".join(found.column("units").to_pylist()), "<u8").reshape(-1, width)
+    return found.column("label").to_numpy(), group, doc, hashed, n
 
 
 def _surprise(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -132,25 +168,20 @@ def _surprise(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarra
     return np.sign(y1 * n0 - y0 * n1) * np.sqrt(np.maximum(2 * ratio, 0))
 
 
-def _learned(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
+def _learned(labels: np.ndarray, group: np.ndarray, doc: np.ndarray, hashed: np.ndarray, n: np.ndarray) -> ToxicModel:
     """The units sure to speak for the toxic label, with their log-odds under Dirichlet priors.
 
     Whether a unit is listed is decided by the documents that hold it, copies counting as one;
     its score and that of all other tokens come from the tokens, each document's copies sharing
     the weight of one.
     """
-    codes, counts, hashed = _tokens(texts)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    group = _groups(hashed, codes, counts)
     toxic_group = np.zeros(group.max() + 1)
     np.maximum.at(toxic_group, group, labels.astype(float))
     n1, n0 = float(toxic_group.sum()), float((1 - toxic_group).sum())
-    which = pd.DataFrame({"code": codes, "group": group[doc]}).drop_duplicates()
-    code, own = which["code"].to_numpy(), which["group"].to_numpy()
     listed = {}
     for column in hashed.T:
         distinct, unit = np.unique(column, return_inverse=True)
-        pairs = np.unique(unit[code].astype(np.int64) * len(toxic_group) + own)
+        pairs = np.unique(unit.astype(np.int64) * len(toxic_group) + group[doc])
         toxic = toxic_group[pairs % len(toxic_group)]
         y1 = np.bincount(pairs // len(toxic_group), toxic, minlength=len(distinct))
         y0 = np.bincount(pairs // len(toxic_group), 1 - toxic, minlength=len(distinct))
@@ -160,8 +191,8 @@ def _learned(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
         listed |= {int(distinct[i]): float(z[i]) for i in np.flatnonzero(z >= sure)}
     keys = np.array(sorted(listed), np.uint64)
     model = ToxicModel(keys, np.array([listed[int(k)] for k in keys]), np.zeros(len(keys)), 0.0, 1.0, 1.0, np.zeros(4))
-    unit = model.units_of(hashed)[codes]
-    weight = (1 / np.bincount(group))[group][doc]
+    unit = model.units_of(hashed)
+    weight = n * (1 / np.bincount(group))[group][doc]
     c1 = np.bincount(unit + 1, weight * labels[doc], minlength=len(keys) + 1)
     c0 = np.bincount(unit + 1, weight * (1 - labels[doc]), minlength=len(keys) + 1)
     prior = PRIOR * (c0 + c1 + 0.01) / (c0 + c1 + 0.01).sum()
@@ -201,22 +232,23 @@ def _calibrated(rows: np.ndarray, labels: np.ndarray, importance: np.ndarray) ->
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> ToxicModel:
     """A model from the non-null `toxic` of `labels`, on a bounded sample of documents.
 
-    The FIT_TOXIC toxic and FIT_CLEAN clean documents smallest by hash enter with at most
-    FIT_CHARS characters; the calibration weighs them back to the labels' true shares. Without
+    The FIT_TOXIC toxic and FIT_CLEAN clean documents smallest by hash enter with their whole
+    texts, of which the driver gets counts of units and, for the calibration, figures of the
+    passages; the calibration weighs them back to the labels' true shares. Without
     both labels every text scores 0 for clean or, with toxic ones alone, 1.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     share = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     chosen = [(i, y) for y, n in ((0, FIT_CLEAN), (1, FIT_TOXIC)) for i in sampled_ids(known.filter(F.col("toxic") == y), n, seed)]
-    sample = sampled_texts(docs, chosen, FIT_CHARS)
-    y = sample["label"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
+    sample = sampled_texts(docs, chosen, "bigint")
+    y, *counted = _unit_counts(sample)
     if len(set(y.tolist())) < 2:
         constant = 30.0 if len(y) and y[0] else -30.0
         none = np.zeros(0)
         return ToxicModel(none.astype(np.uint64), none, none, -1.0, 1.0, 1.0, np.array([constant, 0, 0, 0]))
-    texts = pa.array(sample["text"].tolist(), pa.string())
-    model = _learned(texts, y)
-    found, counts = model.passages(texts)
+    model = _learned(y, *counted)
+    del counted
+    found, counts = _passage_scores(sample, model)
     best = np.array([max((s[2] for s in f), default=0.0) for f in found])
     quiet = y == 0  # the likeliest K when clean documents follow the extreme-value law
     model.size = float(quiet.sum() / np.sum(np.maximum(counts[quiet], 1) * np.exp(-model.rate * best[quiet])))
@@ -226,6 +258,21 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> ToxicModel:
     return model
 
 
+def _passage_scores(sample: DataFrame, model: ToxicModel) -> tuple[list[list[tuple]], np.ndarray]:
+    """The segments of each sampled whole text, by their scores alone, and its words, in order of doc_id."""
+
+    def found(batches):
+        for batch in batches:
+            for part in portions(batch):
+                segments, counts = model.passages(part.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts), pa.array([[s[2] for s in own] for own in segments], pa.list_(pa.float64()))], ["doc_id", "words", "scores"]
+                )
+
+    rows = sample.mapInArrow(found, "doc_id bigint, words bigint, scores array<double>").toArrow().sort_by("doc_id")
+    return [[(0, 0, s) for s in own] for own in rows.column("scores").to_pylist()], rows.column("words").to_numpy()
+
+
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """Toxicity of every whole text: doc_id, score, predicted, passages.
 

@@ -133,6 +133,30 @@ def test_toxicity(docs, labels, odd, none):
     assert {r["predicted"] for r in toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0}
 
 
+def test_fitting_reads_past_any_prefix(spark):
+    """What tells the labels apart stands behind 10,000 characters of the same words."""
+    rng = np.random.default_rng(6)
+    plain = [f"word{i}" for i in range(60)]
+    opening = lambda: " ".join(rng.choice(plain, 1_600).tolist())
+    rows = [(i, opening() + (" vilest scum rot" * 6 if i % 2 else " kindly met here" * 6)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for _, t in rows) > 9_000
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(160)], "doc_id long, toxic int, quality int")
+    asked = spark.createDataFrame([(1, "vilest scum rot vilest scum rot vilest scum"), (2, "kindly met here kindly met here")], "doc_id long, text string")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(asked, toxicity.fit(docs, labels)).collect()}
+    assert found == {1: 1, 2: 0}
+
+    noisy = [(i, opening() + (" !!! ??? $$$ ###" * 200 if i % 2 else "")) for i in range(160)]
+    held = spark.createDataFrame(noisy, "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in quality.score(held, quality.fit(held, labels)).collect()}
+    assert np.mean([scores[i] > 0.5 for i in range(1, 160, 2)]) > 0.9 and np.mean([scores[i] < 0.5 for i in range(0, 160, 2)]) > 0.9
+
+    mixed_ = [(i, "x " * 5_000 + "quzzical jabber " * 50, "xx") for i in range(20)] + [(100 + i, "x " * 5_000 + "lento molto " * 50, "yy") for i in range(20)]
+    models = language.fit(spark.createDataFrame(mixed_, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "quzzical jabber"), (2, "lento molto")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(asked, models).collect()} == {1: "xx", 2: "yy"}
+
+
 def test_maximal_segments_against_definition():
     """Every maximal segment, found by repeatedly taking the best one and what lies beside it."""
 
