@@ -27,17 +27,24 @@ def matrix(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return column.filter(pa.array(held)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width), held
 
 
+def distinct(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding, of repeated rows one: a hot row is reduced in the tasks that read it."""
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").dropDuplicates()
+
+
 def search(rows: DataFrame, queries: DataFrame, block_rows: int, width: int, index) -> DataFrame:
     """What `index` finds for every query in every block of rows.
 
-    The rows are dealt into blocks by a hash of their id, about `block_rows` in each however many
-    rows there are; every query visits every block. A task reads a block's rows first, builds
+    The rows, distinct ones, are dealt into blocks by a hash of id and vector, about `block_rows` in
+    each however many rows there are or share an id; every query visits every block. A task reads a block's rows first, builds
     `index(ids, matrix)` and then streams the queries past it in batches, so it holds one block
     and one batch. `index(..).find(query_ids, matrix)` returns arrays of query, row and score.
-    Vectors of another width than `width` take no part.
+    Only `usable` vectors of `width` take part.
     """
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    fits = F.size("embedding") == width
+    blocks = max(1, -(-usable(rows).filter(fits).count() // block_rows))
+    rows, queries = (usable(distinct(x)).filter(fits) for x in (rows, queries))
+    own = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
 
     def found(batches):

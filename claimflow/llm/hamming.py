@@ -25,6 +25,8 @@ class MultiIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.k = ids, k
+        distinct, self.id_of = np.unique(ids, return_inverse=True)
+        self.n_ids = len(distinct)
         self.codes = packed(vectors)
         self.orders, self.starts = [], []
         values = np.arange(1 << SEGMENT, dtype=np.uint16)
@@ -50,6 +52,8 @@ class MultiIndex:
         segments = codes.shape[1]
         width = segments * SEGMENT
         counts = np.zeros((len(codes), width + 1), np.int64)
+        repeated = self.n_ids < len(self.ids)
+        least = np.full(len(codes) * self.n_ids if repeated else 0, width + 1, np.int32)  # distance of each id so far
         wanted = self.k
         active = np.arange(len(codes))
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -58,7 +62,16 @@ class MultiIndex:
                 asked, rows, apart = self._probed(codes, active, j, radius)
                 other = self.ids[rows] != query_ids[asked]
                 asked, rows, apart = asked[other], rows[other], apart[other]
-                np.add.at(counts, (asked, apart), 1)
+                if repeated:  # an id counts once, at its smallest distance
+                    pair = asked * self.n_ids + self.id_of[rows]
+                    met = np.unique(pair)
+                    before = least[met]
+                    np.minimum.at(least, pair, apart.astype(np.int32))
+                    known = before <= width
+                    np.add.at(counts, (met[known] // self.n_ids, before[known]), -1)
+                    np.add.at(counts, (met // self.n_ids, least[met]), 1)
+                else:
+                    np.add.at(counts, (asked, apart), 1)
                 reached = np.cumsum(counts, axis=1) >= wanted
                 kth = np.where(reached.any(axis=1), reached.argmax(axis=1), width + 1)
                 near = apart <= kth[asked]
@@ -79,6 +92,9 @@ class MultiIndex:
             asked, ids, apart = asked[near], self.ids[rows[near]], apart[near]
             order = np.lexsort((ids, apart, asked))
             asked, ids, apart = asked[order], ids[order], apart[order]
+            if self.n_ids < len(self.ids):  # of rows that share an id the nearest
+                first = np.sort(np.unique(np.stack([asked, ids]), axis=1, return_index=True)[1])
+                asked, ids, apart = asked[first], ids[first], apart[first]
             each = np.bincount(asked, minlength=len(own))
             best = spans(each) < self.k
             for column, values in zip(out, (own[asked[best]], ids[best], apart[best].astype(np.float64))):
@@ -98,12 +114,10 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = NEAREST, width:
     non-finite component have no code; an empty table gives no rows. Rows that repeat an id
     count once, by their smallest distance. Other columns are not read.
     """
-    held, asked = usable(rows), usable(queries)
     if width is None:
-        common = held.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+        common = usable(rows).groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
         width = common["n"] if common else 0
-    held, asked = held.filter(F.size("embedding") == width), asked.filter(F.size("embedding") == width)
-    found = search(held, asked, block_rows, width, lambda ids, vectors: MultiIndex(ids, vectors, k))
+    found = search(rows, queries, block_rows, width, lambda ids, vectors: MultiIndex(ids, vectors, k))
     hits = found.groupBy("query_id", "vec_id").agg(F.min("score").cast("int").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

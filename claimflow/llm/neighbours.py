@@ -23,6 +23,9 @@ class StableIndex:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, tables: int, projections: int, slot: float, gathered: int, seed: int):
         self.ids, self.rows, self.k, self.slot, self.budget = ids, rows, k, slot, max(k, gathered)
+        _, self.id_of, times = np.unique(ids, return_inverse=True, return_counts=True)
+        self.repeated = len(times) < len(ids)
+        self.share = 1 / times[self.id_of]  # rows that share an id are gathered as one
         norms = np.linalg.norm(rows, axis=1)
         top = norms.max()
         lifted = np.hstack([rows / top, np.sqrt(np.maximum(1 - (norms / top) ** 2, 0))[:, None]])
@@ -36,7 +39,7 @@ class StableIndex:
             order = np.argsort(which, kind="stable")
             # Per projection the slots in use and which of them each bucket has.
             used = [np.unique(column, return_inverse=True) for column in buckets.T]
-            self.tables.append((used, order, sizes, np.concatenate([[0], np.cumsum(sizes)])))
+            self.tables.append((used, order, sizes, np.concatenate([[0], np.cumsum(sizes)]), np.bincount(which, self.share)))
         self.single = rows.astype(np.float32)
         # Twice the most that single precision can be off by, for a query of length 1.
         self.slack = 2.0 * rows.shape[1] * 2.0**-23 * top
@@ -46,17 +49,17 @@ class StableIndex:
 
         A query visits a table's buckets in order of the squared distance from its projections
         to the bucket's slots, which is the order of estimated success, until `budget` rows are
-        gathered; its own bucket has distance 0 and comes first.
+        gathered, rows of one id counting as one; its own bucket has distance 0 and comes first.
         """
         visited = np.zeros((len(units), len(self.ids)), bool)
-        for (used, order, sizes, starts), direction, offset in zip(self.tables, self.directions, self.offsets):
+        for (used, order, sizes, starts, shares), direction, offset in zip(self.tables, self.directions, self.offsets):
             at = (units @ direction + offset) / self.slot
             far = np.zeros((len(units), len(sizes)), np.float32)
             for (slots, which), place in zip(used, at.T):
                 low = slots[None, :] - place[:, None]  # above 0: the slot lies higher
                 far += (np.maximum(np.maximum(low, -low - 1), 0) ** 2).astype(np.float32)[:, which]
             ranked = self._nearest_buckets(far)
-            gathered = np.cumsum(sizes[ranked], axis=1)
+            gathered = np.cumsum(shares[ranked], axis=1)
             taken = np.concatenate([np.ones((len(units), 1), bool), gathered[:, :-1] < self.budget], axis=1)
             query, place = np.nonzero(taken)
             bucket = ranked[query, place]
@@ -65,12 +68,19 @@ class StableIndex:
         return [np.flatnonzero(v) for v in visited]
 
     def _nearest_buckets(self, far: np.ndarray) -> np.ndarray:
-        """The nearest buckets in order; every bucket holds a row, so `budget` of them suffice."""
-        if far.shape[1] <= self.budget:
+        """The nearest buckets in order; every bucket holds a row, so `budget` of them suffice unless ids repeat."""
+        if far.shape[1] <= self.budget or self.repeated:
             return np.argsort(far, axis=1, kind="stable")
         near = np.sort(np.argpartition(far, self.budget - 1, axis=1)[:, : self.budget], axis=1)
         return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1)
 
+    def _best_of_id(self, near: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The best score of each distinct id among these rows."""
+        distinct, which = np.unique(self.id_of[near], return_inverse=True)
+        best = np.full(len(distinct), -np.inf, scores.dtype)
+        np.maximum.at(best, which, scores)
+        return best
+
     def find(self, query_ids: np.ndarray, queries: np.ndarray):
         out_q, out_id, out_score = [], [], []
         for begin in range(0, len(query_ids), QUERY_PORTION):
@@ -80,10 +90,14 @@ class StableIndex:
                 near = near[self.ids[near] != own]
                 if len(near) > self.k:  # what single precision shows to lie behind the k best need not be ranked
                     rough = self.single[near] @ query.astype(np.float32)
-                    last = np.partition(rough, len(near) - self.k)[len(near) - self.k]
+                    top = self._best_of_id(near, rough) if self.repeated else rough
+                    last = np.partition(top, len(top) - self.k)[len(top) - self.k] if len(top) > self.k else -np.inf
                     near = near[rough >= last - self.slack * np.linalg.norm(query)]
                 scores = self.rows[near] @ query
-                best = np.lexsort((self.ids[near], -scores))[: self.k]
+                best = np.lexsort((self.ids[near], -scores))
+                if self.repeated:
+                    best = best[np.sort(np.unique(self.ids[near[best]], return_index=True)[1])]
+                best = best[: self.k]
                 out_q.append(np.full(len(best), own))
                 out_id.append(self.ids[near[best]])
                 out_score.append(scores[best])
@@ -104,13 +118,11 @@ def nearest(
     non-finite component take no part; an empty table gives no rows. Rows that repeat an id
     count once, by their best score. Other columns are not read.
     """
-    held, asked = usable(rows), usable(queries)
     if width is None:
-        common = held.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+        common = usable(rows).groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
         width = common["n"] if common else 0
-    held, asked = held.filter(F.size("embedding") == width), asked.filter(F.size("embedding") == width)
     index = lambda ids, vectors: StableIndex(ids, vectors, k, tables, projections, slot, gathered, seed)
-    hits = search(held, asked, block_rows, width, index).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    hits = search(rows, queries, block_rows, width, index).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

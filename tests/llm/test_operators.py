@@ -259,6 +259,28 @@ def test_neighbours(vectors):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_an_id_repeated_k_times_in_one_block_counts_once(spark):
+    rng = np.random.default_rng(8)
+    asked = rng.normal(size=16)
+    near = [asked + rng.normal(0, 0.05, 16) for _ in range(30)]  # 30 vectors of id 1, nearer than any other
+    others = rng.normal(size=(60, 16))
+    rows = [(0, asked.tolist())] + [(1, (3 * v).tolist()) for v in near] + [(1, (3 * near[0]).tolist())] * 40
+    rows += [(2 + i, v.tolist()) for i, v in enumerate(others)] + [(2, others[0].tolist())] * 25
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    query = vectors.filter("vec_id = 0")
+    held = {}
+    for i, v in rows[1:]:
+        held.setdefault(i, []).append(np.array(v))
+    bits = sorted((min(int(((asked > 0) != (v > 0)).sum()) for v in own), i) for i, own in held.items())
+    best = sorted((-max(float(asked @ v) for v in own), i) for i, own in held.items())
+    for block_rows in (10_000, 20):
+        codes = hamming.nearest_codes(vectors, query, k=20, block_rows=block_rows).orderBy("rank").collect()
+        assert [(r["distance"], r["vec_id"]) for r in codes] == bits[:20]
+        found = neighbours.nearest(vectors, query, k=20, block_rows=block_rows).orderBy("rank").collect()
+        assert [r["vec_id"] for r in found] == [i for _, i in best[:20]]
+        assert [r["score"] for r in found] == pytest.approx([-s for s, _ in best[:20]])
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 
