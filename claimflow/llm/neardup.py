@@ -247,6 +247,7 @@ def _partners(cells: DataFrame, signatures_: DataFrame, percent: int) -> DataFra
             sizes = group.column("n_shingles").to_numpy()
             band = group.column("band")[0].as_py()
             values = np.stack([np.frombuffer(s, "<u2") for s in group.column("signature").to_pylist()])
+            keys = group.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
             across = (half != 0).any()
             found: dict[int, list[int]] = {}
             for i in range(len(node)):
@@ -259,9 +260,9 @@ def _partners(cells: DataFrame, signatures_: DataFrame, percent: int) -> DataFra
                 if not len(rows):
                     continue
                 equal = values[rows] == values[i]
-                rows, equal = rows[equal.mean(axis=1) >= ESTIMATE], equal[equal.mean(axis=1) >= ESTIMATE]
-                shared = equal.reshape(len(rows), BANDS, BAND).all(axis=2)
-                rows = rows[~shared[:, :band].any(axis=1)]
+                rows = rows[equal.mean(axis=1) >= ESTIMATE]
+                # By the keys of the buckets: the signature's few bits can agree where no bucket is shared.
+                rows = rows[~(keys[rows, :band] == keys[i, :band]).any(axis=1)]
                 if len(rows):
                     found.setdefault(i, []).extend(node[rows].tolist())
                     for j in rows.tolist():
@@ -339,7 +340,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     sets = shingle_sets(docs, words_per_shingle, candidate_filter(buckets.select("node").distinct()))
 
     first = components(_star_links(buckets, sets, percent)).select(F.col("node").alias("member"), "root")
-    partners = stored(_partners(_open_cells(buckets, first), own.select("node", "n_shingles", "signature"), percent), "partners")
+    partners = stored(_partners(_open_cells(buckets, first), own.select("node", "n_shingles", "signature", "bands"), percent), "partners")
     second = components(_cell_links(partners, sets, percent)).select(F.col("node").alias("first_root"), F.col("root").alias("last_root"))
 
     roots = classes.join(first, classes["node"] == first["member"], "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root"))

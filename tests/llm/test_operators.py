@@ -333,6 +333,19 @@ def test_near_duplicates_against_brute_force(spark, odd, none, size):
     assert neardup.near_duplicates(none, size).count() == 0
 
 
+def test_a_band_that_only_looks_shared_hides_no_pair(spark):
+    """Two documents whose signatures agree in all their bits but which share the last band alone."""
+    signature = np.zeros(2 * neardup.PERMUTATIONS, "<u2").tobytes()
+    last = neardup.BANDS - 1
+    own = [(i, 100, signature, [1000 * i + b for b in range(last)] + [77]) for i in (1, 2)]
+    signatures = spark.createDataFrame(own, "node long, n_shingles long, signature binary, bands array<long>")
+    cells = spark.createDataFrame([(5, last, i, i, 0) for i in (1, 2)], "cell long, band int, node long, component long, half long")
+    found = neardup._partners(cells, signatures, neardup.PERCENT).collect()
+    assert {r["node"]: r["partners"] for r in found} == {1: [2], 2: []}
+    shared = signatures.withColumn("bands", F.concat(F.array(F.lit(3).cast("long")), F.slice("bands", 2, last)))
+    assert neardup._partners(cells, shared, neardup.PERCENT).count() == 0  # met in the first band they share
+
+
 def test_near_duplicates_odd_rows(odd):
     rows = neardup.near_duplicates(odd, 2).collect()
     assert len(rows) == len(TEXTS)
