@@ -12,6 +12,8 @@ from claimflow.llm.pii import op3_pii_pseudonyms
 from claimflow.llm.quality import op2_quality
 from claimflow.llm.scoring import op8_lm_scores
 from claimflow.llm.toxicity import op9_toxicity
+from claimflow.llm.turns import ORACLE as TURNS_SQL
+from claimflow.llm.turns import op11_conversation_repair
 
 QUERIES = {
     q.__name__: q
@@ -26,7 +28,8 @@ QUERIES = {
         op8_lm_scores,
         op9_toxicity,
         op10_best_fit_packing,
+        op11_conversation_repair,
     )
 }
 
-ORACLES = {"op4_hamming_topk": HAMMING_SQL, "op5_near_duplicates": NEAR_SQL}
+ORACLES = {"op4_hamming_topk": HAMMING_SQL, "op5_near_duplicates": NEAR_SQL, "op11_conversation_repair": TURNS_SQL}
