@@ -14,6 +14,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Deletes the files of a `stored` table that nothing reads any more; no folder but scratch ones."""
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    root = path_of(scratch(spark, "x")).getParent()
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if files.makeQualified(path_of(folder).getParent()).equals(files.makeQualified(root)):
+            files.delete(path_of(folder), True)
+
+
 def runs(batches, column: str):
     """Successive rows of one value of `column` as one table each; the input is ordered by it."""
     held: list[pa.RecordBatch] = []

@@ -33,6 +33,16 @@ def task_state(name: str, make):
     return getattr(home, name)
 
 
+def remembered(name: str, key, make, most: int = 1 << 16):
+    """`make()`, a pure function of the key, kept in the worker process; the memory is emptied when it is full."""
+    held = task_state(name, dict)
+    if key not in held:
+        if len(held) >= most:
+            held.clear()
+        held[key] = make()
+    return held[key]
+
+
 def portions(batch: pa.RecordBatch, column: str = "text", limit: int = PORTION_BYTES):
     """The batch in slices of at most `limit` bytes of `column`, of one row at least."""
     if not batch.num_rows:

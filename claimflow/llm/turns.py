@@ -2,14 +2,13 @@
 
 import hashlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimflow.llm.text import table
+from claimflow.llm.text import remembered, table
 
 SPACES = " \t\n\x0b\f\r"
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -87,7 +86,6 @@ def align(rows: tuple[str, ...], target: str, most: int, closed: bool) -> tuple[
     return costs[0][0], "".join(letters)
 
 
-@lru_cache(maxsize=1 << 16)
 def spanned(rows: tuple[str, ...], state: int, last: bool) -> dict[int, tuple[int, str]]:
     """For each standing after the rows, the cheapest edits and their ASCII-least audit.
 
@@ -173,7 +171,7 @@ class Conversation:
         """One more span: every way goes on into every standing, of which the cheapest, then least, stays."""
         rows, chosen = tuple(self.marks), {}
         for state, way in self.ways.items():
-            for after, (cost, audit) in spanned(rows, state, last).items():
+            for after, (cost, audit) in remembered("spans", (rows, state, last), lambda: spanned(rows, state, last)).items():
                 chosen[after] = min(chosen.get(after, (MOST,)), (way.cost + cost, way.rank, audit, state))
         if last:
             best = min(x[:3] for x in chosen.values())

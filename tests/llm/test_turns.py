@@ -70,7 +70,6 @@ def test_spans_change_nothing(span, monkeypatch):
     rng = random.Random(span)
     for _ in range(25):
         rows = faults_of(random_rows(rng, rng.randrange(1, 16)))
-        turns.spanned.cache_clear()
         monkeypatch.setattr(turns, "SPAN", 16)
         whole = repaired(rows)
         monkeypatch.setattr(turns, "SPAN", span)
