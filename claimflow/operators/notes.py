@@ -48,8 +48,8 @@ def _amount(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
-def extract_notes(notes: DataFrame) -> DataFrame:
-    """(file_name, text) to the seven note columns.
+def extract_notes(notes: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(file_name, text) to the seven note columns, and the text where it is asked for.
 
     The amount is the stated gross total in USD: on the total line the figure marked USD, else
     the first one marked $. What a note does not say stays NULL.
@@ -64,6 +64,7 @@ def extract_notes(notes: DataFrame) -> DataFrame:
         _first_section(text, _DAMAGE_HEADINGS).alias("damage_assessment"),
         _amount(F.coalesce(_first(total, _USD), _first(total, _DOLLAR))).alias("estimated_amount"),
         _first_section(text, _ADVICE_HEADINGS).alias("recommendation"),
+        *(["text"] if keep_text else []),
     )
 
 
@@ -89,8 +90,8 @@ def itemized_totals(notes: DataFrame) -> DataFrame:
     )
 
 
-def dataset_notes(extracted: DataFrame) -> DataFrame:
-    """The extracted columns at their declared types."""
-    return extracted.select(*schemas.names(schemas.NOTES)).withColumn(
+def dataset_notes(extracted: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The extracted columns at their declared types, and `extra` ones as they are."""
+    return extracted.select(*schemas.names(schemas.NOTES), *(extra or [])).withColumn(
         "estimated_amount", F.col("estimated_amount").cast("decimal(18,2)")
     )

@@ -108,6 +108,14 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which each is about to become a long text, dealt into partitions of the advisory size.
+
+    The given tables are one row group, which one task reads, however the scan is split.
+    """
+    return rows.hint("rebalance")
+
+
 def timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("user_id") % 9
     kind = F.col("event_type")
@@ -189,7 +197,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("  "), F.regexp_replace(body, "}$", "")))
         .otherwise(F.concat(F.lit("I cannot decide on "), F.col("claim_id")))
     )
-    first = raw_claims(spark, sf_dir).repartition(F.xxhash64("claim_id")).select(
+    first = _dealt(raw_claims(spark, sf_dir)).select(
         "claim_id", F.col("filing_date").alias("decided_at"), text.alias("response")
     )
     repeats = F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -229,13 +237,13 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("FINDINGS:\n")),
         F.lit("Handle "), F.col("claim_id"), F.lit(" as "), F.col("claim_type"), F.lit(".\n"),
     )
-    return raw_claims(spark, sf_dir).repartition(F.xxhash64("claim_id")).select(
+    return _dealt(raw_claims(spark, sf_dir)).select(
         F.concat(F.lit("note_"), key.cast("string"), F.lit(".txt")).alias("file_name"), text.alias("text")
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text")
+    return _dealt(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

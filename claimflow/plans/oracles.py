@@ -241,8 +241,10 @@ extracted AS (
 """
 
 # Cosine of documents (1 + ln tf) with questions ((1 + ln tf) * ln(1 + N / df)).
-SEARCH = f"""
-questions AS (SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS)})) AS query_id, unnest({texts(vocab.SAMPLE_QUESTIONS)}) AS question),
+_SAMPLE = f"SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS)})) AS query_id, unnest({texts(vocab.SAMPLE_QUESTIONS)}) AS question"
+_OPENINGS = "SELECT conv_id AS query_id, arg_min(text, turn) AS question FROM conversations GROUP BY conv_id"
+_SEARCH = """
+questions AS ({asked}),
 doc_terms AS (
   SELECT doc_id, term, 1 + ln(count(*)) AS w
   FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
@@ -267,6 +269,8 @@ best AS (
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, query_id) = 1) b USING (doc_id))
 """
 
+SEARCH, ASKED_SEARCH = _SEARCH.replace("{asked}", _SAMPLE), _SEARCH.replace("{asked}", _OPENINGS)
+
 # What each bound table builds on, in order of definition.
 PARTS = {
     "raw_customers": (CUSTOMERS, []),
@@ -283,6 +287,7 @@ PARTS = {
     "judged": (JUDGED, ["full_claims"]),
     "notes": (NOTES, ["raw_claims"]),
     "search": (SEARCH, []),
+    "asked_search": (ASKED_SEARCH, []),
 }
 
 
@@ -346,6 +351,7 @@ SELECT c.claim_id, coalesce(CASE d.decision WHEN 'APPROVE' THEN 'Approved' WHEN
        c.claim_amount::DOUBLE AS claim_amount
 FROM claims c LEFT JOIN last_decisions d USING (claim_id)"""
 oracle("apply_decisions", "claims parsed", _APPLIED)
+oracle("write_back_buckets", "claims parsed", _APPLIED)
 oracle("write_back_versions", "claims parsed", f"""
 SELECT c.claim_id, c.status AS old_status, c.ai_decision AS old_decision, a.status AS new_status, a.ai_decision AS new_decision
 FROM claims c JOIN ({_APPLIED}) a USING (claim_id)
@@ -401,7 +407,9 @@ oracle("generated_rule_breaks", "",
 
 # --- projections, filters, predicates --------------------------------------------------------------
 
-oracle("filter_claim_by_id", "claims", "SELECT claim_id, status, claim_amount::DOUBLE AS claim_amount FROM claims WHERE claim_id = 'CLM-7'")
+_ONE_CLAIM = "SELECT claim_id, status, claim_amount::DOUBLE AS claim_amount FROM claims WHERE claim_id = 'CLM-7'"
+oracle("filter_claim_by_id", "claims", _ONE_CLAIM)
+oracle("stored_claim_by_id", "claims", _ONE_CLAIM)
 oracle("filter_pending", "claims", "SELECT claim_id, country, claim_amount::DOUBLE AS claim_amount FROM claims WHERE status = 'Pending'")
 oracle("filter_in_markets", "timeseries", f"SELECT geo_id, variable, date FROM timeseries WHERE geo_id IN ({MARKET_GEOS})")
 oracle("geo_to_country", "timeseries",
@@ -644,6 +652,8 @@ PARTS["policy_hits"] = (SEARCH.replace("FROM documents", "FROM policy_docs"), ["
 oracle("policy_search", "policy_hits", """
 SELECT query_id, rank, doc_id AS policy_number, lang AS policy_type, text AS search_text, round(score, 6) AS score
 FROM ranks JOIN policy_docs USING (doc_id) WHERE rank <= 5""")
+oracle("search_text_indexed", "search", ORACLES["search_text"].partition("SELECT query_id, doc_id, round")[1] + ORACLES["search_text"].rpartition("SELECT query_id, doc_id, round")[2])
+oracle("question_table_search", "asked_search", "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranks WHERE rank <= 5")
 oracle("assemble_context", "search", """
 SELECT query_id, string_agg('[Document ' || doc_id || ' — ' || lang || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
        count(*) AS documents
@@ -664,7 +674,10 @@ FROM (SELECT unnest(range({len(vocab.SAMPLE_QUESTIONS) + 1})) AS query_id) q LEF
 
 # --- streaming and repair --------------------------------------------------------------------------
 
-oracle("stream_status_counts", "claims parsed", f"SELECT status, count(*) AS cnt FROM ({_APPLIED}) GROUP BY 1")
+_STATUS_COUNTS = f"SELECT status, count(*) AS cnt FROM ({_APPLIED}) GROUP BY 1"
+oracle("stream_status_counts", "claims parsed", _STATUS_COUNTS)
+oracle("compacted_status_counts", "claims parsed", _STATUS_COUNTS)
+oracle("ingest_notes_stream", "notes", "SELECT * EXCLUDE (file_name) FROM extracted")
 oracle("malformed_decisions", "responses", """SELECT '{"claim_id": "' || claim_id || '"' AS record FROM responses""")
 oracle("hash_bucket", "claims", f"SELECT claim_id, {bucket('claim_id', 7)} AS bucket FROM claims")
 oracle("repair_claim_types", "retyped", "SELECT claim_id, policy_type, claim_type FROM retyped")

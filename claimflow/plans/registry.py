@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from claimflow import vocab
 from claimflow.functions import responses, scalars as fn
 from claimflow.operators import claims as views
-from claimflow.operators import curate, decisions, kpis, notes, quality, repair, risk, search, semantic
+from claimflow.operators import curate, decisions, kpis, notes, postings, quality, repair, risk, search, semantic
 from claimflow.plans import bindings as b
 from claimflow.session import scratch
-from claimflow.sources import generate, tables, texts
+from claimflow.sources import buckets, generate, tables, texts
 from claimflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,26 @@ def _versions(spark, sf_dir):
     return decisions.version_changes(before, tables.read_version(spark, root, rows.schema))
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> str:
+    """The claims stored by hash bucket; where."""
+    root = scratch(spark, "claims_buckets")
+    buckets.create(b.claims(spark, sf_dir), root)
+    return root
+
+
+@register("write_back_buckets")
+def _write_back(spark, sf_dir):
+    """The stored claims after a write-back of all parsed decisions."""
+    root = _bucketed(spark, sf_dir)
+    buckets.apply(spark, root, decisions.parse_decisions(b.responses(spark, sf_dir)))
+    return buckets.read(spark, root).select("claim_id", "status", "ai_decision", "ai_reasoning", "claim_amount")
+
+
+@register("stored_claim_by_id")
+def _stored_claim(spark, sf_dir):
+    return buckets.by_id(spark, _bucketed(spark, sf_dir), "CLM-7").select("claim_id", "status", "claim_amount")
+
+
 @register("export_csv")
 def _export(spark, sf_dir):
     path = scratch(spark, "csv")
@@ -384,6 +404,26 @@ _over(_found)("search_display", search.hit_display)
 _over(_found)("search_response", lambda df: _shown(search.read_search_response(search.search_response(df))))
 
 
+@register("search_text_indexed")
+def _indexed(spark, sf_dir):
+    """search_text by the lists of the asked terms alone."""
+    root = scratch(spark, "index")
+    postings.write_index(b.documents(spark, sf_dir), root)
+    asked = spark.createDataFrame(QUESTIONS, "query_id bigint, question string")
+    hits = postings.search_index(spark, root, asked, terms=postings.terms_in(QUESTIONS))
+    return _shown(search.with_relevance(hits))
+
+
+@register("question_table_search")
+def _question_table(spark, sf_dir):
+    """The best documents for what each conversation opens with: questions that come as a table."""
+    root = scratch(spark, "index")
+    postings.write_index(b.documents(spark, sf_dir), root)
+    opened = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    asked = opened.select(F.col("conv_id").alias("query_id"), "question")
+    return _shown(postings.search_index(spark, root, asked)).select("query_id", "rank", "doc_id", "score")
+
+
 @register("clean_completion")
 def _clean(spark, sf_dir):
     quoted = F.concat(
@@ -428,6 +468,27 @@ def _stream_counts(spark, sf_dir):
     return jobs.stream_status_counts(b.claims(spark, sf_dir), _decision_log(spark, sf_dir))
 
 
+@register("compacted_status_counts")
+def _compacted_counts(spark, sf_dir):
+    """Claims per status in the stored table that the log has been written back into; the log is not read."""
+    root = _bucketed(spark, sf_dir)
+    where = f"{scratch(spark, 'log')}"
+    whole = F.to_json(F.struct("claim_id", "decided_at", "response"))
+    b.responses(spark, sf_dir).select(whole.alias("value")).write.text(f"{where}/in")
+    jobs.log_decisions(spark, f"{where}/in", f"{where}/log", f"{where}/read")
+    jobs.compact_decisions(spark, f"{where}/log", root, f"{where}/applied")
+    return kpis.count_by(buckets.read(spark, root), "status")
+
+
+@register("ingest_notes_stream")
+def _ingest_notes(spark, sf_dir):
+    """Every note through the stream; a file holds many, which are cut apart at their first line."""
+    folder = scratch(spark, "note_files")
+    b.note_texts(spark, sf_dir).select(F.col("text").alias("value")).write.text(f"{folder}/in")
+    ingested = jobs.ingest_notes(spark, f"{folder}/in", f"{folder}/notes", f"{folder}/checkpoint", opening="FIELD INSPECTION REPORT")
+    return jobs.noted(ingested).drop("file_name")
+
+
 @register("malformed_decisions")
 def _malformed(spark, sf_dir):
     return jobs.malformed_decisions(_decision_log(spark, sf_dir)).select(F.col(jobs.MALFORMED).alias("record"))

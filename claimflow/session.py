@@ -23,6 +23,10 @@ def builder(app: str = "claimflow") -> SparkSession.Builder:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Partitions of a small shuffle may be as small as this, so that its work is dealt to all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # The virtual machine does not compile longer methods; wide projections are then split instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Call sites are not recorded for each column expression: plans build in half the time.

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimflow import schemas
-from claimflow.operators import decisions, kpis
+from claimflow.operators import decisions, kpis, notes
+from claimflow.sources import buckets
 
 MALFORMED = "_malformed"
 
@@ -94,8 +95,78 @@ def malformed_decisions(log: DataFrame) -> DataFrame:
     return log.filter(F.col(MALFORMED).isNotNull()).select(MALFORMED)
 
 
+def compact_decisions(spark: SparkSession, log: str, root: str, checkpoint: str) -> None:
+    """Write the decisions that came into the log since the last call back into the stored claims.
+
+    The log is itself read as a stream: the checkpoint keeps how far it has been applied, and what lies
+    before is not read again. `root` is a table of `sources.buckets`, of which a batch replaces
+    the touched buckets alone. The numbers of the batches written stand beside the table, by checkpoint. A
+    batch that comes again, as after a failure between the write and the commit, is told by its number
+    and left out, and would change nothing if it were not: a claim has the newest decision it has seen.
+    """
+
+    def write_back(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        if number <= applied_batch(session, root, checkpoint):
+            return
+        buckets.apply(session, root, good_decisions(batch))
+        done = session.range(1).select(F.lit(checkpoint).alias("stream"), F.lit(number).cast("bigint").alias("batch"))
+        done.coalesce(1).write.mode("append").json(f"{root}/applied")
+
+    schema = spark.read.parquet(log).schema
+    query = (
+        spark.readStream.schema(schema)
+        .parquet(log)
+        .writeStream.foreachBatch(write_back)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def applied_batch(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """The number of the stream's batch that was written back last, -1 before any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/applied")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return -1
+    done = spark.read.schema("stream string, batch bigint").json(f"{root}/applied").filter(F.col("stream") == checkpoint)
+    return done.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+
+def ingest_notes(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int | None = None, opening: str | None = None
+) -> DataFrame:
+    """Bring newly arrived note files into a table of extracted notes, one row per note.
+
+    A file is taken once, whole, when it arrives, also a late one. It is one note, or, with `opening`, as
+    many as have that line, at which they are cut apart. Notes without a claim number
+    stay in the table with their text in `_malformed`; `noted` and `malformed_notes` tell the two apart.
+    """
+    reader = spark.readStream.format("text").option("wholetext", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    arrived = reader.load(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    if opening:
+        each = F.explode(F.split("text", rf"(?m)^(?=\Q{opening}\E\r?$)"))
+        arrived = arrived.select("file_name", each.alias("text")).filter("trim(text) <> ''")
+    extracted = notes.extract_notes(arrived, keep_text=True)
+    read = notes.dataset_notes(extracted, extra=["text"])
+    read = read.withColumn(MALFORMED, F.when(F.col("claim_id").isNull(), F.col("text"))).drop("text")
+    _run_to_end(read, out, checkpoint)
+    return spark.read.schema(read.schema).parquet(out)
+
+
+def noted(ingested: DataFrame) -> DataFrame:
+    return ingested.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def malformed_notes(ingested: DataFrame) -> DataFrame:
+    return ingested.filter(F.col(MALFORMED).isNotNull()).select("file_name", MALFORMED)
+
+
 def current_claims(claims: DataFrame, log: DataFrame) -> DataFrame:
-    """Claims with the newest logged decision applied; a version of it compacts the log."""
+    """Claims with the newest logged decision applied, without a write; `compact_decisions` writes it."""
     return decisions.apply_decisions(claims, good_decisions(log))
 
 

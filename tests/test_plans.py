@@ -104,7 +104,8 @@ def test_write_back_leaves_bucketed_claims_in_place(spark, stored, sf_dir, tmp_p
         made = decisions.parse_decisions(bindings.responses(spark, sf_dir))
         done = decisions.apply_decisions(claims, made)
         text = plan(done)
-        assert text.count("Exchange hashpartitioning(claim_id") == 1 and "Bucketed: true" in text
+        assert text.count("Exchange hashpartitioning(claim_id") == 2 and "Bucketed: true" in text  # the decisions, twice
+        assert "SortAggregate" not in text
         assert done.count() == stored[0].count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
