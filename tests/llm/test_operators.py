@@ -442,16 +442,71 @@ def test_context_past_any_prefix_is_learned(spark, monkeypatch):
 
 
 def test_transitions_cover_all_texts_however_dealt(docs):
-    counts = scoring.id_counts(scoring.word_counts(docs), scoring.TOKENIZER)
-    counts[scoring.END] += docs.count()
+    rows = docs.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(True).alias("scored"))
+    tokens = [scoring.tokenised(rows.repartition(n), scoring.TOKENIZER) for n in (2, 7)]
+    counts = scoring.id_counts(tokens[0])
+    assert (counts == scoring.id_counts(tokens[1])).all() and counts[scoring.END] == docs.count()
     model = scoring.Attention.new(counts, 1)
-    runs = [scoring.context(docs.repartition(n), model, scoring.TOKENIZER, 0.1).toPandas() for n in (2, 7)]
+    runs = [scoring.context(t, model, 0.1).toPandas() for t in tokens]
     assert all(r["n"].sum() == counts.sum() for r in runs)
     one, other = (sorted(r["window"].dropna()) for r in runs)
     assert one == other and len(one) > 0
     assert runs[0].groupby("cell")["n"].sum().equals(runs[1].groupby("cell")["n"].sum())
 
 
+def test_score_against_attention_token_by_token():
+    """Every id by a loop over the slots it may see, in double precision."""
+    rng = np.random.default_rng(7)
+    model = scoring.Attention.new(np.bincount(rng.integers(0, 900, 20_000), minlength=scoring.IDS).astype(float), 3)
+    model.p = {k: (x + 0.1 * rng.normal(size=x.shape)).astype(np.float32) for k, x in model.p.items()}
+    leaves = scoring.TOP + scoring.GROUPS
+    model.follows, model.trust = rng.dirichlet(np.ones(leaves), scoring.OWN + scoring.GROUPS).astype(np.float32), 0.3
+    counts = np.array([1, 7, 8, 30, 2, 0, 17])
+    ids = rng.integers(0, 1200, counts.sum())
+    got = model.log10(ids, counts, model.tables())
+    p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    want, at = [], 0
+    for n in counts:
+        run = ids[at : at + n]
+        at += n
+        before = [p["E"][model.input_of[scoring.END if k == 0 else run[k - 1]]] for k in range(n)]
+        total = 0.0
+        for k in range(n):
+            first = k // scoring.STEP * scoring.STEP - (scoring.WINDOW - scoring.STEP)
+            seen = range(max(first, 0), k + 1)
+            e = np.array([(before[k] @ p["Q"]) @ (before[j] @ p["K"]) / math.sqrt(scoring.WIDTH) + p["d"][k - j] for j in seen])
+            a = np.exp(e - e.max())
+            mixed_in = sum(w * (before[j] @ p["V"]) for w, j in zip(a / a.sum(), seen))
+            h = np.maximum(before[k] @ p["R"] + mixed_in + p["h"], 0)
+            leaf = model.leaf_of[run[k]]
+            c, own = leaf // scoring.LEAVES, leaf % scoring.LEAVES
+            soft = lambda z, i: math.exp(z[i] - z.max()) / np.exp(z - z.max()).sum()
+            alone = soft(h @ p["W"] + p["b"], c) * soft(h @ p["L"][c] + p["l"][c], own)
+            follows = model.follows[model.input_of[scoring.END if k == 0 else run[k - 1]], leaf]
+            total += math.log10(0.7 * alone + 0.3 * follows) + float(model.log_share[run[k]]) / math.log(10)
+        want.append(total)
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_a_pass_lowers_the_loss_and_keeps_the_weights_without_texts(docs, monkeypatch):
+    monkeypatch.setattr(scoring, "PASS_SHARE", 1)
+    monkeypatch.setattr(scoring, "BATCH", 64)
+    rows = docs.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(True).alias("scored"))
+    tokens = scoring.tokenised(rows.repartition(3), scoring.TOKENIZER)
+    model = scoring.Attention.new(scoring.id_counts(tokens), 1)
+    lines = np.concatenate([np.frombuffer(w, "<i2") for w in scoring.context(tokens, model, 0.02).filter("window is not null").toPandas()["window"]]).reshape(-1, scoring.WINDOW + scoring.STEP)
+
+    def loss():
+        unseen, valid = lines[:, : scoring.WINDOW] < 0, lines[:, scoring.WINDOW :] >= 0
+        h = model.in_windows(np.where(unseen, 0, lines[:, : scoring.WINDOW]), unseen)[valid]
+        return -model.log_leaf(h, lines[:, scoring.WINDOW :][valid].astype(np.int64)).mean()
+
+    before = loss()
+    assert all((x == y).all() for x, y in zip(scoring.passed(tokens.limit(0), model).values(), model.p.values()))
+    model.p = scoring.passed(tokens, model)
+    assert loss() < before - 0.05
+
+
 def test_every_id_is_scored_once():
     counts = np.array([1, 8, 9, 40, 3])
     seen = np.zeros(counts.sum(), int)
