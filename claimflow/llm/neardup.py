@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimflow.llm.components import components
 from claimflow.llm.store import runs, stored
-from claimflow.llm.text import hashes, mixed, portions, starts_of, table, words
+from claimflow.llm.text import hashes, mixed, portions, starts_of, table, unused, words
 
 # Links need 100 * common >= PERCENT * united shingles.
 PERCENT = 80
@@ -359,11 +359,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
 def representatives(docs: DataFrame, words_per_shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps, in all their columns; of repeated rows one.
 
-    Rows without id all stay.
+    Rows without id all stay. Columns may have any names beside doc_id and text.
     """
+    name = unused(docs, "kept_id")
     kept = near_duplicates(docs, words_per_shingle, percent).filter("kept AND doc_id IS NOT NULL")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "n_shingles")
-    named = docs.join(kept.select("kept_id").distinct(), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    kept = kept.select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
 
 

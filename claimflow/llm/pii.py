@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions alone (operator 3)."""
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.text import table
+from claimflow.llm.text import table, unused
 
 ROUNDS = 6
 # Dates from the first day of 1800 over one Gregorian cycle of 400 years: 189 * 773 days.
@@ -11,14 +13,24 @@ DAY_ZERO, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 
 # What is looked for. Runs are possessive and start at a word's edge, so a scan is linear.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+# A labelled secret: what stands in quotes, what is set with =, and after a colon what holds a digit.
+_LABEL = r"(?i:password|passwd|secret|token|api_key)"
+_VALUE = r"[^\s\"'<>,;&]{8,}+"
+_SECRET = (
+    rf"(?<={_LABEL}[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)"
+    rf"(?:(?<=[\"'])[^\s\"']{{6,}}+(?=[\"'])|(?<==[ ]{{0,2}}){_VALUE}|(?=[^\s\"'<>,;&0-9]*+[0-9]){_VALUE})"
+)
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+",
     "key": r"(?<![0-9A-Za-z])AKIA[A-Z0-9]{16}(?![0-9A-Za-z])",
-    "secret": r"(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})(?=[A-Za-z_-]{0,200}[0-9])[0-9A-Za-z_-]{8,200}+",
+    "secret": _SECRET,
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*+(?![0-9A-Za-z:]))(?=[A-Fa-f:]*+[0-9])(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?)",
     "date": r"(?<![0-9A-Za-z./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![0-9A-Za-z]|[./-][0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ ]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\+\d{1,3}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){2,3})(?![0-9A-Za-z])",
+    "line": r"(?<=(?i:phone|tel|mobile|cell|fax)[.]?[ ]{0,2}[:=]?[ ]{0,2})\d{9,12}(?![0-9A-Za-z])",
     "number": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-[0-9])",
 }
@@ -179,9 +191,11 @@ def pseudonym(value: Column, key: str) -> Column:
         F.when(F.contains(value, F.lit("@")), _email(value, key))
         .when(whole("key"), F.concat(F.lit("AKIA"), feistel(F.substring(value, 5, 16), key, "key")))
         .when(whole("ip"), _ip(value, key))
+        .when(whole("ip6"), feistel(value, key, "ip6", 6))
         .when(whole("date"), _date(value, key))
         .when(whole("iban"), _iban(value, key))
         .when(whole("number") & _luhn(_digits(value)), _card(value, key))
+        .when(value.rlike(r"^\d{9,12}$"), feistel(value, key, "phone"))
         .when(value.rlike(r"^[+(]") | value.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$"), _phone(value, key))
         .when(whole("ssn"), _refilled(value, feistel(_digits(value), key, "ssn")))
         .when(whole("number"), value)
@@ -189,24 +203,38 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "claimflow") -> DataFrame:
-    """`docs` with the personal data in `text` replaced, and `found`, the number of values looked at.
+def pseudonymise(docs: DataFrame, key: str, found: str = "found") -> DataFrame:
+    """`docs` with the personal data in `text` replaced, and in column `found` how many values were.
+
+    E-mail addresses, phone numbers (plain digits where a label names them), IP addresses, access keys
+    and labelled secrets of any length, social security numbers, and those card numbers, IBANs and
+    dates that pass their check, become another value of the same format under a permutation
+    keyed by `key`: equal values get equal pseudonyms in every document, different ones different
+    pseudonyms. Who has the key can undo them. Dates outside 1800 to 2199 stay, as do letters
+    beyond ASCII within an address. All else stays as it is, character by character.
 
-    E-mail addresses, phone numbers, IP addresses, access keys and secrets, social security
-    numbers, and those card numbers, IBANs and dates that pass their check, become another value
-    of the same format under a keyed permutation: equal values get equal pseudonyms in every
-    document, different ones different pseudonyms. All else stays as it is, character by
-    character. A null text stays null with 0 found, an empty one empty. Only `text` changes;
-    extra columns stay, but for one called `found`, which is replaced.
+    A null text stays null with 0 found, an empty one empty; a very long one is one row's work like any
+    other. Only `text` changes; extra columns stay, but for one called as `found`, which is replaced.
+    Repeated rows change alike; an empty table gives no rows.
     """
-    text = F.col("text")
-    held = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    values = F.when(held, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    listed = docs.withColumn("found", values)
-    stand_ins = F.concat(F.transform("found", lambda v: pseudonym(v, key)), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), stand_ins, lambda a, b: F.concat(a, b)), "")
-    return listed.withColumn("text", F.when(F.size("found") > 0, joined).otherwise(text)).withColumn("found", F.size("found"))
+    text, values, stand_ins = F.col("text"), unused(docs, "values"), unused(docs, "stand_ins")
+    held = F.coalesce(text.rlike("[0-9@]") | text.rlike(_LABEL), F.lit(False))
+    listed = F.when(held, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    each = docs.withColumn(values, listed).withColumn(stand_ins, F.transform(values, lambda v: pseudonym(v, key)))
+    filled = F.concat(F.col(stand_ins), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), filled, lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with(values, stand_ins, lambda a, b: a != b), lambda x: x))
+    return each.withColumns({"text": F.when(F.size(values) > 0, joined).otherwise(text), found: changed}).drop(values, stand_ins)
+
+
+def session_key(spark) -> str:
+    """The key that the session names in spark.claimflow.pii.key; without one, one is drawn for the session."""
+    held = spark.conf.get("spark.claimflow.pii.key", None)
+    if held is None:
+        held = secrets.token_hex(32)
+        spark.conf.set("spark.claimflow.pii.key", held)
+    return held
 
 
 def op3_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
