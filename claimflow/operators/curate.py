@@ -4,17 +4,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow import schemas
-from claimflow.session import broadcast_bounded
 
 
-def with_country_risk(claims: DataFrame, risk: DataFrame, risk_rows_at_most: int | None = None) -> DataFrame:
+def with_country_risk(claims: DataFrame, risk: DataFrame, markets_only: bool = False) -> DataFrame:
     """Claims with their country's population and displaced persons; every claim is kept.
 
-    The risk side is broadcast when the caller knows a bound on its rows (the number of
-    markets); otherwise the join strategy follows from measured sizes.
+    With `markets_only` the caller states that the risk side has a row per market of the fixed list,
+    which is then broadcast; otherwise the join strategy follows from measured sizes.
     """
     extra = risk.select("country", "population", "disaster_displaced_persons")
-    return claims.join(broadcast_bounded(extra, risk_rows_at_most), "country", "left")
+    return claims.join(F.broadcast(extra) if markets_only else extra, "country", "left")
 
 
 def build_curated_claims(
@@ -22,7 +21,7 @@ def build_curated_claims(
     customers: DataFrame,
     policies: DataFrame,
     risk: DataFrame,
-    risk_rows_at_most: int | None = None,
+    markets_only: bool = False,
 ) -> DataFrame:
     """One wide row per claim: policy, policy holder and country risk joined on.
 
@@ -39,7 +38,7 @@ def build_curated_claims(
     )
     wide = (
         claims.join(holders, "policy_number", "left")
-        .join(broadcast_bounded(indicators, risk_rows_at_most), "country", "left")
+        .join(F.broadcast(indicators) if markets_only else indicators, "country", "left")
         .withColumn("ai_decision", F.lit(None).cast("string"))
         .withColumn("ai_reasoning", F.lit(None).cast("string"))
     )

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimflow import vocab
@@ -63,10 +63,16 @@ def description_violations_by_rule(
     return claims.select("claim_id", "claim_type", "policy_type", F.explode(broken).alias("rule"))
 
 
-def violation_counts(claims: DataFrame) -> DataFrame:
-    """Violations per check, counted in one pass; a clean table shows zeros."""
+def _checks() -> dict[str, Column]:
+    """The violations that are counted, by name."""
     checks = {"claim_type": ~is_covered()} | {r[0]: _breaks(r) for r in vocab.DESCRIPTION_RULES}
     checks["description"] = fn.any_of([_breaks(r) for r in vocab.DESCRIPTION_RULES])
+    return checks
+
+
+def violation_counts(claims: DataFrame) -> DataFrame:
+    """Violations per check, counted in one pass; a clean table shows zeros."""
+    checks = _checks()
     counted = claims.agg(*[F.count_if(breaks).alias(name) for name, breaks in checks.items()])
     return counted.unpivot([], list(checks), "check_name", "violations")
 
@@ -118,3 +124,32 @@ def name_country_gate(claims: DataFrame) -> DataFrame:
     pool = F.broadcast(surname_pool(claims.sparkSession).withColumnRenamed("surname", "last_name"))
     in_markets = claims.filter(F.col("country").isin(list(vocab.SURNAMES)))
     return in_markets.join(pool, ["country", "last_name"], "left_anti").select("claim_id", "country", "last_name")
+
+
+def observed(claims: DataFrame) -> tuple[DataFrame, Observation]:
+    """Claims that count what the gates ask for while something else reads them, and where the counts come.
+
+    All gates over the claims ride on the write that stores them: no further pass over the table. The
+    counts are there once the write is done; `gate_figures` makes rows of them.
+    """
+    surnames = fn.any_of([(F.col("country") == c) & F.col("last_name").isin(pool) for c, pool in vocab.SURNAMES.items()])
+    in_pool = F.coalesce(surnames, F.lit(False))
+    early = F.col("status").isin(vocab.CLOSED_STATUSES) & fn.is_blank(F.col("ai_decision"))
+    counts = {"rows|claims": F.lit(True), "names|outside the pool": F.col("country").isin(list(vocab.SURNAMES)) & ~in_pool}
+    counts |= {f"violations|{name}": breaks for name, breaks in _checks().items()}
+    counts |= {f"early status|{status}": early & (F.col("status") == status) for status in vocab.CLOSED_STATUSES}
+    counts |= {f"market|{name}": F.col("country") == name for name in vocab.MARKETS.values()}
+    seen = Observation("claims gates")
+    return claims.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()]), seen
+
+
+def gate_figures(spark: SparkSession, seen: Observation, expected_rows: int | None = None, per_market: tuple[int, int] = vocab.CLAIMS_PER_MARKET) -> DataFrame:
+    """A row per gate and item: what was found, and whether it passes. No row count is asked for without `expected_rows`."""
+
+    def passes(gate: str, found: int) -> bool:
+        if gate == "rows":
+            return expected_rows in (None, found)
+        return per_market[0] <= found <= per_market[1] if gate == "market" else found == 0
+
+    rows = [(*name.split("|"), found, passes(name.split("|")[0], found)) for name, found in seen.get.items()]
+    return fixed_rows(spark, "gate string, item string, found bigint, passed boolean", rows)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from claimflow import vocab
 from claimflow.functions import scalars as fn
-from claimflow.session import broadcast_bounded, fixed_rows
+from claimflow.session import fixed_rows
 
 # What runs in tasks travels with the job: executors need numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -250,9 +250,12 @@ def with_relevance(hits: DataFrame) -> DataFrame:
     return hits.withColumn("relevance", fn.relevance_band(F.col("score")))
 
 
-def with_documents(hits: DataFrame, docs: DataFrame, hits_at_most: int) -> DataFrame:
-    """Hits with their document columns, fetched after the ranking so that no text is sorted."""
-    return docs.join(broadcast_bounded(hits, hits_at_most), "doc_id")
+def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits with their document columns, fetched after the ranking so that no text is sorted.
+
+    The hits are k for each question of a list that the caller holds, and travel to the documents.
+    """
+    return docs.join(F.broadcast(hits), "doc_id")
 
 
 def _kind():

@@ -157,7 +157,7 @@ def claims(spark: SparkSession, sf_dir: str, with_risk: bool = False) -> DataFra
         raw_customers(spark, sf_dir),
         raw_policies(spark, sf_dir),
         indicators,
-        risk_rows_at_most=len(vocab.MARKETS),
+        markets_only=True,
     )
 
 

@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from claimflow import vocab
 from claimflow.operators import curate, notes, quality, repair, risk
 from claimflow.sources import tables
 
@@ -23,13 +22,15 @@ def build_tables(raw: RawTables, root: str) -> dict[str, DataFrame]:
 
     The risk table is stored before the claims join it: the long series is read once, and the
     stored table has one row per market at most, which bounds the broadcast. Repairs and the
-    reset of stale evaluations ride on the same narrow pass that writes the claims.
+    reset of stale evaluations ride on the same narrow pass that writes the claims, and so do the
+    gates over them, whose figures come back as table "gate_figures".
     """
     country_risk = tables.write_snapshot(risk.country_risk(raw.timeseries), f"{root}/country_risk")
     indicators = tables.write_snapshot(risk.indicators(country_risk), f"{root}/indicators")
-    wide = curate.build_curated_claims(raw.claims, raw.customers, raw.policies, country_risk, len(vocab.MARKETS))
+    wide = curate.build_curated_claims(raw.claims, raw.customers, raw.policies, country_risk, markets_only=True)
     repaired = repair.repair_names(repair.repair_descriptions(repair.repair_claim_types(wide)))
-    claims = tables.write_snapshot(repair.reset_evaluations(repaired), f"{root}/claims")
+    checked, seen = quality.observed(repair.reset_evaluations(repaired))
+    claims = tables.write_snapshot(checked, f"{root}/claims")
     extracted = tables.write_snapshot(notes.dataset_notes(notes.extract_notes(raw.notes)), f"{root}/notes")
     texts = tables.write_snapshot(curate.build_policy_text(raw.policies), f"{root}/policy_texts")
     return {
@@ -41,6 +42,7 @@ def build_tables(raw: RawTables, root: str) -> dict[str, DataFrame]:
         "claims": claims,
         "notes": extracted,
         "policy_texts": texts,
+        "gate_figures": quality.gate_figures(claims.sparkSession, seen),
     }
 
 

@@ -699,3 +699,14 @@ SELECT m.country, count(c.claim_id) AS cnt, count(c.claim_id) BETWEEN 20 AND 30
 FROM (SELECT unnest({texts(vocab.MARKETS.values())}) AS country) m LEFT JOIN claims c USING (country) GROUP BY 1""")
 oracle("name_country_gate", "claims", f"""
 SELECT claim_id, country, last_name FROM claims WHERE country IN ({words(vocab.MARKETS.values())}) AND NOT list_contains({_POOL}, last_name)""")
+_CLOSED = ", ".join(f"({q(x)})" for x in vocab.CLOSED_STATUSES)
+_LOW, _HIGH = vocab.CLAIMS_PER_MARKET
+oracle("build_gates", "claims", f"""
+SELECT gate, item, found, CASE gate WHEN 'rows' THEN true WHEN 'market' THEN found BETWEEN {_LOW} AND {_HIGH} ELSE found = 0 END AS passed
+FROM (
+  SELECT 'rows' AS gate, 'claims' AS item, count(*) AS found FROM claims
+  UNION ALL SELECT 'names', 'outside the pool', count(*) FROM ({ORACLES['name_country_gate']})
+  UNION ALL SELECT 'violations', check_name, violations FROM ({ORACLES['violation_counts']})
+  UNION ALL SELECT 'early status', s.status, count(c.status) FROM (VALUES {_CLOSED}) s(status)
+    LEFT JOIN claims c ON c.status = s.status AND trim(coalesce(c.ai_decision, '')) = '' GROUP BY s.status
+  UNION ALL SELECT 'market', country, cnt FROM ({ORACLES['market_coverage_gate']}))""")

@@ -18,7 +18,6 @@ from claimflow.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-MARKET_ROWS = len(vocab.MARKETS)
 
 # Parameters of the vector and text searches: probe vectors by rule, and the sample questions.
 PROBES = [(q, [math.cos((q + 1) * (i + 1)) for i in range(64)]) for q in range(5)]
@@ -64,9 +63,9 @@ def _claims_with_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide claims plus population and displaced persons; both joins read one aggregate."""
     table = b.country_risk(spark, sf_dir)
     wide = curate.build_curated_claims(
-        b.raw_claims(spark, sf_dir), b.raw_customers(spark, sf_dir), b.raw_policies(spark, sf_dir), table, MARKET_ROWS
+        b.raw_claims(spark, sf_dir), b.raw_customers(spark, sf_dir), b.raw_policies(spark, sf_dir), table, markets_only=True
     )
-    return curate.with_country_risk(wide, table, MARKET_ROWS)
+    return curate.with_country_risk(wide, table, markets_only=True)
 
 
 on_claims = _over(b.claims)
@@ -396,7 +395,7 @@ _over(b.documents)("search_text", lambda df: _shown(search.with_relevance(search
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of the sample questions with their documents."""
     docs = b.documents(spark, sf_dir)
-    return search.with_documents(search.search_text(docs, QUESTIONS), docs, vocab.SEARCH_HITS * len(QUESTIONS))
+    return search.with_documents(search.search_text(docs, QUESTIONS), docs)
 
 
 _over(_found)("assemble_context", search.assemble_context)
@@ -439,7 +438,7 @@ def _policy_search(spark, sf_dir):
     docs = curate.build_policy_text(b.raw_policies(spark, sf_dir)).selectExpr(
         "policy_number AS doc_id", "policy_type AS doc_type", "search_text AS text"
     )
-    hits = search.with_documents(search.search_text(docs, QUESTIONS), docs, vocab.SEARCH_HITS * len(QUESTIONS))
+    hits = search.with_documents(search.search_text(docs, QUESTIONS), docs)
     return _shown(search.read_search_response(search.search_response(hits)))
 
 
@@ -520,3 +519,11 @@ def _status_gate(spark, sf_dir):
 
 on_claims("market_coverage_gate", quality.market_coverage_gate)
 on_claims("name_country_gate", quality.name_country_gate)
+
+
+@register("build_gates")
+def _build_gates(spark, sf_dir):
+    """What the gates find, counted by the write of the claims table itself."""
+    checked, seen = quality.observed(b.claims(spark, sf_dir))
+    tables.write_snapshot(checked, scratch(spark, "gated"))
+    return quality.gate_figures(spark, seen)

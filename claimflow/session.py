@@ -1,13 +1,10 @@
 """Session settings and shared scratch space."""
 
+import re
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side whose row count is bounded by a fixed list is broadcast up to this many rows.
-BROADCAST_ROWS = 100_000
 
 
 def builder(app: str = "claimflow") -> SparkSession.Builder:
@@ -37,25 +34,18 @@ def builder(app: str = "claimflow") -> SparkSession.Builder:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared folder.
 
-    The folder named by spark.checkpoint.dir, else one in the warehouse, which a session's
-    executors share as well.
+    The folder is named by spark.checkpoint.dir or was set as the checkpoint folder. A session on one
+    machine may do without, and gets one in its warehouse; on a cluster, where a warehouse may be
+    a folder of the driver's own, its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_bounded(df: DataFrame, rows_at_most: int | None) -> DataFrame:
-    """Broadcast `df` where the caller can prove a small row bound.
-
-    Without a bound, or beyond it, the hint is left out: Catalyst and adaptive execution then
-    choose from measured sizes, with a skew-split shuffle join as the other way.
-    """
-    if rows_at_most is not None and rows_at_most <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
 def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small fixed table as a local relation, so that its exact size is known to Catalyst."""
     columns = [list(values) for values in zip(*rows)]

@@ -46,6 +46,24 @@ def test_gates_pass(built):
     assert checks["markets"].count() == 8
 
 
+def test_gates_ride_on_the_write(spark, built, tmp_path):
+    """The observed counts are those of the gates that scan, and the write reads its input once."""
+    figures = {(r.gate, r.item): r.found for r in built["gate_figures"].collect()}
+    claims = built["claims"]
+    assert figures["rows", "claims"] == claims.count()
+    assert {r.check_name: r.violations for r in quality.violation_counts(claims).collect()} == {i: n for (g, i), n in figures.items() if g == "violations"}
+    assert {r.country: r.cnt for r in quality.market_coverage_gate(claims).collect()} == {i: n for (g, i), n in figures.items() if g == "market"}
+    broken = claims.withColumns({"last_name": F.lit("Nobody"), "status": F.lit("Denied")})
+    checked, seen = quality.observed(broken)
+    plan = checked._jdf.queryExecution().toString()
+    assert plan.count("FileScan parquet") == 1 and "CollectMetrics" in plan
+    checked.write.parquet(str(tmp_path / "out"))
+    rows = {(r.gate, r.item): (r.found, r.passed) for r in quality.gate_figures(spark, seen, expected_rows=1).collect()}
+    assert rows["names", "outside the pool"] == (quality.name_country_gate(broken).count(), False) and rows["names", "outside the pool"][0] > 0
+    assert rows["early status", "Denied"] == (quality.status_gate(broken).first().violations, False)
+    assert rows["rows", "claims"][1] is False
+
+
 def test_evaluation_and_reports(built):
     claims = built["claims"]
     done = decisions.batch_evaluate_pending(claims)

@@ -47,7 +47,7 @@ def test_rollup_reads_three_columns_in_one_pass(stored):
 
 def test_country_risk_is_broadcast_and_claims_stay(stored):
     wide, series = stored
-    text = plan(curate.with_country_risk(wide, risk.country_risk(series), len(vocab.MARKETS)))
+    text = plan(curate.with_country_risk(wide, risk.country_risk(series), markets_only=True))
     assert "BroadcastHashJoin" in text
     assert "SortMergeJoin" not in text
     assert "hashpartitioning(country" not in text
@@ -135,7 +135,7 @@ def test_a_hot_policy_is_split(spark):
         customers = spark.range(0, 120_000, 1, 8).selectExpr(
             "concat('CUS-', id) AS customer_id", "'A' AS first_name", "'B' AS last_name", "'Japan' AS country", "'T' AS city")
         empty = bindings._no_risk(spark)
-        wide = curate.build_curated_claims(claims, customers, policies, empty, 8)
+        wide = curate.build_curated_claims(claims, customers, policies, empty, markets_only=True)
         assert wide.filter("policy_type IS NULL").count() == 0
         rows = wide.groupBy("policy_type").count().collect()
         assert rows[0]["count"] == 120_000
