@@ -161,6 +161,25 @@ def claims(spark: SparkSession, sf_dir: str, with_risk: bool = False) -> DataFra
     )
 
 
+# Columns that lack a value in some rows, by what the row's key leaves over when divided by GAPS_PER.
+GAPS_PER = 17
+CLAIM_GAPS = {"claim_type": 3, "city": 4, "coverage_limit": 5, "deductible": 6, "status": 8, "claim_amount": 9, "policy_type": 10, "last_name": 11, "description": 12}
+POLICY_GAPS = {"policy_type": 2, "coverage_limit": 3, "deductible": 5, "premium": 7}
+
+
+def _with_gaps(rows: DataFrame, key: Column, gaps: dict[str, int]) -> DataFrame:
+    return rows.withColumns({c: F.when(key % GAPS_PER != n, F.col(c)) for c, n in gaps.items()})
+
+
+def gapped_claims(spark: SparkSession, sf_dir: str, with_risk: bool = False) -> DataFrame:
+    """The wide claims with NULLs in nine columns, for what has to show a missing value."""
+    return _with_gaps(claims(spark, sf_dir, with_risk), claim_key(), CLAIM_GAPS)
+
+
+def gapped_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_gaps(raw_policies(spark, sf_dir), F.substring("policy_number", 5, 20).cast("bigint"), POLICY_GAPS)
+
+
 def claim_key() -> Column:
     return F.substring("claim_id", 5, 20).cast("bigint")
 

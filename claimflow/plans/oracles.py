@@ -1,6 +1,7 @@
 """The registered queries in SQL for DuckDB, written from the definitions, not from the Spark plans."""
 
 from claimflow import vocab
+from claimflow.plans import bindings
 
 ORACLES: dict[str, str] = {}
 
@@ -271,6 +272,14 @@ best AS (
 
 SEARCH, ASKED_SEARCH = _SEARCH.replace("{asked}", _SAMPLE), _SEARCH.replace("{asked}", _OPENINGS)
 
+
+
+def _gapped(name: str, source: str, key: str, gaps: dict[str, int]) -> str:
+    """`source` with NULLs in these columns, as `bindings` puts them."""
+    columns = ", ".join(f"CASE WHEN gap_key % {bindings.GAPS_PER} <> {n} THEN {c} END AS {c}" for c, n in gaps.items())
+    return f"{name} AS (SELECT * EXCLUDE (gap_key) REPLACE ({columns}) FROM (SELECT *, CAST(substr({key}, 5) AS BIGINT) AS gap_key FROM {source}))"
+
+
 # What each bound table builds on, in order of definition.
 PARTS = {
     "raw_customers": (CUSTOMERS, []),
@@ -286,6 +295,9 @@ PARTS = {
     "retyped": (RETYPED, ["claims"]),
     "judged": (JUDGED, ["full_claims"]),
     "notes": (NOTES, ["raw_claims"]),
+    "gapped": (_gapped("gapped", "claims", "claim_id", bindings.CLAIM_GAPS), ["claims"]),
+    "gapped_full": (_gapped("gapped_full", "full_claims", "claim_id", bindings.CLAIM_GAPS), ["full_claims"]),
+    "gapped_policies": (_gapped("gapped_policies", "raw_policies", "policy_number", bindings.POLICY_GAPS), ["raw_policies"]),
     "search": (SEARCH, []),
     "asked_search": (ASKED_SEARCH, []),
 }
@@ -356,11 +368,11 @@ oracle("write_back_versions", "claims parsed", f"""
 SELECT c.claim_id, c.status AS old_status, c.ai_decision AS old_decision, a.status AS new_status, a.ai_decision AS new_decision
 FROM claims c JOIN ({_APPLIED}) a USING (claim_id)
 WHERE c.status IS DISTINCT FROM a.status OR c.ai_decision IS DISTINCT FROM a.ai_decision""")
-oracle("claim_headline", "claims", """
+oracle("claim_headline", "gapped", """
 SELECT claim_id, coalesce('$' || format('{:,.0f}', claim_amount::DOUBLE), 'N/A') AS "Claim Amount",
        coalesce('$' || format('{:,.0f}', coverage_limit::DOUBLE), 'N/A') AS "Coverage Limit",
        coalesce('$' || format('{:,.0f}', deductible::DOUBLE), 'N/A') AS "Deductible", coalesce(status, 'N/A') AS "Status"
-FROM claims""")
+FROM gapped""")
 oracle("export_csv", "claims", """
 SELECT claim_id, claim_type, country, city, claim_amount::DOUBLE AS claim_amount, description FROM claims WHERE claim_amount > 250000""")
 oracle("scan_claims", "full_claims", f"SELECT {_ALL_CLAIM_COLUMNS.replace(' premium::DOUBLE AS premium,', '')}, description FROM full_claims")
@@ -430,13 +442,15 @@ FROM (SELECT *, CAST(trunc(TRY_CAST(score AS DOUBLE)) AS BIGINT) AS points
       FROM (SELECT claim_id, CASE WHEN failed THEN NULL ELSE risk_score END AS score FROM parsed))""")
 _RELEVANCE = "CASE WHEN score > 0.65 THEN 'High' WHEN score > 0.55 THEN 'Medium' ELSE 'Low' END AS relevance"
 oracle("relevance_band", "search", f"SELECT doc_id, round(score, 6) AS score, {_RELEVANCE.replace('score', 'best.score')} FROM best")
-oracle("claim_labels", "claims", "SELECT claim_id, claim_id || ' — ' || claim_type || ' | ' || country || ' | ' || status AS label FROM claims")
-oracle("claim_detail_unpivot", "claims", """
-SELECT claim_id, 'Policy' AS field, policy_number AS value FROM claims
-UNION ALL SELECT claim_id, 'Claim Type', claim_type FROM claims
-UNION ALL SELECT claim_id, 'Policy Type', policy_type FROM claims
-UNION ALL SELECT claim_id, 'Location', city || ', ' || country FROM claims
-UNION ALL SELECT claim_id, 'Filing Date', strftime(filing_date, '%Y-%m-%d %H:%M:%S') FROM claims""")
+oracle("claim_labels", "gapped", """
+SELECT claim_id, claim_id || ' — ' || coalesce(claim_type, 'None') || ' | ' || coalesce(country, 'None') || ' | ' || coalesce(status, 'None') AS label
+FROM gapped""")
+oracle("claim_detail_unpivot", "gapped", """
+SELECT claim_id, 'Policy' AS field, policy_number AS value FROM gapped
+UNION ALL SELECT claim_id, 'Claim Type', claim_type FROM gapped
+UNION ALL SELECT claim_id, 'Policy Type', policy_type FROM gapped
+UNION ALL SELECT claim_id, 'Location', coalesce(city, 'None') || ', ' || coalesce(country, 'None') FROM gapped
+UNION ALL SELECT claim_id, 'Filing Date', strftime(filing_date, '%Y-%m-%d %H:%M:%S') FROM gapped""")
 _MISMATCH = f"SELECT claim_id, claim_type, policy_type FROM claims WHERE NOT ({_COVERED})"
 oracle("claim_type_mismatch", "claims", _MISMATCH)
 oracle("description_violations", "claims", f"SELECT claim_id, claim_type, policy_type, description FROM claims WHERE {_ANY_SHORT}")
@@ -464,16 +478,17 @@ SELECT claim_id, round(coalesce(country_gdp_per_capita, 0), 6) AS gdp,
        round(coalesce(country_insurance_penetration, 0) * 100, 6) AS penetration_pct,
        round(coalesce(country_disaster_exposure, 0) * 100, 6) AS exposure_pct
 FROM full_claims""")
-oracle("render_prompts", "full_claims", """
+oracle("render_prompts", "gapped_full", """
 SELECT claim_id, concat_ws(chr(10),
   'Assess this insurance claim and answer with one JSON object.',
   'Claim: ' || claim_id || ', status ' || coalesce(status, 'None'),
   'Type: ' || coalesce(claim_type, 'None') || ', policy ' || coalesce(policy_type, 'None'),
-  'Amount: $' || format('{:,.0f}', claim_amount::DOUBLE) || ', coverage $' || format('{:,.0f}', coverage_limit::DOUBLE)
-    || ', deductible $' || format('{:,.0f}', deductible::DOUBLE),
-  'Place: ' || city || ', ' || country,
-  'Claimant: ' || first_name || ' ' || last_name,
-  'Incident: ' || description,
+  'Amount: ' || coalesce('$' || format('{:,.0f}', claim_amount::DOUBLE), 'None')
+    || ', coverage ' || coalesce('$' || format('{:,.0f}', coverage_limit::DOUBLE), 'None')
+    || ', deductible ' || coalesce('$' || format('{:,.0f}', deductible::DOUBLE), 'None'),
+  'Place: ' || coalesce(city, 'None') || ', ' || coalesce(country, 'None'),
+  'Claimant: ' || coalesce(first_name, 'None') || ' ' || coalesce(last_name, 'None'),
+  'Incident: ' || coalesce(description, 'None'),
   'GDP per capita: $' || format('{:,.0f}', coalesce(country_gdp_per_capita, 0)),
   'Insurance penetration: ' || format('{:,.2f}%', coalesce(country_insurance_penetration, 0) * 100),
   'Disaster exposure: ' || format('{:,.2f}%', coalesce(country_disaster_exposure, 0) * 100),
@@ -481,7 +496,7 @@ SELECT claim_id, concat_ws(chr(10),
   'Approve a reasonable claim within limits; refer one that needs investigation.',
   'Weigh the country figures in the risk score.',
   'Answer keys: decision (APPROVE, DENY or REFER), risk_score (1-10), recommended_payout, reasoning.') AS prompt
-FROM full_claims""")
+FROM gapped_full""")
 oracle("display_projection", "risk", f"""
 SELECT country AS "Country", format('{{:,.1f}}%', ins_pct) AS "Ins %", '$' || format('{{:,.0f}}', gdp) AS "GDP/Cap",
        format('{{:,.1f}}%', coalesce(disaster_pct, 0)) AS "Disaster %", format('{{:,.1f}}', pop_m) AS "Pop (M)"
@@ -636,7 +651,10 @@ oracle("status_transitions", "judged", """
 SELECT claim_id, status AS old_status, next_status AS new_status, 'None' AS old_decision, decision AS new_decision, risk_score,
        CASE WHEN risk_score <= 3 THEN 'Low' WHEN risk_score <= 6 THEN 'Medium' ELSE 'High' END AS risk_band
 FROM outcome WHERE status = 'Pending'""")
-oracle("build_policy_text", "raw_policies", f"SELECT policy_number, policy_type, {_POLICY_TEXT} AS search_text FROM raw_policies")
+_GAPPED_POLICY_TEXT = """'Policy ' || policy_number || ' is a ' || coalesce(policy_type, 'None') || ' policy. Coverage limit $'
+  || coalesce(format('{:,.0f}', coverage_limit::DOUBLE), 'None') || ', deductible $' || coalesce(format('{:,.0f}', deductible::DOUBLE), 'None')
+  || ', annual premium $' || coalesce(format('{:,.0f}', premium::DOUBLE), 'None') || '.'"""
+oracle("build_policy_text", "gapped_policies", f"SELECT policy_number, policy_type, {_GAPPED_POLICY_TEXT} AS search_text FROM gapped_policies")
 oracle("search_vectors", "", """
 WITH probes AS (
   SELECT q AS query_id, list_transform(range(64), lambda i: cos((q + 1) * (i + 1))) AS probe FROM range(5) t(q)),

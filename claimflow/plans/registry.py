@@ -70,6 +70,7 @@ def _claims_with_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_claims = _over(b.claims)
 on_full_claims = _over(lambda s, d: b.claims(s, d, with_risk=True))
+on_gapped = _over(b.gapped_claims)
 on_evaluated = _over(b.evaluated_claims)
 on_series = _over(b.timeseries)
 on_risk = _over(b.country_risk)
@@ -239,9 +240,9 @@ def _relevance_band(spark, sf_dir):
     )
 
 
-on_claims("claim_labels", views.labels)
-on_claims("claim_headline", views.headline)
-on_claims("claim_detail_unpivot", views.detail_rows)
+on_gapped("claim_labels", views.labels)
+on_gapped("claim_headline", views.headline)
+on_gapped("claim_detail_unpivot", views.detail_rows)
 on_claims("claim_type_mismatch", quality.claim_type_mismatch)
 on_claims("description_violations", quality.description_violations)
 on_claims("description_violations_full", quality.description_violations_by_rule)
@@ -254,7 +255,7 @@ on_full_claims(
         6, "gdp", "penetration_pct", "exposure_pct",
     ),
 )
-on_full_claims("render_prompts", views.render_prompts)
+_over(lambda s, d: b.gapped_claims(s, d, with_risk=True))("render_prompts", views.render_prompts)
 
 
 @register("display_projection")
@@ -387,7 +388,7 @@ on_full_claims(
 on_full_claims("evaluate_claim", lambda df: decisions.evaluate_claim(df, "CLM-7"))
 on_full_claims("evaluation_display", lambda df: decisions.evaluation_display(decisions.evaluate(df)))
 on_full_claims("status_transitions", decisions.status_transitions)
-_over(b.raw_policies)("build_policy_text", curate.build_policy_text)
+_over(b.gapped_policies)("build_policy_text", curate.build_policy_text)
 _over(b.vectors)("search_vectors", lambda df: _shown(search.search_vectors(df, PROBES)))
 _over(b.documents)("search_text", lambda df: _shown(search.with_relevance(search.search_text(df, QUESTIONS))))
 
