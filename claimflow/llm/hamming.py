@@ -1,33 +1,39 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 4)."""
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimflow.llm.blocks import search, usable
+from claimflow.llm.blocks import search
 from claimflow.llm.text import spans, table
 
-BLOCK_ROWS, NEAREST = 8_192, 20
+# A block's codes are 8 bytes a row for 64 components.
+BLOCK_ROWS, NEAREST = 262_144, 20
 SEGMENT = 16  # bits
 QUERY_PORTION = 128
+# Cells of a table of queries and ids.
+CELLS = 1 << 24
 
 
-def packed(vectors: np.ndarray) -> np.ndarray:
-    """Segments of SEGMENT sign bits of each row, padded with zeros: bit 1 where a component is above 0."""
-    bits = (vectors > 0).astype(np.uint16)
-    missing = -bits.shape[1] % SEGMENT
-    bits = np.hstack([bits, np.zeros((len(bits), missing), np.uint16)]).reshape(len(bits), -1, SEGMENT)
-    return (bits << np.arange(SEGMENT, dtype=np.uint16)).sum(axis=2).astype(np.uint16)
+def segments(embedding: Column) -> Column:
+    """The code of a vector as numbers of SEGMENT bits: bit 1 where a component is above 0, padded with zeros."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(embedding) - 1) / SEGMENT).cast("int"))
+
+    def one(at: Column) -> Column:
+        bits = F.transform(F.slice(embedding, at * SEGMENT + 1, SEGMENT), lambda x, i: F.when(x > 0, F.power(F.lit(2), i).cast("int")).otherwise(0))
+        return F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+
+    return F.transform(starts, one)
 
 
 class MultiIndex:
     """One table per segment over a block, addressed directly by the segment's value."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int):
         self.ids, self.k = ids, k
         distinct, self.id_of = np.unique(ids, return_inverse=True)
         self.n_ids = len(distinct)
-        self.codes = packed(vectors)
+        self.codes = codes.astype(np.uint16)
         self.orders, self.starts = [], []
         values = np.arange(1 << SEGMENT, dtype=np.uint16)
         self.masks = [values[np.bitwise_count(values) == radius] for radius in range(SEGMENT + 1)]
@@ -82,11 +88,12 @@ class MultiIndex:
                     return kept, kth
         return kept, kth
 
-    def find(self, query_ids: np.ndarray, vectors: np.ndarray):
+    def find(self, query_ids: np.ndarray, codes: np.ndarray):
         out = [[], [], []]
-        for begin in range(0, len(query_ids), QUERY_PORTION):
-            own = query_ids[begin : begin + QUERY_PORTION]
-            kept, kth = self._search(own, packed(vectors[begin : begin + QUERY_PORTION]))
+        portion = QUERY_PORTION if self.n_ids == len(self.ids) else max(1, min(QUERY_PORTION, CELLS // self.n_ids))
+        for begin in range(0, len(query_ids), portion):
+            own = query_ids[begin : begin + portion]
+            kept, kth = self._search(own, codes[begin : begin + portion].astype(np.uint16))
             asked, rows, apart = (np.concatenate(x) for x in zip(*kept))
             near = apart <= kth[asked]
             asked, ids, apart = asked[near], self.ids[rows[near]], apart[near]
@@ -102,7 +109,7 @@ class MultiIndex:
         return tuple(np.concatenate(x) for x in out)
 
 
-def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = NEAREST, width: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = NEAREST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k rows at the smallest Hamming distance for each query, exactly: query_id, rank, vec_id, distance.
 
     A vector's code has a bit for each component: 1 where it is above 0. In each block the search
@@ -110,14 +117,11 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = NEAREST, width:
     covered, ties included; the blocks' hits are then merged. A query's own id is no candidate;
     ties go to the smaller id.
 
-    Vectors that are null, zero, of another width (by default the commonest) or hold a null or
+    Codes of one length are searched among themselves. Vectors that are null, zero or hold a null or
     non-finite component have no code; an empty table gives no rows. Rows that repeat an id
     count once, by their smallest distance. Other columns are not read.
     """
-    if width is None:
-        common = usable(rows).groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-        width = common["n"] if common else 0
-    found = search(rows, queries, block_rows, width, lambda ids, vectors: MultiIndex(ids, vectors, k))
+    found = search(rows, queries, block_rows, lambda ids, codes, _: MultiIndex(ids, codes, k), segments(F.col("embedding")))
     hits = found.groupBy("query_id", "vec_id").agg(F.min("score").cast("int").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -137,7 +141,7 @@ WITH held AS (
 ), apart AS (
   SELECT q.vec_id AS query_id, r.vec_id,
     CAST(len(list_filter(range(1, len(q.code) + 1), lambda i: q.code[i] <> r.code[i])) AS INTEGER) AS distance
-  FROM held q JOIN held r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+  FROM held q JOIN held r ON q.vec_id <> r.vec_id AND len(q.code) = len(r.code) WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
 FROM apart QUALIFY rank <= 20

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimflow.llm.blocks import search, usable
+from claimflow.llm.blocks import search
 from claimflow.llm.text import spans, table
 
 # Rows of a block; tables, projections of each, width of a slot in standard deviations of a unit
@@ -105,7 +105,7 @@ class StableIndex:
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, width: int | None = None, block_rows: int = BLOCK_ROWS,
+    rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS,
     tables: int = TABLES, projections: int = PROJECTIONS, slot: float = SLOT, gathered: int = GATHERED, seed: int = 5,
 ) -> DataFrame:
     """The k rows of largest inner product found for each query: query_id, rank, vec_id, score.
@@ -114,15 +114,12 @@ def nearest(
     probes of all tables visit; their inner products are exact, in double precision. A query's
     own id is no candidate. Ties go to the smaller id; fewer candidates than k give fewer rows.
 
-    Vectors that are null, zero, of another width (by default the commonest) or hold a null or
+    Vectors of one width are searched among themselves. Those that are null, zero or hold a null or
     non-finite component take no part; an empty table gives no rows. Rows that repeat an id
     count once, by their best score. Other columns are not read.
     """
-    if width is None:
-        common = usable(rows).groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-        width = common["n"] if common else 0
-    index = lambda ids, vectors: StableIndex(ids, vectors, k, tables, projections, slot, gathered, seed)
-    hits = search(rows, queries, block_rows, width, index).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    index = lambda ids, vectors, _: StableIndex(ids, vectors, k, tables, projections, slot, gathered, seed)
+    hits = search(rows, queries, block_rows, index).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

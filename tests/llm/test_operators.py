@@ -307,6 +307,22 @@ def test_an_id_repeated_k_times_in_one_block_counts_once(spark):
         assert [r["score"] for r in found] == pytest.approx([-s for s, _ in best[:20]])
 
 
+def test_vectors_of_each_width_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8 if i < 60 else 20 if i < 110 else 1).tolist()) for i in range(111)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = vectors.filter("vec_id % 20 = 0")
+    held = {r["vec_id"]: np.array(r["embedding"]) for r in vectors.collect()}
+    codes, near = hamming.nearest_codes(vectors, queries, k=5).toPandas(), neighbours.nearest(vectors, queries, k=5).toPandas()
+    for q in range(0, 101, 20):
+        peers = {i: v for i, v in held.items() if i != q and len(v) == len(held[q])}
+        own = codes[codes["query_id"] == q].sort_values("rank")
+        assert list(zip(own["distance"], own["vec_id"])) == sorted((int(((held[q] > 0) != (v > 0)).sum()), i) for i, v in peers.items())[:5]
+        own = near[near["query_id"] == q].sort_values("rank")
+        assert own["vec_id"].tolist() == [i for _, i in sorted((-float(held[q] @ v), i) for i, v in peers.items())[:5]]
+    assert set(codes["query_id"]) == set(near["query_id"]) == {0, 20, 40, 60, 80, 100}
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 
