@@ -663,6 +663,7 @@ scored AS (
   FROM probes, embeddings)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY scored.score DESC, doc_id) AS rank
 FROM scored QUALIFY rank <= 5""")
+ORACLES["search_vectors_clustered"] = ORACLES["search_vectors"]
 oracle("search_text", "search", f"SELECT query_id, doc_id, round(score, 6) AS score, rank, {_RELEVANCE.replace('score', 'ranks.score')} FROM ranks WHERE rank <= 5")
 PARTS["policy_docs"] = (f"""
 policy_docs AS (SELECT policy_number AS doc_id, policy_type AS lang, {_POLICY_TEXT} AS text FROM raw_policies)""", ["raw_policies"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from claimflow import vocab
 from claimflow.functions import responses, scalars as fn
 from claimflow.operators import claims as views
-from claimflow.operators import curate, decisions, kpis, notes, postings, quality, repair, risk, search, semantic
+from claimflow.operators import clusters, curate, decisions, kpis, notes, postings, quality, repair, risk, search, semantic
 from claimflow.plans import bindings as b
 from claimflow.session import scratch
 from claimflow.sources import buckets, generate, tables, texts
@@ -390,6 +390,16 @@ on_full_claims("evaluation_display", lambda df: decisions.evaluation_display(dec
 on_full_claims("status_transitions", decisions.status_transitions)
 _over(b.gapped_policies)("build_policy_text", curate.build_policy_text)
 _over(b.vectors)("search_vectors", lambda df: _shown(search.search_vectors(df, PROBES)))
+
+
+@register("search_vectors_clustered")
+def _clustered(spark, sf_dir):
+    """search_vectors by the clusters that can hold a hit."""
+    root = scratch(spark, "clusters")
+    clusters.write_clusters(b.vectors(spark, sf_dir), root)
+    return _shown(clusters.search_clusters(spark, root, PROBES))
+
+
 _over(b.documents)("search_text", lambda df: _shown(search.with_relevance(search.search_text(df, QUESTIONS))))
 
 
