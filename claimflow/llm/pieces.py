@@ -1,5 +1,6 @@
 """Sampled segmentations over a piece lattice, and lossless decoding (operator 6)."""
 
+import math
 import re
 
 import numpy as np
@@ -16,6 +17,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Piece probabilities follow their rank r in the model as 1 / (r + FLAT); a byte has that of the last rank.
 FLAT = 20.0
+# Places that all units are walked through side by side; beyond, where few are so long, each goes on alone.
+LONG = 256
 ENCODED = "doc_id bigint, ids array<int>"
 
 
@@ -122,7 +125,7 @@ class Lattice:
         left = sizes[code].copy()
         where = starts_of(sizes + 1)[code] + left
         active, drawn, turn = np.arange(len(code)), [], 0
-        while len(active):
+        while len(active) and turn < LONG:
             u = (mixed(base[active] + np.uint64(turn)) >> np.uint64(11)) * 2.0**-53
             now = where[active]
             arc = opens[now]
@@ -136,9 +139,14 @@ class Lattice:
             left[active] -= length[arc]
             active = active[left[active] > 0]
             turn += 1
+        turns = [np.full(len(a), t) for t, (a, _) in enumerate(drawn)]
+        for one in active.tolist():  # what is left of long units, arc by arc
+            arcs = self._drawn_on(int(where[one]), int(left[one]), base[one], turn, opens, ends_at, upto, length)
+            drawn.append((np.full(len(arcs), one), np.array(arcs, np.int64)))
+            turns.append(turn + np.arange(len(arcs)))
         occurrence, arc = np.concatenate([a for a, _ in drawn]), np.concatenate([b for _, b in drawn])
         taken = np.bincount(occurrence, minlength=len(code))
-        turn_of = np.repeat(np.arange(len(drawn)), [len(a) for a, _ in drawn])
+        turn_of = np.concatenate(turns)
         ordered = np.empty(len(arc), np.int64)
         ordered[starts_of(taken)[occurrence] + taken[occurrence] - 1 - turn_of] = arc
         n = np.where(piece[ordered] >= 0, 1, wide[first[ordered]])
@@ -151,6 +159,25 @@ class Lattice:
         per_unit = sums(n.astype(np.float64), taken)
         return out, sums(per_unit, per_text).astype(np.int64)
 
+    @staticmethod
+    def _drawn_on(now: int, left: int, base: np.uint64, turn: int, opens, ends_at, upto, length) -> list[int]:
+        """The arcs drawn from here back to the unit's begin; draws, sums and bounds as in `sample`."""
+        u = ((mixed(base + np.arange(turn, turn + left, dtype=np.uint64)) >> np.uint64(11)) * 2.0**-53).tolist()
+        low = now - left
+        begins, stops = opens[low : now + 1].tolist(), ends_at[low : now + 1].tolist()
+        first = begins[1] if left else 0
+        shares, sizes = upto[first : stops[-1]].tolist(), length[first : stops[-1]].tolist()
+        out, at = [], left
+        for draw in u:
+            arc, stop = begins[at], stops[at]
+            while arc + 1 < stop and shares[arc - first] <= draw:
+                arc += 1
+            out.append(arc)
+            at -= sizes[arc - first]
+            if not at:
+                return out
+        return out
+
     @staticmethod
     def _forward(tail, head, log_p, opens, local, positions: int) -> np.ndarray:
         """Log of the summed probability of all ways to each position, position after position of the units."""
@@ -159,15 +186,33 @@ class Lattice:
         order = np.lexsort((head, local))
         tail, head, log_p = tail[order], head[order], log_p[order]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(local)[1:])])
-        for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for begin, end in zip(bounds[:-1][:LONG].tolist(), bounds[1:][:LONG].tolist()):
             own = head[begin:end]
             ways = forward[tail[begin:end]] + log_p[begin:end]
             new = np.flatnonzero(np.diff(own, prepend=-1))
             top = np.maximum.reduceat(ways, new)
             n = np.diff(new, append=len(own))
             forward[own[new]] = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, n)), new))
+        if len(bounds) > LONG + 1:
+            Lattice._forward_on(forward, tail[bounds[LONG] :], head[bounds[LONG] :], log_p[bounds[LONG] :])
         return forward
 
+    @staticmethod
+    def _forward_on(forward: np.ndarray, tail: np.ndarray, head: np.ndarray, log_p: np.ndarray) -> None:
+        """The same for the positions beyond LONG, of which few units have any: way by way."""
+        order = np.argsort(head, kind="stable")
+        heads, tails, chances = head[order].tolist(), tail[order].tolist(), log_p[order].tolist()
+        known = dict(zip(tails, forward[tail[order]].tolist()))
+        at, n = 0, len(heads)
+        while at < n:
+            here, ways = heads[at], []
+            while at < n and heads[at] == here:
+                ways.append(known[tails[at]] + chances[at])
+                at += 1
+            top = max(ways)
+            known[here] = top + math.log(sum([math.exp(w - top) for w in ways]))
+            forward[here] = known[here]
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of runs of ids; the space that encoding put before each is taken away."""
         text_of = self.text_of

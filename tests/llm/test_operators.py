@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -443,6 +444,24 @@ def test_sampling_follows_the_lattice():
     assert all(drawn[s] / n == pytest.approx(w / sum(weights.values()), abs=0.015) for s, w in weights.items())
 
 
+def test_long_units_are_walked_alone_alike(monkeypatch):
+    """A text without a space: the same pieces as side by side, in time that grows with its length."""
+    model, rng = pieces.lattice(pieces.MODEL), np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdehilnorst日本語é"), n).tolist()) for n in (5, 300, 900)] + ["aaaa" * 200, "short words here"]
+    keys = np.arange(len(texts))
+    monkeypatch.setattr(pieces, "LONG", 10_000)
+    ids, counts = model.sample(texts, keys, 3)
+    monkeypatch.setattr(pieces, "LONG", 7)
+    alone, alone_counts = model.sample(texts, keys, 3)
+    assert (counts == alone_counts).all() and (ids == alone).all()
+    assert model.decode(alone, alone_counts) == texts
+    monkeypatch.undo()
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 80_000).tolist())
+    begin = time.perf_counter()
+    ids, counts = model.sample([long], np.array([1]), 3)
+    assert time.perf_counter() - begin < 3 and model.decode(ids, counts) == [long]
+
+
 def test_base_scores_against_counts(docs, odd, none, monkeypatch):
     monkeypatch.setattr(scoring, "STEPS", 20)
     # With few tokens all counts are frequent; this bound sends most of them through the join.
