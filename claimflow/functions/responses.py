@@ -11,11 +11,15 @@ _JSON_SPACE = " \t\n\r"
 _END = "end of response"
 
 
+# How a Markdown code fence opens and closes.
+_FENCE_OPENS, _FENCE_CLOSES = r"^```(?:json)?\s*", r"\s*```$"
+
+
 def without_fence(text: Column) -> Column:
     """Strip white space and, where the text opens with one, the Markdown code fence."""
     bare = strip_ws(text)
-    opened = F.regexp_replace(bare, r"^```(?:json)?\s*", "")
-    return F.when(bare.startswith("```"), F.regexp_replace(opened, r"\s*```$", "")).otherwise(bare)
+    opened = F.regexp_replace(bare, _FENCE_OPENS, "")
+    return F.when(bare.startswith("```"), F.regexp_replace(opened, _FENCE_CLOSES, "")).otherwise(bare)
 
 
 def as_objects(text: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from claimflow.functions import scalars as fn
 
+# The columns of the claim list. The headings and labels of the reports below are fixed too.
 SCAN_COLUMNS = [
     "claim_id", "claim_type", "country", "city", "claim_amount", "coverage_limit", "deductible",
     "policy_number", "policy_type", "first_name", "last_name", "status", "filing_date",

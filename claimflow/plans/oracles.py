@@ -364,6 +364,7 @@ SELECT c.claim_id, coalesce(CASE d.decision WHEN 'APPROVE' THEN 'Approved' WHEN
 FROM claims c LEFT JOIN last_decisions d USING (claim_id)"""
 oracle("apply_decisions", "claims parsed", _APPLIED)
 oracle("write_back_buckets", "claims parsed", _APPLIED)
+oracle("apply_decisions_bucketed", "claims parsed", _APPLIED)
 oracle("write_back_versions", "claims parsed", f"""
 SELECT c.claim_id, c.status AS old_status, c.ai_decision AS old_decision, a.status AS new_status, a.ai_decision AS new_decision
 FROM claims c JOIN ({_APPLIED}) a USING (claim_id)

@@ -1,6 +1,7 @@
 """The registered queries: each operator over the whole given tables."""
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,15 @@ def _bucketed(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+@register("apply_decisions_bucketed")
+def _apply_bucketed(spark, sf_dir):
+    """The write-back over a table in buckets of the claim id: the claims are joined where they lie."""
+    name = f"claims_{uuid.uuid4().hex}"
+    claims = tables.write_bucketed(b.claims(spark, sf_dir), name, "claim_id", 16, scratch(spark, name))
+    done = decisions.apply_decisions(claims, decisions.parse_decisions(b.responses(spark, sf_dir)))
+    return done.select("claim_id", "status", "ai_decision", "ai_reasoning", "claim_amount")
+
+
 @register("write_back_buckets")
 def _write_back(spark, sf_dir):
     """The stored claims after a write-back of all parsed decisions."""
