@@ -551,7 +551,7 @@ def test_score_against_attention_token_by_token():
 
 def test_a_pass_lowers_the_loss_and_keeps_the_weights_without_texts(docs, monkeypatch):
     monkeypatch.setattr(scoring, "PASS_SHARE", 1)
-    monkeypatch.setattr(scoring, "BATCH", 64)
+    monkeypatch.setattr(scoring, "PASS_BATCH", 64)
     rows = docs.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(True).alias("scored"))
     tokens = scoring.tokenised(rows.repartition(3), scoring.TOKENIZER)
     model = scoring.Attention.new(scoring.id_counts(tokens), 1)
