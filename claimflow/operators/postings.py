@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimflow import vocab
 from claimflow.operators.search import ranked_hits
-from claimflow.session import scratch
+from claimflow.session import discard, scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,6 +97,7 @@ def write_index(docs: DataFrame, root: str, part_documents: int = PART_DOCUMENTS
     )
     dealt = lists.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange("bucket", "term", "part")
     dealt.sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").parquet(f"{root}/postings")
+    discard(spark, path)
 
 
 def read_postings(spark: SparkSession, root: str, terms: list[str] | None = None) -> DataFrame:

@@ -46,6 +46,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `scratch` named, once nothing reads it any more; no other folder."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    root, own = path_of(scratch(spark, "x")).getParent(), path_of(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.makeQualified(own.getParent()).equals(files.makeQualified(root)):
+        files.delete(own, True)
+
+
 def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small fixed table as a local relation, so that its exact size is known to Catalyst."""
     columns = [list(values) for values in zip(*rows)]

@@ -1,12 +1,13 @@
 """Whole-text reading, snapshots, CSV export, note extraction, scratch space."""
 
+import os
 import pytest
 from pyspark.sql import functions as F
 
 from claimflow import schemas
 from claimflow.operators import notes
 from claimflow.plans import bindings
-from claimflow.session import scratch
+from claimflow.session import discard, scratch
 from claimflow.sources import tables, texts
 
 NOTE_A = """FIELD INSPECTION REPORT
@@ -126,3 +127,11 @@ def test_versions_are_committed_one_after_the_other(spark, tmp_path):
     assert tables.read_version(spark, root, first.schema).count() == 3
     with pytest.raises(Exception):
         tables.write_version(first, root, first=True)
+
+
+def test_only_scratch_is_discarded(spark, tmp_path):
+    own, other = scratch(spark, "gone"), str(tmp_path / "kept")
+    for path in (own, other):
+        spark.range(3).write.parquet(path)
+        discard(spark, path)
+    assert not os.path.exists(own) and os.path.exists(other)
