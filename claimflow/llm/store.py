@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from claimflow.session import scratch
+from claimflow.session import discard, scratch
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -15,14 +15,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(df: DataFrame) -> None:
-    """Deletes the files of a `stored` table that nothing reads any more; no folder but scratch ones."""
-    spark = df.sparkSession
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    root = path_of(scratch(spark, "x")).getParent()
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Deletes the files of a `stored` table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if files.makeQualified(path_of(folder).getParent()).equals(files.makeQualified(root)):
-            files.delete(path_of(folder), True)
+        discard(df.sparkSession, folder)
 
 
 def runs(batches, column: str):
