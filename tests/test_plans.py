@@ -53,11 +53,11 @@ def test_country_risk_is_broadcast_and_claims_stay(stored):
     assert "hashpartitioning(country" not in text
 
 
-def test_no_hint_beyond_the_bound(spark, stored):
+def test_no_hint_without_the_callers_word(spark, stored):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         wide, series = stored
-        text = plan(curate.with_country_risk(wide, risk.country_risk(series), 10**9))
+        text = plan(curate.with_country_risk(wide, risk.country_risk(series)))
         assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
