@@ -139,7 +139,8 @@ def ingest_notes(
 ) -> DataFrame:
     """Bring newly arrived note files into a table of extracted notes, one row per note.
 
-    A file is taken once, whole, when it arrives, also a late one. It is one note, or, with `opening`, as
+    A file is taken once, whole, when it arrives, also a late one; a task holds one at a time, so the folder's
+    files should grow in number rather than in length. It is one note, or, with `opening`, as
     many as have that line, at which they are cut apart. Notes without a claim number
     stay in the table with their text in `_malformed`; `noted` and `malformed_notes` tell the two apart.
     """
