@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimflow import vocab
-from claimflow.operators.search import ranked_hits
+from claimflow.operators.search import portions, ranked_hits
 from claimflow.session import discard, scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,9 +40,7 @@ SALT_ROWS = 10_000
 
 def _weigh(batches):
     """A row per document with a term: its norm, its distinct terms and their weights."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in portions(batches):
         parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(batch.column(1), "")), "[^a-z]+")
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
         flat = parts.flatten()
