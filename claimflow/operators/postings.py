@@ -34,7 +34,7 @@ BANDS = 4
 LISTS = "term string, part bigint, n bigint, best double, docs array<struct<weight: double, doc_id: {kind}>>, bucket int"
 # Parts that a question looks into before its bound is known.
 FIRST_PARTS = 2
-# Questions that meet one list of documents in one task.
+# Questions that meet the lists of one part in one task.
 SALT_ROWS = 10_000
 
 
@@ -135,21 +135,56 @@ def bounds(weighted: DataFrame, lists: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order))
 
 
-def _scored(pairs: DataFrame, weighted: DataFrame, lists: DataFrame) -> DataFrame:
-    """Scores of the documents of the (question, part) pairs, in units.
-
-    A list that many questions ask for is salted by question: each copy meets SALT_ROWS of them.
+def _best_of_part(k: int):
+    """For the lists of a part and the questions that meet them: the k best documents of each question, in units."""
+
+    def best(lists: pa.Table, questions: pa.Table) -> pa.Table:
+        found, rows = ([], [], []), lists.column("docs").combine_chunks()
+        docs = rows.flatten()
+        kind = docs.field("doc_id").type
+        if not lists.num_rows or not questions.num_rows:
+            return pa.table({"query_id": pa.nulls(0, questions.schema.field("query_id").type), "doc_id": pa.nulls(0, kind), "score": pa.nulls(0, pa.int64())})
+        # Documents by place, in the order of their ids.
+        ids, place = np.unique(docs.field("doc_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        weights = docs.field("weight").to_numpy()
+        ends = np.cumsum(pc.list_value_length(rows).to_numpy())
+        at = {t: (e - n, e) for t, n, e in zip(lists.column("term").to_pylist(), np.diff(ends, prepend=0), ends)}
+        total = np.zeros(len(ids), np.int64)
+        for query, terms, values in zip(*(questions.column(c).to_pylist() for c in ("query_id", "terms", "values"))):
+            total[:] = 0
+            for term, value in zip(terms, values):
+                if term in at:
+                    own = slice(*at[term])
+                    total[place[own]] += np.floor(value * weights[own] * UNIT).astype(np.int64)
+            held = np.flatnonzero(total > 0)
+            if len(held) > k:
+                held = held[total[held] >= np.partition(total[held], len(held) - k)[len(held) - k]]
+            held = held[np.argsort(-total[held], kind="stable")][:k]  # ties in order of the id
+            found[0].append(np.full(len(held), query)), found[1].append(held), found[2].append(total[held])
+        query, held, score = map(np.concatenate, found)
+        return pa.table({"query_id": pa.array(query, questions.schema.field("query_id").type), "doc_id": pa.array(ids[held], kind), "score": pa.array(score, pa.int64())})
+
+    return best
+
+
+def _scored(pairs: DataFrame, weighted: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each (question, part) pair, in units.
+
+    The lists of a part meet the questions that look into it, and their scores are added up in the
+    part's documents; no row is made for a question and a document. A part that many questions look
+    into is salted by question: each copy of its asked lists meets SALT_ROWS of them.
     """
-    wanted = pairs.select("query_id", "part").join(weighted, "query_id")
-    asked = wanted.groupBy("term", "part").agg(F.count("*").alias("asked"))
-    salts = F.ceil(F.col("asked") / SALT_ROWS).cast("int")
-    copies = lists.join(asked, ["term", "part"]).select("term", "part", "docs", salts.alias("salts"))
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = wanted.join(asked, ["term", "part"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), salts).cast("int"))
-    met = dealt.join(copies.select("term", "part", "salt", "docs"), ["term", "part", "salt"])
-    each = met.select("query_id", "value", F.explode("docs").alias("d"))
-    units = _units(F.col("value"), F.col("d.weight"))
-    return each.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(units).alias("score")).filter("score > 0")
+    whole = weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("value").alias("values"))
+    wanted = pairs.select("query_id", "part")
+    salts = wanted.groupBy("part").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    asked = wanted.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("query_id"), "salts").cast("int"))
+    asked = asked.select("part", "salt", "query_id").join(whole, "query_id")
+    known = lists.join(weighted.select("term").distinct(), "term", "left_semi").join(salts, "part")
+    copies = known.select("term", "part", "docs", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    kind = lists.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
+    query = pairs.schema["query_id"].dataType.simpleString()
+    met = copies.groupBy("part", "salt").cogroup(asked.groupBy("part", "salt"))
+    return met.applyInArrow(_best_of_part(k), f"query_id {query}, doc_id {kind}, score bigint")
 
 
 def looked_into(weighted: DataFrame, lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,7 +195,7 @@ def looked_into(weighted: DataFrame, lists: DataFrame, k: int) -> tuple[DataFram
     """
     placed = bounds(weighted, lists)
     first = placed.filter(F.col("place") <= FIRST_PARTS)
-    hits = ranked_hits(_scored(first, weighted, lists), k)
+    hits = ranked_hits(_scored(first, weighted, lists, k), k)
     kth = hits.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     left = placed.filter(F.col("place") > FIRST_PARTS).join(kth, "query_id", "left")
     return hits, first, left.filter(F.col("bound") >= F.coalesce("kth", F.lit(0))).drop("kth")
@@ -178,7 +213,7 @@ def search_index(spark: SparkSession, root: str, questions: DataFrame, k: int =
     documents = spark.read.parquet(f"{root}/corpus").first()["documents"]
     weighted = _weighted_terms(questions, lists, documents)
     hits, _, rest = looked_into(weighted, lists, k)
-    more = _scored(rest, weighted, lists)
+    more = _scored(rest, weighted, lists, k)
     both = ranked_hits(hits.select("query_id", "doc_id", "score").unionByName(more), k)
     return both.withColumn("score", F.col("score") / UNIT)
 
