@@ -19,6 +19,8 @@ SPACE = "▁"
 FLAT = 20.0
 # Places that all units are walked through side by side; beyond, where few are so long, each goes on alone.
 LONG = 256
+# First bits of a hash that lead to its place among the beginnings of pieces.
+SLOT_BITS = 20
 ENCODED = "doc_id bigint, ids array<int>"
 
 
@@ -65,6 +67,17 @@ class Lattice:
                     prefixes[k] = i if whole else -1
         self.prefixes = np.array(sorted(prefixes), np.uint64)
         self.piece_at = np.array([prefixes[int(k)] for k in self.prefixes], np.int64)
+        edges = np.searchsorted(self.prefixes, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+        self.crowded = int(np.diff(edges, append=len(self.prefixes)).max())
+        self.slots = np.minimum(edges, len(self.prefixes) - 1).astype(np.int32)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        """Where each hash is among the beginnings, if it is one: its slot's first place, and on from there."""
+        at = self.slots[(key >> np.uint64(64 - SLOT_BITS)).view(np.int64)]
+        for _ in range(self.crowded - 1):
+            at += self.prefixes[at] < key
+            np.minimum(at, len(self.prefixes) - 1, out=at)
+        return at
 
     def arcs(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in the units: first character, length, id; -1 where a character goes by its bytes."""
@@ -75,7 +88,7 @@ class Lattice:
             inside = active + length <= ends[active]
             active, key = active[inside], key[inside]
             key = mixed(key ^ points[active + length - 1])
-            at = np.minimum(np.searchsorted(self.prefixes, key), len(self.prefixes) - 1)
+            at = self._place(key)
             goes_on = self.prefixes[at] == key
             active, key, at = active[goes_on], key[goes_on], at[goes_on]
             whole = self.piece_at[at] >= 0
