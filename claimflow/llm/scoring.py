@@ -24,8 +24,8 @@ WIDTH, OWN, CLASSES, LEAVES, GROUPS = 32, 2_000, 32, 32, 16
 TOP = CLASSES * LEAVES - GROUPS
 # Steps of the attention weights and windows a step; as many windows are drawn from all training texts.
 STEPS, BATCH = 1_000, 256
-# After that a pass over one window in so many of all, wherever it stands, so that steps grow with the texts.
-PASS_SHARE, PASS_BATCH, PASS_RATE = 32, 1_024, 2e-3
+# After that a pass over all training texts: one window in so many (1: every one), windows a step, and those laid out at once.
+PASS_SHARE, PASS_BATCH, PASS_LINES, PASS_RATE = 1, 1_024, 1 << 14, 2e-3
 # Ids that are scored at once, and of which the attention is held at once.
 BLOCK, CHUNK = 1 << 14, 2_048
 # Numbers of the parameters that travel in one row when tasks' models are averaged.
@@ -432,7 +432,7 @@ class _Adam:
 
 
 def passed(tokens: DataFrame, model: Attention) -> dict[str, np.ndarray]:
-    """The weights after a pass over one in PASS_SHARE of all windows of the learned texts.
+    """The weights after a pass over all windows of the learned texts.
 
     Each task goes on from the same weights through the windows of its texts, PASS_BATCH a step; the tasks'
     weights are averaged on Spark, slice by slice, by the windows they saw. So the steps taken grow
@@ -443,14 +443,14 @@ def passed(tokens: DataFrame, model: Attention) -> dict[str, np.ndarray]:
     def walked(batches):
         own = Attention(model.input_of, model.leaf_of, model.log_share, {k: x.copy() for k, x in model.p.items()})
         adam, waiting, seen = _Adam(own), [], 0
-        for rows, ids, per_text in _runs(batches):
-            drawn = np.flatnonzero((_window_keys(rows, per_text) >> np.uint64(7)) % np.uint64(PASS_SHARE) == 0)
-            waiting.append(_drawn_lines(ids, per_text, own, drawn))
-            if sum(map(len, waiting)) >= PASS_BATCH:
-                lines = np.concatenate(waiting)
-                for at in range(0, len(lines) - PASS_BATCH + 1, PASS_BATCH):
-                    adam.step(lines[at : at + PASS_BATCH], PASS_RATE)
-                waiting, seen = [lines[len(lines) // PASS_BATCH * PASS_BATCH :]], seen + len(lines) // PASS_BATCH * PASS_BATCH
+        for _, ids, per_text in _runs(batches):
+            for first in range(0, int((-(-per_text // STEP)).sum()), PASS_LINES):
+                waiting.append(_drawn_lines(ids, per_text, own, slice(first, first + PASS_LINES, PASS_SHARE)))
+                if sum(map(len, waiting)) >= PASS_BATCH:
+                    lines = np.concatenate(waiting)
+                    for at in range(0, len(lines) - PASS_BATCH + 1, PASS_BATCH):
+                        adam.step(lines[at : at + PASS_BATCH], PASS_RATE)
+                    waiting, seen = [lines[len(lines) // PASS_BATCH * PASS_BATCH :]], seen + len(lines) // PASS_BATCH * PASS_BATCH
         lines = np.concatenate(waiting) if waiting else np.zeros((0, WINDOW + STEP), "<i2")
         if len(lines) >= PASS_BATCH // 4:  # fewer say too little for a step
             adam.step(lines, PASS_RATE)
@@ -486,8 +486,8 @@ def _smoothed(n: np.ndarray, whole: np.ndarray, kinds: np.ndarray, otherwise: np
 def trained(tokens: DataFrame, counts: np.ndarray, n_texts: int, seed: int) -> Attention:
     """The model of the learned texts: transitions counted over all of them, attention weights by Adam.
 
-    STEPS * BATCH windows at most, drawn from all whole texts, start the weights; a pass over a fixed
-    share of all windows, in the tasks that hold them, goes on from there. Windows held back from the
+    STEPS * BATCH windows at most, drawn from all whole texts, start the weights; a pass over all
+    windows, in the tasks that hold them, goes on from there. Windows held back from the
     start fit the weight of the transitions, each without its own count in them.
     """
     model = Attention.new(counts, seed)
@@ -538,7 +538,7 @@ def score(docs: DataFrame, training: DataFrame | Column, tokenizer: str = TOKENI
     travel to the tasks; the counts of all others meet the documents in a join on a 64-bit hash
     of the word, of which no word can have more than one in FREQUENT tokens. The shares of the
     subword ids and what follows each id cover all of `training`, every text whole; the attention
-    weights come from windows drawn from all of it, a fixed share of them however many there are.
+    weights start from windows drawn from all of it and go on through every window.
     Every text is tokenised once, its ids are stored for all passes. `training` is a table or, where
     the texts to learn from are among `docs`, a condition on their columns.
 
