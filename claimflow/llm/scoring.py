@@ -146,12 +146,18 @@ class Attention:
 
     def weights(self, scores: np.ndarray, unseen: np.ndarray) -> np.ndarray:
         """Masked softmax over the slots of a window; `unseen` marks slots before the text's begin."""
-        query = np.arange(WINDOW - STEP, WINDOW)[:, None]
-        back = query - np.arange(WINDOW)[None, :]
-        scores = scores / np.float32(np.sqrt(WIDTH)) + self.p["d"][np.maximum(back, 0)]
-        scores = np.where((back < 0)[None] | unseen[:, None, :], np.float32(-1e9), scores)
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-        return scores / scores.sum(axis=2, keepdims=True)
+        back = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        scores = scores * np.float32(1 / np.sqrt(WIDTH))
+        scores += np.where(back < 0, np.float32(-1e9), self.p["d"][np.maximum(back, 0)])
+        begins = np.flatnonzero(unseen.any(axis=1))
+        scores[begins] = np.where(unseen[begins, None, :], np.float32(-1e9), scores[begins])
+        each, ones = np.exp(scores), np.ones(WINDOW, np.float32)
+        total = each @ ones
+        if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < np.inf):  # too large or small for single precision: shifted first
+            each = np.exp(scores - scores.max(axis=2, keepdims=True))
+            total = each @ ones
+        each /= total[:, :, None]
+        return each
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """Of every pair of embeddings the weight before it is normalised, of every one its value and own part.
@@ -164,41 +170,71 @@ class Attention:
         return np.ascontiguousarray(weights, np.float32).ravel(), e @ self.p["V"], e @ self.p["R"] + self.p["h"]
 
     def step(self, inputs: np.ndarray, unseen: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-        """Mean loss of the leaves and its gradients."""
-        p = self.p
-        e = p["E"][inputs]
-        own = e[:, WINDOW - STEP :]
-        q, k, v = own @ p["Q"], e @ p["K"], e @ p["V"]
+        """Mean loss of the leaves and its gradients.
+
+        Keys, values, queries and own parts are made once for every embedding and looked up, and their
+        gradients are added up by embedding before they go on to the weights.
+        """
+        p, context = self.p, WINDOW - STEP
+        joint = np.hstack([p["K"], p["V"], p["Q"], p["R"]])
+        made, here = p["E"] @ joint, inputs[:, context:]
+        made = [np.ascontiguousarray(made[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(4)]
+        k, v, q = made[0].take(inputs, axis=0), made[1].take(inputs, axis=0), made[2].take(here, axis=0)
         a = self.weights(q @ k.transpose(0, 2, 1), unseen)
-        pre = own @ p["R"] + a @ v + p["h"]
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        held = valid.ravel()
-        hidden = flat(np.maximum(pre, 0))[held]
+        pre = a @ v
+        pre += (made[3] + p["h"]).take(here, axis=0)
+        held = np.flatnonzero(valid)
         leaf = targets.ravel()[held]
+        order = np.argsort(leaf.astype(np.int16), kind="stable")  # by class, so that a class is one run of rows
+        held, leaf = held[order], leaf[order]
+        hidden = np.maximum(pre.reshape(-1, WIDTH).take(held, axis=0), 0)
         n = max(len(leaf), 1)
-        g = {k_: np.zeros_like(p[k_]) for k_ in ("L", "l", "E")}
-        loss, d, dhidden = _softmax(hidden, p["W"], p["b"], leaf // LEAVES, n)
-        g["W"], g["b"] = hidden.T @ d, d.sum(axis=0)
-        for c, rows in _by_class(leaf // LEAVES):
-            own_loss, d, dh = _softmax(hidden[rows], p["L"][c], p["l"][c], leaf[rows] % LEAVES, n)
-            loss += own_loss
-            g["L"][c], g["l"][c] = hidden[rows].T @ d, d.sum(axis=0)
-            dhidden[rows] += dh
-        dp = np.zeros((pre.shape[0] * pre.shape[1], WIDTH), np.float32)
-        dp[held] = dhidden
-        dp = dp.reshape(pre.shape) * (pre > 0)
-        g["h"], g["R"] = flat(dp).sum(axis=0), flat(own).T @ flat(dp)
-        da = dp @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        back = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        g["d"] = np.bincount(np.maximum(back, 0).ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-        ds = ds / np.float32(np.sqrt(WIDTH))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dp
-        g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, WINDOW - STEP :] += dq @ p["Q"].T + dp @ p["R"].T
-        np.add.at(g["E"], inputs.ravel(), flat(de))
-        return loss, g
+        g = {"L": np.zeros_like(p["L"]), "l": np.zeros_like(p["l"])}
+        loss, d = _softmax(hidden @ p["W"] + p["b"], leaf // LEAVES, n)
+        ones = np.ones(len(leaf), np.float32)
+        g["W"], g["b"], dhidden = hidden.T @ d, ones @ d, d @ p["W"].T
+        logits = np.empty((len(leaf), LEAVES), np.float32)
+        ends = np.searchsorted(leaf, np.arange(CLASSES + 1) * LEAVES)
+        runs_ = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends)).tolist()]
+        for c, rows in runs_:
+            np.matmul(hidden[rows], p["L"][c], out=logits[rows])
+            logits[rows] += p["l"][c]
+        own_loss, d = _softmax(logits, leaf % LEAVES, n)
+        for c, rows in runs_:
+            g["L"][c], g["l"][c] = hidden[rows].T @ d[rows], ones[rows] @ d[rows]
+            dhidden[rows] += d[rows] @ p["L"][c].T
+        dhidden *= hidden > 0
+        g["h"] = ones @ dhidden
+        # Of each scored place the gradients by its key, value, query and own part.
+        dp = np.zeros((len(inputs), STEP, WIDTH), np.float32)
+        dp.reshape(-1, WIDTH)[held] = dhidden
+        ds = dp @ v.transpose(0, 2, 1)
+        ds -= ((ds * a) @ np.ones(WINDOW, np.float32))[:, :, None]
+        ds *= a
+        back = np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        by_slot = np.ones(len(ds), np.float32) @ ds.reshape(len(ds), STEP * WINDOW)
+        g["d"] = np.bincount(np.maximum(back, 0).ravel(), by_slot, minlength=WINDOW).astype(np.float32)
+        ds *= np.float32(1 / np.sqrt(WIDTH))
+        dseen = np.empty((len(inputs), WINDOW, 2 * WIDTH), np.float32)
+        dseen[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
+        dseen[..., WIDTH:] = a.transpose(0, 2, 1) @ dp
+        each = np.concatenate([dseen[:, context:], ds @ k, dp], axis=2)
+        # A window that sees what the one before it scores, as in the pass, adds to that one's rows.
+        alone = np.ones(len(inputs), bool)
+        if STEP == context:
+            alone[1:] = (inputs[1:, :context] != here[:-1]).any(axis=1)
+            after = ~alone[1:]
+            if after.all():
+                each[:-1, :, : 2 * WIDTH] += dseen[1:, :context]
+            elif after.any():
+                each[:-1, :, : 2 * WIDTH][after] += dseen[1:, :context][after]
+        alone &= ~unseen[:, :context].all(axis=1)  # nothing is seen there
+        total = np.zeros((len(p["E"]), 4 * WIDTH), np.float32)
+        _added(total, here, each)
+        _added(total, inputs[alone, :context], dseen[alone, :context])
+        g["E"], by_kind = total @ joint.T, p["E"].T @ total
+        g["K"], g["V"], g["Q"], g["R"] = (by_kind[:, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+        return loss + own_loss, g
 
     def log10(self, ids: np.ndarray, counts: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
         """log10 of the probability of each run of ids, every id scored once in its window.
@@ -290,11 +326,10 @@ class Attention:
         return out
 
 
-def _by_class(classes: np.ndarray):
-    """Rows of each class that occurs."""
-    order = np.argsort(classes.astype(np.int16), kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
-    return [(c, order[begin:end]) for c, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)) if end > begin]
+def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the beginning of the row of `total` that it names."""
+    place = at.astype(np.int64)[..., None] * total.shape[1] + np.arange(rows.shape[-1])
+    np.add.at(total.reshape(-1), place.ravel(), rows.ravel())  # one axis: many times as fast
 
 
 def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -308,17 +343,19 @@ def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return chosen - np.log(total)
 
 
-def _softmax(hidden: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray, n: int):
-    """Cross-entropy over n rows, its gradient by the logits and by the hidden rows."""
-    logits = hidden @ weight + bias
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(logits: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Cross-entropy over n rows and its gradient by the logits."""
+    ones, rows = np.ones(logits.shape[1], np.float32), np.arange(len(logits))
     prob = np.exp(logits)
-    prob /= prob.sum(axis=1, keepdims=True)
-    rows = np.arange(len(prob))
+    total = prob @ ones
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < np.inf):  # as in `_log_softmax`
+        prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+        total = prob @ ones
+    prob /= total[:, None]
     loss = -float(np.log(prob[rows, target] + 1e-12).sum()) / n
     prob[rows, target] -= 1
-    prob /= np.float32(n)
-    return loss, prob, prob @ weight.T
+    prob *= np.float32(1 / n)
+    return loss, prob
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray, portion: int = 4_096):
@@ -426,9 +463,13 @@ class _Adam:
         self.t += 1
         m, s, p = self.m, self.s, self.model.p
         for k, g in gradients.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(s[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m[k] *= np.float32(0.9)
+            m[k] += np.float32(0.1) * g
+            s[k] *= np.float32(0.99)
+            s[k] += np.float32(0.01) * g * g
+            root = np.sqrt(s[k] * np.float32(1 / (1 - 0.99**self.t)))
+            root += np.float32(1e-8)
+            p[k] = p[k] - np.float32(rate / (1 - 0.9**self.t)) * m[k] / root
 
 
 def passed(tokens: DataFrame, model: Attention) -> dict[str, np.ndarray]:
