@@ -54,13 +54,15 @@ def apply(spark: SparkSession, root: str, made: DataFrame) -> list[int]:
     new files are complete before any old one is removed; one writer at a time.
     """
     buckets = _layout(spark, root)
-    found = decisions.newest_numbered(made).withColumn("bucket", bucket(F.col("claim_id"), buckets))
-    # At most as many numbers as there are buckets reach the driver.
-    touched = sorted(r[0] for r in found.select("bucket").distinct().collect())
+    # Every claim with a decision has a newest one, so the claim ids alone tell the buckets, without a join. At most
+    # as many numbers as there are buckets reach the driver.
+    asked = made.filter(F.col("claim_id").isNotNull()).select(bucket(F.col("claim_id"), buckets).alias("bucket"))
+    touched = sorted(r[0] for r in asked.distinct().collect())
     if not touched:
         return []
+    found = decisions.newest_numbered(made)
     stored = spark.read.parquet(f"{root}/rows").filter(F.col("bucket").isin(touched))
-    joined = stored.alias("c").join(found.drop("bucket").alias("d"), F.col("c.claim_id") == F.col("d.claim_id"), "left")
+    joined = stored.alias("c").join(found.alias("d"), F.col("c.claim_id") == F.col("d.claim_id"), "left")
     hit = F.col("d.claim_id").isNotNull() & (F.col("c.last").isNull() | (F.col("d.number") > F.col("c.last")))
     text = F.coalesce("d.accepted", F.to_json(F.struct(*[F.col(f"d.{c}").alias(c) for c in ("decision", "risk_score", "recommended_payout", "reasoning")])))
     new = {
