@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimflow.llm.store import stored
 from claimflow.llm.text import hashes, mixed, portions, remainder, sampled_ids, sampled_texts, starts_of, sums, table, words
 
 # Bounds of the fitting sample: documents of each label, whole.
@@ -121,10 +122,11 @@ def _groups(ids: np.ndarray, hashed: np.ndarray, codes: np.ndarray, counts: np.n
 
 
 def _unit_counts(sample: DataFrame) -> tuple[np.ndarray, ...]:
-    """Of each sampled document its label and group, and its distinct units with how often they occur.
+    """Of each sampled document its label and group, and its distinct words with how often they occur.
 
-    Tasks read the whole texts. Returned are labels and groups by document, then document, units
-    (hashes of a word's beginnings) and number of each of its distinct words.
+    Tasks read the whole texts. Returned are labels and groups by document, then document, word and number
+    of each of its distinct words, and of every distinct word its units. A word's units reach the
+    driver once, not with every document that holds it.
     """
     width = len(STEMS) + 1
 
@@ -133,28 +135,42 @@ def _unit_counts(sample: DataFrame) -> tuple[np.ndarray, ...]:
             for part in portions(batch):
                 codes, counts, hashed = _tokens(part.column("text"))
                 group = _groups(part.column("doc_id").to_numpy(), hashed, codes, counts)
-                same, code = np.unique(hashed, axis=0, return_inverse=True) if len(hashed) else (hashed, codes)
-                types = max(len(same), 1)
+                # The last unit is the word itself, of which the others follow.
+                own, first, code = np.unique(hashed[:, -1], return_index=True, return_inverse=True)
+                types = max(len(own), 1)
                 doc = np.repeat(np.arange(len(counts)), counts)
-                pairs, n = np.unique(doc * types + code.ravel()[codes] if len(codes) else doc, return_counts=True)
+                pairs, n = np.unique(doc * types + code[codes] if len(codes) else doc, return_counts=True)
                 ends = np.searchsorted(pairs // types, np.arange(len(counts) + 1))
                 each = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
-                units = [same[pairs[some] % types].astype("<u8").tobytes() for some in each]
+                held = [own[pairs[some] % types].astype("<u8").tobytes() for some in each]
+                names = ["doc_id", "label", "group", "words", "n", "units"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("label"), pa.array(group.view(np.int64)),
-                        pa.array(units, pa.binary()), pa.array([n[some].astype("<i8").tobytes() for some in each], pa.binary()),
+                        part.column("doc_id"), part.column("label"), pa.array(group.view(np.int64)), pa.array(held, pa.binary()),
+                        pa.array([n[some].astype("<u4").tobytes() for some in each], pa.binary()), pa.nulls(len(each), pa.binary()),
                     ],
-                    ["doc_id", "label", "group", "units", "n"],
+                    names,
                 )
-
-    found = sample.mapInArrow(counted, "doc_id bigint, label bigint, group bigint, units binary, n binary").toArrow().sort_by("doc_id")
+                none = [pa.nulls(len(own), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([x.tobytes() for x in hashed[first].astype("<u8")], pa.binary())], names)
+
+    rows = stored(sample.mapInArrow(counted, "doc_id bigint, label bigint, group bigint, words binary, n binary, units binary"), "units")
+    units = rows.filter("units IS NOT NULL").select("units").distinct().toArrow().column("units")
+    hashed = _flat(units, "<u8").reshape(-1, width)
+    hashed = hashed[np.unique(hashed[:, -1], return_index=True)[1]]
+    found = rows.filter("units IS NULL").drop("units").toArrow().sort_by("doc_id")
     group = np.unique(found.column("group").to_numpy(), return_inverse=True)[1]
-    held = found.column("n").to_pylist()
-    doc = np.repeat(np.arange(len(held)), [len(x) // 8 for x in held])
-    n = np.frombuffer(b"".join(held), "<i8")
-    hashed = np.frombuffer(b"".join(found.column("units").to_pylist()), "<u8").reshape(-1, width)
-    return found.column("label").to_numpy(), group, doc, hashed, n
+    doc = np.repeat(np.arange(found.num_rows), pc.binary_length(found.column("words")).to_numpy() // 8)
+    word = np.searchsorted(hashed[:, -1], _flat(found.column("words"), "<u8"))
+    return found.column("label").to_numpy(), group, doc, word, _flat(found.column("n"), "<u4"), hashed
+
+
+def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The numbers in all bytes of a binary column, without an object for each row."""
+    whole = pa.concat_arrays([pa.array([], pa.binary()), *(c.cast(pa.binary()) for c in column.chunks)])
+    ends = np.frombuffer(whole.buffers()[1], "<i4")[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, "<i4")
+    data = whole.buffers()[2]
+    return np.frombuffer(data, "u1")[ends[0] : ends[-1]].view(kind) if data and ends[-1] > ends[0] else np.zeros(0, kind)
 
 
 def _surprise(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -168,7 +184,7 @@ def _surprise(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarra
     return np.sign(y1 * n0 - y0 * n1) * np.sqrt(np.maximum(2 * ratio, 0))
 
 
-def _learned(labels: np.ndarray, group: np.ndarray, doc: np.ndarray, hashed: np.ndarray, n: np.ndarray) -> ToxicModel:
+def _learned(labels: np.ndarray, group: np.ndarray, doc: np.ndarray, word: np.ndarray, n: np.ndarray, hashed: np.ndarray) -> ToxicModel:
     """The units sure to speak for the toxic label, with their log-odds under Dirichlet priors.
 
     Whether a unit is listed is decided by the documents that hold it, copies counting as one;
@@ -181,7 +197,7 @@ def _learned(labels: np.ndarray, group: np.ndarray, doc: np.ndarray, hashed: np.
     listed = {}
     for column in hashed.T:
         distinct, unit = np.unique(column, return_inverse=True)
-        pairs = np.unique(unit.astype(np.int64) * len(toxic_group) + group[doc])
+        pairs = np.unique(unit.astype(np.int64)[word] * len(toxic_group) + group[doc])
         toxic = toxic_group[pairs % len(toxic_group)]
         y1 = np.bincount(pairs // len(toxic_group), toxic, minlength=len(distinct))
         y0 = np.bincount(pairs // len(toxic_group), 1 - toxic, minlength=len(distinct))
@@ -191,7 +207,7 @@ def _learned(labels: np.ndarray, group: np.ndarray, doc: np.ndarray, hashed: np.
         listed |= {int(distinct[i]): float(z[i]) for i in np.flatnonzero(z >= sure)}
     keys = np.array(sorted(listed), np.uint64)
     model = ToxicModel(keys, np.array([listed[int(k)] for k in keys]), np.zeros(len(keys)), 0.0, 1.0, 1.0, np.zeros(4))
-    unit = model.units_of(hashed)
+    unit = model.units_of(hashed)[word]
     weight = n * (1 / np.bincount(group))[group][doc]
     c1 = np.bincount(unit + 1, weight * labels[doc], minlength=len(keys) + 1)
     c0 = np.bincount(unit + 1, weight * (1 - labels[doc]), minlength=len(keys) + 1)
