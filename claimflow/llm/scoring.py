@@ -18,6 +18,8 @@ IDS = 50257
 FREQUENT = 1_000_000
 # Context and step of the windows: each scores STEP ids and sees at least WINDOW - STEP before them.
 WINDOW, STEP = 16, 8
+# How far each slot lies before each place that a window scores; below 0: behind it.
+BACK = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 # Width; ids with an embedding of their own. Predicted are CLASSES classes of LEAVES leaves: the
 # commonest ids have a leaf each, the rest share GROUPS leaves.
 WIDTH, OWN, CLASSES, LEAVES, GROUPS = 32, 2_000, 32, 32, 16
@@ -26,8 +28,12 @@ TOP = CLASSES * LEAVES - GROUPS
 STEPS, BATCH = 1_000, 256
 # After that a pass over all training texts: one window in so many (1: every one), windows a step, and those laid out at once.
 PASS_SHARE, PASS_BATCH, PASS_LINES, PASS_RATE = 1, 1_024, 1 << 14, 2e-3
-# Ids that are scored at once, and of which the attention is held at once.
-BLOCK, CHUNK = 1 << 14, 2_048
+# Windows whose attention is held at once: what does not fit the processor's cache costs more to move than to work out.
+PART = 128
+# Rows of a step that name the same embedding, from which on they are summed in one product.
+OFTEN = 16
+# Places that are scored at once.
+BLOCK = 1 << 13
 # Numbers of the parameters that travel in one row when tasks' models are averaged.
 SLICE = 1 << 12
 # One drawn window in so many is kept from the weights, to tell how far they and the transitions are to be trusted.
@@ -145,12 +151,11 @@ class Attention:
         return cls(input_of.astype(np.int32), leaf_of.astype(np.int32), share.astype(np.float32), p)
 
     def weights(self, scores: np.ndarray, unseen: np.ndarray) -> np.ndarray:
-        """Masked softmax over the slots of a window; `unseen` marks slots before the text's begin."""
-        back = np.arange(WINDOW - STEP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        scores = scores * np.float32(1 / np.sqrt(WIDTH))
-        scores += np.where(back < 0, np.float32(-1e9), self.p["d"][np.maximum(back, 0)])
-        begins = np.flatnonzero(unseen.any(axis=1))
-        scores[begins] = np.where(unseen[begins, None, :], np.float32(-1e9), scores[begins])
+        """Masked softmax over the slots of a window, in place; `unseen` marks slots before the text's begin."""
+        scores += np.where(BACK < 0, np.float32(-1e9), self.p["d"][np.maximum(BACK, 0)])
+        begins = np.flatnonzero(unseen[:, 0])  # slots before the begin are the first ones
+        if len(begins):
+            scores[begins] = np.where(unseen[begins, None, :], np.float32(-1e9), scores[begins])
         each, ones = np.exp(scores), np.ones(WINDOW, np.float32)
         total = each @ ones
         if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < np.inf):  # too large or small for single precision: shifted first
@@ -159,15 +164,20 @@ class Attention:
         each /= total[:, :, None]
         return each
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Of every pair of embeddings the weight before it is normalised, of every one its value and own part.
-
-        One layer needs no more than these. A row of weights is scaled to 1 at its largest.
-        """
-        e = self.p["E"]
-        scores = (e @ self.p["Q"]) @ (e @ self.p["K"]).T / np.float32(np.sqrt(WIDTH))
-        weights = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return np.ascontiguousarray(weights, np.float32).ravel(), e @ self.p["V"], e @ self.p["R"] + self.p["h"]
+    def tables(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, ...]:
+        """Key, value, query and own part of these embeddings; one layer needs no more. Queries are scaled as scores are."""
+        made = self.p["E"][some] @ np.hstack([self.p["K"], self.p["V"], self.p["Q"] * np.float32(1 / np.sqrt(WIDTH)), self.p["R"]])
+        keys, values, queries, owns = (np.ascontiguousarray(made[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(4))
+        return keys, values, queries, owns + self.p["h"]
+
+    def attended(self, inputs: np.ndarray, unseen: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the slots of whole windows, and what goes into h at every scored place."""
+        keys, values, queries, owns = tables
+        here = inputs[:, WINDOW - STEP :]
+        a = self.weights(queries.take(here, axis=0) @ keys.take(inputs, axis=0).transpose(0, 2, 1), unseen)
+        pre = a @ values.take(inputs, axis=0)
+        pre += owns.take(here, axis=0)
+        return a, pre
 
     def step(self, inputs: np.ndarray, unseen: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
         """Mean loss of the leaves and its gradients.
@@ -176,65 +186,97 @@ class Attention:
         gradients are added up by embedding before they go on to the weights.
         """
         p, context = self.p, WINDOW - STEP
-        joint = np.hstack([p["K"], p["V"], p["Q"], p["R"]])
-        made, here = p["E"] @ joint, inputs[:, context:]
-        made = [np.ascontiguousarray(made[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(4)]
-        k, v, q = made[0].take(inputs, axis=0), made[1].take(inputs, axis=0), made[2].take(here, axis=0)
-        a = self.weights(q @ k.transpose(0, 2, 1), unseen)
-        pre = a @ v
-        pre += (made[3] + p["h"]).take(here, axis=0)
+        named = np.bincount(inputs.ravel(), minlength=len(p["E"])) > 0
+        some_e, place = np.flatnonzero(named), np.cumsum(named) - 1
+        tables = keys, values, queries, _ = self.tables(some_e)
+        inputs = place.take(inputs)
+        here, parts = inputs[:, context:], [slice(at, at + PART) for at in range(0, len(inputs), PART)]
+        a, pre = np.empty((len(inputs), STEP, WINDOW), np.float32), np.empty((len(inputs), STEP, WIDTH), np.float32)
+        for some in parts:
+            a[some], pre[some] = self.attended(inputs[some], unseen[some], tables)
         held = np.flatnonzero(valid)
         leaf = targets.ravel()[held]
         order = np.argsort(leaf.astype(np.int16), kind="stable")  # by class, so that a class is one run of rows
         held, leaf = held[order], leaf[order]
-        hidden = np.maximum(pre.reshape(-1, WIDTH).take(held, axis=0), 0)
-        n = max(len(leaf), 1)
+        loss, dhidden, g = self._outputs(_with_ones(pre.reshape(-1, WIDTH), held), leaf)
+        # Of each scored place the gradients by its key, value, query and own part.
+        each = np.empty((len(inputs), STEP, 4 * WIDTH), np.float32)
+        dpre = pre
+        dpre.fill(0)
+        dpre.reshape(-1, WIDTH)[held] = dhidden
+        # A window that sees what the one before it scores, as in the pass, adds to that one's rows; one that sees
+        # nothing there adds zeros.
+        alone = ~unseen[:, :context].all(axis=1)
+        if STEP == context:
+            alone[1:] &= (inputs[1:, :context] != here[:-1]).any(axis=1)
+        by_slot, lone, apart = np.zeros(STEP * WINDOW, np.float32), [], alone.copy()
+        apart[:1] = True  # no window is before it
+        for some in parts:
+            seen, dp = inputs[some], dpre[some]
+            ds = dp @ values.take(seen, axis=0).transpose(0, 2, 1)
+            ds -= ((ds * a[some]) @ np.ones(WINDOW, np.float32))[:, :, None]
+            ds *= a[some]
+            by_slot += np.ones(len(ds), np.float32) @ ds.reshape(len(ds), STEP * WINDOW)
+            dseen = np.empty((len(seen), WINDOW, 2 * WIDTH), np.float32)
+            np.matmul(ds.transpose(0, 2, 1), queries.take(here[some], axis=0), out=dseen[..., :WIDTH])
+            np.matmul(a[some].transpose(0, 2, 1), dp, out=dseen[..., WIDTH:])
+            each[some, :, : 2 * WIDTH] = dseen[:, context:]
+            np.matmul(ds, keys.take(seen, axis=0), out=each[some, :, 2 * WIDTH : 3 * WIDTH])
+            each[some, :, 3 * WIDTH :] = dp
+            skipped = int(apart[some.start])
+            if not apart[some][skipped:].any():
+                each[some.start + skipped - 1 : some.start + len(seen) - 1, :, : 2 * WIDTH] += dseen[skipped:, :context]
+            else:
+                follows = np.flatnonzero(~apart[some])
+                each[some.start - 1 + follows, :, : 2 * WIDTH] += dseen[follows, :context]
+            if alone[some].any():
+                lone.append(dseen[alone[some], :context])
+        total = np.zeros((len(some_e), 4 * WIDTH), np.float32)
+        _added(total, here, each)
+        if lone:
+            _added(total, inputs[alone, :context], np.concatenate(lone))
+        total[:, 2 * WIDTH : 3 * WIDTH] *= np.float32(1 / np.sqrt(WIDTH))
+        g["d"] = np.bincount(np.maximum(BACK, 0).ravel(), by_slot, minlength=WINDOW).astype(np.float32)
+        g["E"], by_kind = np.zeros_like(p["E"]), p["E"][some_e].T @ total
+        g["E"][some_e] = total @ np.hstack([p["K"], p["V"], p["Q"], p["R"]]).T
+        g["K"], g["V"], g["Q"], g["R"] = (by_kind[:, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+        return loss, g
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights from h and a constant 1 to the classes, and to the leaves of each class."""
+        p = self.p
+        return np.vstack([p["W"], p["b"]]), np.concatenate([p["L"], p["l"][:, None]], axis=1)
+
+    def _outputs(self, hidden: np.ndarray, leaf: np.ndarray) -> tuple[float, np.ndarray, dict]:
+        """Mean loss of leaves in their order, its gradient by what goes into h, and those by the weights behind.
+
+        `hidden` is h and a constant 1.
+        """
+        p, n = self.p, max(len(leaf), 1)
         g = {"L": np.zeros_like(p["L"]), "l": np.zeros_like(p["l"])}
-        loss, d = _softmax(hidden @ p["W"] + p["b"], leaf // LEAVES, n)
-        ones = np.ones(len(leaf), np.float32)
-        g["W"], g["b"], dhidden = hidden.T @ d, ones @ d, d @ p["W"].T
+        by_class, by_leaf = self.outputs()
+        loss, d = _softmax(hidden @ by_class, leaf // LEAVES, n)
+        both, dhidden = hidden.T @ d, d @ p["W"].T
+        g["W"], g["b"] = both[:WIDTH], both[WIDTH]
+        logits, runs_ = self._leaves(hidden, leaf, by_leaf)
+        own_loss, d = _softmax(logits, leaf % LEAVES, n)
+        for c, rows in runs_:
+            both = hidden[rows].T @ d[rows]
+            g["L"][c], g["l"][c] = both[:WIDTH], both[WIDTH]
+            dhidden[rows] += d[rows] @ p["L"][c].T
+        dhidden *= hidden[:, :WIDTH] > 0
+        g["h"] = np.ones(len(leaf), np.float32) @ dhidden
+        return loss + own_loss, dhidden, g
+
+    @staticmethod
+    def _leaves(hidden: np.ndarray, leaf: np.ndarray, by_leaf: np.ndarray) -> tuple[np.ndarray, list]:
+        """Logits of each row among the leaves of its class, rows in order of their leaf; the rows of each class."""
         logits = np.empty((len(leaf), LEAVES), np.float32)
         ends = np.searchsorted(leaf, np.arange(CLASSES + 1) * LEAVES)
         runs_ = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends)).tolist()]
         for c, rows in runs_:
-            np.matmul(hidden[rows], p["L"][c], out=logits[rows])
-            logits[rows] += p["l"][c]
-        own_loss, d = _softmax(logits, leaf % LEAVES, n)
-        for c, rows in runs_:
-            g["L"][c], g["l"][c] = hidden[rows].T @ d[rows], ones[rows] @ d[rows]
-            dhidden[rows] += d[rows] @ p["L"][c].T
-        dhidden *= hidden > 0
-        g["h"] = ones @ dhidden
-        # Of each scored place the gradients by its key, value, query and own part.
-        dp = np.zeros((len(inputs), STEP, WIDTH), np.float32)
-        dp.reshape(-1, WIDTH)[held] = dhidden
-        ds = dp @ v.transpose(0, 2, 1)
-        ds -= ((ds * a) @ np.ones(WINDOW, np.float32))[:, :, None]
-        ds *= a
-        back = np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        by_slot = np.ones(len(ds), np.float32) @ ds.reshape(len(ds), STEP * WINDOW)
-        g["d"] = np.bincount(np.maximum(back, 0).ravel(), by_slot, minlength=WINDOW).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(WIDTH))
-        dseen = np.empty((len(inputs), WINDOW, 2 * WIDTH), np.float32)
-        dseen[..., :WIDTH] = ds.transpose(0, 2, 1) @ q
-        dseen[..., WIDTH:] = a.transpose(0, 2, 1) @ dp
-        each = np.concatenate([dseen[:, context:], ds @ k, dp], axis=2)
-        # A window that sees what the one before it scores, as in the pass, adds to that one's rows.
-        alone = np.ones(len(inputs), bool)
-        if STEP == context:
-            alone[1:] = (inputs[1:, :context] != here[:-1]).any(axis=1)
-            after = ~alone[1:]
-            if after.all():
-                each[:-1, :, : 2 * WIDTH] += dseen[1:, :context]
-            elif after.any():
-                each[:-1, :, : 2 * WIDTH][after] += dseen[1:, :context][after]
-        alone &= ~unseen[:, :context].all(axis=1)  # nothing is seen there
-        total = np.zeros((len(p["E"]), 4 * WIDTH), np.float32)
-        _added(total, here, each)
-        _added(total, inputs[alone, :context], dseen[alone, :context])
-        g["E"], by_kind = total @ joint.T, p["E"].T @ total
-        g["K"], g["V"], g["Q"], g["R"] = (by_kind[:, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
-        return loss + own_loss, g
+            np.matmul(hidden[rows], by_leaf[c], out=logits[rows])
+        return logits, runs_
 
     def log10(self, ids: np.ndarray, counts: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
         """log10 of the probability of each run of ids, every id scored once in its window.
@@ -253,9 +295,8 @@ class Attention:
         ends = np.searchsorted(where, np.arange(0, len(before) + BLOCK, BLOCK))
         for k, at in enumerate(range(0, len(before) - (WINDOW - STEP), BLOCK)):
             some = slice(ends[k], ends[k + 1])
-            held = where[some] - at
-            hidden = self.hidden(before[at : at + BLOCK + WINDOW - STEP], number[at // STEP : (at + BLOCK) // STEP], tables)[held]
-            found = self.log_leaf(hidden, leaf[some])
+            hidden = self.hidden(before[at : at + BLOCK + WINDOW - STEP], number[at // STEP : (at + BLOCK) // STEP], tables)
+            found = self.log_leaf(hidden, leaf[some], where[some] - at)
             if self.trust:
                 follows = self.follows.ravel()[own[some].astype(np.int64) * self.follows.shape[1] + leaf[some]]
                 found = np.log(np.float32(1 - self.trust) * np.exp(found) + np.float32(self.trust) * follows)
@@ -263,73 +304,55 @@ class Attention:
         return sums(total, counts) / np.log(10)
 
     def hidden(self, before: np.ndarray, number: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
-        """The h of every place of the steps laid out behind WINDOW - STEP places of context, STEP rows for each.
+        """What goes into h at every place of the steps laid out behind WINDOW - STEP places of context, STEP rows for each.
 
         `number` is each step's number in its run; what lies before the first is not seen.
         """
-        weights, values, owns = tables
-        size, context = len(values), WINDOW - STEP
-        back = np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        decay = np.where(back < 0, 0, np.exp(self.p["d"][np.maximum(back, 0)] - self.p["d"].max())).astype(np.float32)
-        first = decay * (np.arange(WINDOW) >= context)
-        out, ones = np.empty((len(number) * STEP, WIDTH), np.float32), np.ones(WINDOW, np.float32)
-        for at in range(0, len(number), CHUNK // STEP):
-            n = min(CHUNK // STEP, len(number) - at)
-            part = before[at * STEP : (at + n) * STEP + context]
-            seen = np.lib.stride_tricks.sliding_window_view(part, WINDOW)[::STEP]
-            own = part[context:].reshape(n, STEP)
-            a = weights[own[:, :, None].astype(np.int64) * size + seen[:, None, :]]
-            a *= decay
-            begin = number[at : at + n] == 0
-            if begin.any():
-                a[begin] *= first > 0
-            total = a.reshape(-1, WINDOW) @ ones
-            if total.min() < 1e-30:  # all that is seen weighs next to nothing beside the heaviest unseen
-                self._rescaled(a, total, own, seen, begin, back)
-            a /= total.reshape(n, STEP, 1)
-            value = values[part]
-            views = np.lib.stride_tricks.sliding_window_view(value, (WINDOW, WIDTH))[::STEP, 0]
-            mixed_in = a @ views
-            mixed_in += owns[own]
-            np.maximum(mixed_in.reshape(-1, WIDTH), 0, out=out[at * STEP : (at + n) * STEP])
-        return out
-
-    def _rescaled(self, a: np.ndarray, total: np.ndarray, own: np.ndarray, seen: np.ndarray, begin: np.ndarray, back: np.ndarray) -> None:
-        """Weights of rows that vanish in single precision, from their scores."""
-        for row in np.flatnonzero(total < 1e-30):
-            k, j = divmod(int(row), STEP)
-            e = self.p["E"].astype(np.float64)
-            scores = (e[own[k, j]] @ self.p["Q"]) @ (e[seen[k]] @ self.p["K"]).T / np.sqrt(WIDTH) + self.p["d"][np.maximum(back[j], 0)]
-            scores = np.where((back[j] < 0) | (begin[k] & (np.arange(WINDOW) < WINDOW - STEP)), -np.inf, scores)
-            a[k, j] = np.exp(scores - scores.max())
-            total[row] = a[k, j].sum()
+        seen = np.lib.stride_tricks.sliding_window_view(before, WINDOW)[::STEP]
+        unseen = (number == 0)[:, None] & (np.arange(WINDOW) < WINDOW - STEP)
+        out = np.empty((len(number), STEP, WIDTH), np.float32)
+        for at in range(0, len(number), PART):
+            some = slice(at, at + PART)
+            out[some] = self.attended(seen[some].astype(np.intp), unseen[some], tables)[1]
+        return out.reshape(-1, WIDTH)
 
     def in_windows(self, inputs: np.ndarray, unseen: np.ndarray) -> np.ndarray:
         """The h of every scored place of whole windows, as training sees them."""
         p, e = self.p, self.p["E"][inputs]
         own = e[:, WINDOW - STEP :]
-        a = self.weights((own @ p["Q"]) @ (e @ p["K"]).transpose(0, 2, 1), unseen)
+        a = self.weights((own @ p["Q"]) @ (e @ p["K"]).transpose(0, 2, 1) * np.float32(1 / np.sqrt(WIDTH)), unseen)
         return np.maximum(own @ p["R"] + a @ (e @ p["V"]) + p["h"], 0)
 
-    def log_leaf(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Log of the probability that attention alone gives to the leaf of each row."""
-        p, order = self.p, np.argsort(leaf.astype(np.int16), kind="stable")
-        rows, leaf = hidden[order], leaf[order].astype(np.int64)
-        within = np.empty((len(rows), LEAVES), np.float32)
-        ends = np.searchsorted(leaf, np.arange(CLASSES + 1) * LEAVES)
-        for c in np.flatnonzero(np.diff(ends)):
-            own = slice(ends[c], ends[c + 1])
-            np.matmul(rows[own], p["L"][c], out=within[own])
-            within[own] += p["l"][c]
+    def log_leaf(self, hidden: np.ndarray, leaf: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Log of the probability that attention alone gives to each leaf; `at` names its row of `hidden`, if not the same."""
+        order = np.argsort(leaf.astype(np.int16), kind="stable")
+        rows, leaf = _with_ones(hidden, order if at is None else at[order]), leaf[order].astype(np.int64)
+        by_class, by_leaf = self.outputs()
         out = np.empty(len(rows))
-        out[order] = _log_softmax(rows @ p["W"] + p["b"], leaf // LEAVES) + _log_softmax(within, leaf % LEAVES)
+        out[order] = _log_softmax(rows @ by_class, leaf // LEAVES) + _log_softmax(self._leaves(rows, leaf, by_leaf)[0], leaf % LEAVES)
         return out
 
 
+def _with_ones(pre: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """h of some rows, and a constant 1 behind it."""
+    out = np.ones((len(some), WIDTH + 1), np.float32)
+    np.maximum(pre.take(some, axis=0), 0, out=out[:, :WIDTH])
+    return out
+
+
 def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the beginning of the row of `total` that it names."""
-    place = at.astype(np.int64)[..., None] * total.shape[1] + np.arange(rows.shape[-1])
-    np.add.at(total.reshape(-1), place.ravel(), rows.ravel())  # one axis: many times as fast
+    """Adds each row to the beginning of the row of `total` that it names; rows that many name are summed first."""
+    at, rows = at.ravel(), rows.reshape(-1, rows.shape[-1])
+    width, order = rows.shape[1], np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    begins = np.flatnonzero(np.diff(at, prepend=-1))
+    n = np.diff(begins, append=len(at))
+    often, rows, ones = n >= OFTEN, rows.take(order, axis=0), np.ones(n.max(initial=0), np.float32)
+    for k, begin, size in zip(at[begins[often]].tolist(), begins[often].tolist(), n[often].tolist()):
+        total[k, :width] += ones[:size] @ rows[begin : begin + size]
+    rest = np.flatnonzero(np.repeat(~often, n))
+    place = at[rest, None].astype(np.int64) * total.shape[1] + np.arange(width)
+    np.add.at(total.reshape(-1), place.ravel(), rows.take(rest, axis=0).ravel())  # one axis: many times as fast
 
 
 def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -345,17 +368,17 @@ def _log_softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _softmax(logits: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.ndarray]:
     """Cross-entropy over n rows and its gradient by the logits."""
-    ones, rows = np.ones(logits.shape[1], np.float32), np.arange(len(logits))
+    ones, at = np.ones(logits.shape[1], np.float32), np.arange(len(logits)) * logits.shape[1] + target
     prob = np.exp(logits)
     total = prob @ ones
     if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < np.inf):  # as in `_log_softmax`
         prob = np.exp(logits - logits.max(axis=1, keepdims=True))
         total = prob @ ones
-    prob /= total[:, None]
-    loss = -float(np.log(prob[rows, target] + 1e-12).sum()) / n
-    prob[rows, target] -= 1
-    prob *= np.float32(1 / n)
-    return loss, prob
+    prob *= (np.float32(1 / n) / total)[:, None]
+    flat = prob.ravel()
+    chosen = flat[at]
+    flat[at] = chosen - np.float32(1 / n)
+    return -float(np.log(chosen * np.float32(n) + 1e-12).sum()) / n, prob
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray, portion: int = 4_096):
@@ -387,7 +410,7 @@ def windows_at(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray, some):
 def _streams(texts: pa.Array, tokenizer: str):
     """Subword ids of the words of each text with an end, and the words behind them."""
     codes, counts, distinct = words(texts)
-    flat, lengths = encoder(tokenizer).words([" " + w for w in distinct.to_pylist()])
+    flat, lengths = encoder(tokenizer).words(distinct)
     each = lengths[codes]
     body = flat[np.repeat(starts_of(lengths)[codes], each) + spans(each)].astype(np.int64)
     per_text = sums(each.astype(np.float64), counts).astype(np.int64)
