@@ -24,10 +24,9 @@ SLOT_BITS = 20
 ENCODED = "doc_id bigint, ids array<int>"
 
 
-def _points(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all units, 0 for a space mark behind the first place; UTF-8 widths; where units end."""
-    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
+def _points(units: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of units of these sizes, 0 for a space mark behind the first place; UTF-8 widths; where units end."""
+    points = np.frombuffer(units.encode("utf-32-le"), np.uint32).astype(np.uint64)
     wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
     opens = np.zeros(len(points), bool)
     opens[starts_of(sizes)] = True
@@ -55,7 +54,7 @@ class Lattice:
         self.log_p[plain] = -np.log(np.arange(len(plain)) + FLAT)
         # Every beginning of a piece as a hash, with the piece that ends there or -1.
         kept = {i: p for i, p in held.items() if SPACE not in p[1:]}
-        points, _, ends = _points(list(kept.values()))
+        points, _, ends = _points("".join(kept.values()), np.array(list(map(len, kept.values()))))
         begin = np.concatenate([[0], ends[:-1]])
         numbers, key, prefixes, self.longest = np.array(list(kept)), np.zeros(len(kept), np.uint64), {}, int((ends - begin).max())
         for length in range(1, self.longest + 1):
@@ -74,32 +73,36 @@ class Lattice:
     def _place(self, key: np.ndarray) -> np.ndarray:
         """Where each hash is among the beginnings, if it is one: its slot's first place, and on from there."""
         at = self.slots[(key >> np.uint64(64 - SLOT_BITS)).view(np.int64)]
+        behind, last = np.flatnonzero(self.prefixes[at] < key), len(self.prefixes) - 1
         for _ in range(self.crowded - 1):
-            at += self.prefixes[at] < key
-            np.minimum(at, len(self.prefixes) - 1, out=at)
+            if not len(behind):
+                break
+            at[behind] = np.minimum(at[behind] + 1, last)
+            behind = behind[self.prefixes[at[behind]] < key[behind]]
         return at
 
     def arcs(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in the units: first character, length, id; -1 where a character goes by its bytes."""
         active, key = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        room = ends - active
         alone = np.ones(len(points), bool)
         found = []
         for length in range(1, self.longest + 1):
-            inside = active + length <= ends[active]
-            active, key = active[inside], key[inside]
-            key = mixed(key ^ points[active + length - 1])
+            key = mixed(key ^ points[active + (length - 1)])
             at = self._place(key)
-            goes_on = self.prefixes[at] == key
-            active, key, at = active[goes_on], key[goes_on], at[goes_on]
-            whole = self.piece_at[at] >= 0
-            found.append((active[whole], np.full(int(whole.sum()), length), self.piece_at[at][whole]))
+            goes_on = np.flatnonzero(self.prefixes[at] == key)
+            active, key, room, piece = active[goes_on], key[goes_on], room[goes_on], self.piece_at[at[goes_on]]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((active[whole], np.full(len(whole), length), piece[whole]))
             if length == 1:
                 alone[active[whole]] = False
+            inside = np.flatnonzero(room > length)
+            active, key, room = active[inside], key[inside], room[inside]
         bare = np.flatnonzero(alone)
         found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def sample(self, texts: pa.Array | list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation of each text drawn by its probability: ids one after the other, ids per text.
 
         Forward filtering sums, over all distinct units at once, the probabilities of the ways to
@@ -107,54 +110,52 @@ class Lattice:
         into a position is taken by its share of that sum. Draw t of a text's unit u is a hash of
         seed, key, u and t, so a text with its key always gets the same segmentation.
         """
-        unit_ids: dict[str, int] = {}
-        codes, per_text = [], np.zeros(len(texts), np.int64)
-        for row, text in enumerate(texts):
-            if text:
-                own = [unit_ids.setdefault(u, len(unit_ids)) for u in text.split(" ")]
-                per_text[row] = len(own)
-                codes.extend(own)
-        code = np.array(codes, np.int64)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(texts.filter(pc.greater(pc.binary_length(texts), 0)), " ")
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        code, unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         if not len(code):
             return np.zeros(0, np.int32), per_text
-        units = [SPACE + u for u in unit_ids]
-        points, wide, unit_ends = _points(units)
-        sizes = np.diff(unit_ends, prepend=0)
-        unit_of = np.repeat(np.arange(len(units)), sizes)
+        units = SPACE + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(unit)], pa.int32()), unit.cast(pa.string())), SPACE)[0].as_py()
+        sizes = pc.utf8_length(unit).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        points, wide, unit_ends = _points(units, sizes)
+        unit_of = np.repeat(np.arange(len(unit)), sizes)
         first, length, piece = self.arcs(points, unit_ends[unit_of])
-        log_p = np.where(piece >= 0, self.log_p[piece], wide[first] * self.byte_log_p)
         # Positions: one before each character of a unit and one behind the last.
-        tail = first + unit_of[first]
-        head = tail + length
-        forward = self._forward(tail, head, log_p, starts_of(sizes + 1), head - starts_of(sizes + 1)[unit_of[first]], len(points) + len(units))
+        head = first + unit_of[first] + length
         by_end = np.argsort(head, kind="stable")
-        first, length, piece, tail, head, log_p = (x[by_end] for x in (first, length, piece, tail, head, log_p))
+        first, length, piece, head = (x[by_end] for x in (first, length, piece, head))
+        tail, log_p = head - length, np.where(piece >= 0, self.log_p[piece], wide[first] * self.byte_log_p)
+        opens = starts_of(sizes + 1)
+        forward = self._forward(tail, head, log_p, opens, head - opens[unit_of[first]], len(points) + len(unit))
         upto = np.cumsum(np.exp(forward[tail] + log_p - forward[head]))
-        each = np.bincount(head, minlength=len(points) + len(units))
+        each = np.bincount(head, minlength=len(points) + len(unit))
         ends_at = np.cumsum(each)
         upto -= np.concatenate([[0.0], upto])[(ends_at - each)[head]]  # of each arc and those before it
         opens = ends_at - each  # arcs into a position follow each other
         base = mixed(np.repeat(mixed(keys.astype(np.uint64) ^ mixed(np.full(1, seed, np.uint64))), per_text) + spans(per_text).astype(np.uint64))
-        left = sizes[code].copy()
+        left = sizes[code]
         where = starts_of(sizes + 1)[code] + left
-        active, drawn, turn = np.arange(len(code)), [], 0
+        # Of the units that are not through: their numbers, places, what is left of them, and the first numbers of their draws.
+        active, drawn, turn, draws = np.arange(len(code)), [], 0, base
         while len(active) and turn < LONG:
-            u = (mixed(base[active] + np.uint64(turn)) >> np.uint64(11)) * 2.0**-53
-            now = where[active]
-            arc = opens[now]
-            beyond = np.flatnonzero(each[now] > 1)
+            u = (mixed(draws + np.uint64(turn)) >> np.uint64(11)) * 2.0**-53
+            arc = opens[where]
+            beyond = np.flatnonzero(each[where] > 1)
             while len(beyond):  # on to the next arc while the share up to this one is passed
                 beyond = beyond[upto[arc[beyond]] <= u[beyond]]
-                beyond = beyond[arc[beyond] + 1 < ends_at[now[beyond]]]
+                beyond = beyond[arc[beyond] + 1 < ends_at[where[beyond]]]
                 arc[beyond] += 1
             drawn.append((active, arc))
-            where[active] -= length[arc]
-            left[active] -= length[arc]
-            active = active[left[active] > 0]
+            size = length[arc]
+            on = np.flatnonzero(left > size)
+            active, draws, where, left = active[on], draws[on], where[on] - size[on], left[on] - size[on]
             turn += 1
         turns = [np.full(len(a), t) for t, (a, _) in enumerate(drawn)]
-        for one in active.tolist():  # what is left of long units, arc by arc
-            arcs = self._drawn_on(int(where[one]), int(left[one]), base[one], turn, opens, ends_at, upto, length)
+        for k, one in enumerate(active.tolist()):  # what is left of long units, arc by arc
+            arcs = self._drawn_on(int(where[k]), int(left[k]), draws[k], turn, opens, ends_at, upto, length)
             drawn.append((np.full(len(arcs), one), np.array(arcs, np.int64)))
             turns.append(turn + np.arange(len(arcs)))
         occurrence, arc = np.concatenate([a for a, _ in drawn]), np.concatenate([b for _, b in drawn])
@@ -166,7 +167,7 @@ class Lattice:
         out = np.repeat(piece[ordered], n).astype(np.int32)
         bare = out < 0
         if bare.any():
-            data = np.frombuffer("".join(units).encode(), np.uint8)
+            data = np.frombuffer(units.encode(), np.uint8)
             at = np.repeat(starts_of(wide)[first[ordered]], n) + spans(n)
             out[bare] = self.byte_ids[data[at[bare]]]
         per_unit = sums(n.astype(np.float64), taken)
@@ -193,10 +194,14 @@ class Lattice:
 
     @staticmethod
     def _forward(tail, head, log_p, opens, local, positions: int) -> np.ndarray:
-        """Log of the summed probability of all ways to each position, position after position of the units."""
+        """Log of the summed probability of all ways to each position, position after position of the units.
+
+        Arcs come in order of their heads; `local` is a head's place in its unit.
+        """
         forward = np.full(positions, -np.inf)
         forward[opens] = 0.0
-        order = np.lexsort((head, local))
+        local = np.minimum(local, LONG + 1).astype(np.uint16)  # sorted by their digits, since they are short
+        order = np.argsort(local, kind="stable")
         tail, head, log_p = tail[order], head[order], log_p[order]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(local)[1:])])
         for begin, end in zip(bounds[:-1][:LONG].tolist(), bounds[1:][:LONG].tolist()):
@@ -228,8 +233,7 @@ class Lattice:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of runs of ids; the space that encoding put before each is taken away."""
-        text_of = self.text_of
-        parts = [text_of[i] for i in ids.tolist()]
+        parts = list(map(self.text_of.__getitem__, ids.tolist()))
         ends = np.cumsum(counts).tolist()
         return [b"".join(parts[end - n : end])[1:].decode() for end, n in zip(ends, counts.tolist())]
 
@@ -240,7 +244,7 @@ def lattice(path: str) -> Lattice:
 
 def _encoded(part: pa.RecordBatch, model: Lattice, seed: int) -> tuple[np.ndarray, np.ndarray]:
     keys = pc.fill_null(part.column("doc_id"), -1).to_numpy(zero_copy_only=False)
-    return model.sample(part.column("text").to_pylist(), keys, seed)
+    return model.sample(part.column("text"), keys, seed)
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
