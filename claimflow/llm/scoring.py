@@ -31,7 +31,7 @@ PASS_SHARE, PASS_BATCH, PASS_LINES, PASS_RATE = 1, 1_024, 1 << 14, 2e-3
 # Windows whose attention is held at once: what does not fit the processor's cache costs more to move than to work out.
 PART = 128
 # Rows of a step that name the same embedding, from which on they are summed in one product.
-OFTEN = 16
+OFTEN = 8
 # Places that are scored at once.
 BLOCK = 1 << 13
 # Numbers of the parameters that travel in one row when tasks' models are averaged.
