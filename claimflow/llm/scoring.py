@@ -26,12 +26,14 @@ WIDTH, OWN, CLASSES, LEAVES, GROUPS = 32, 2_000, 32, 32, 16
 TOP = CLASSES * LEAVES - GROUPS
 # Steps of the attention weights and windows a step; as many windows are drawn from all training texts.
 STEPS, BATCH = 1_000, 256
-# After that a pass over all training texts: one window in so many (1: every one), windows a step, and those laid out at once.
-PASS_SHARE, PASS_BATCH, PASS_LINES, PASS_RATE = 1, 1_024, 1 << 14, 2e-3
+# After that a pass over all training texts: one step in so many (1: every one), windows a step.
+PASS_SHARE, PASS_BATCH, PASS_RATE = 1, 1_024, 2e-3
 # Windows whose attention is held at once: what does not fit the processor's cache costs more to move than to work out.
 PART = 128
 # Rows of a step that name the same embedding, from which on they are summed in one product.
 OFTEN = 8
+# Bytes of text whose words are encoded together: most words come again in the next portion.
+ENCODED = 32 << 20
 # Places that are scored at once.
 BLOCK = 1 << 13
 # Numbers of the parameters that travel in one row when tasks' models are averaged.
@@ -70,8 +72,7 @@ def tokenised(rows: DataFrame, tokenizer: str) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for part in portions(batch, limit=2 << 20):
-                ids, per_text, *_ = _streams(part.column("text"), tokenizer)
+            for part, ids, per_text in _streams(batch, tokenizer):
                 ends = np.concatenate([[0], np.cumsum(per_text * 2)]).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
                 yield pa.RecordBatch.from_arrays([pa.array(_row_ids(part)), part.column("learned"), part.column("scored"), binary], ["row", "learned", "scored", "ids"])
@@ -170,112 +171,104 @@ class Attention:
         keys, values, queries, owns = (np.ascontiguousarray(made[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(4))
         return keys, values, queries, owns + self.p["h"]
 
-    def attended(self, inputs: np.ndarray, unseen: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the slots of whole windows, and what goes into h at every scored place."""
-        keys, values, queries, owns = tables
-        here = inputs[:, WINDOW - STEP :]
-        a = self.weights(queries.take(here, axis=0) @ keys.take(inputs, axis=0).transpose(0, 2, 1), unseen)
-        pre = a @ values.take(inputs, axis=0)
-        pre += owns.take(here, axis=0)
-        return a, pre
+    def attended(self, queries: np.ndarray, keys: np.ndarray, values: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the slots of whole windows, and what they make of the values at every scored place."""
+        a = self.weights(queries @ keys.transpose(0, 2, 1), unseen)
+        return a, a @ values
 
     def step(self, inputs: np.ndarray, unseen: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-        """Mean loss of the leaves and its gradients.
-
-        Keys, values, queries and own parts are made once for every embedding and looked up, and their
-        gradients are added up by embedding before they go on to the weights.
+        """Mean loss of the leaves and its gradients."""
+        context = WINDOW - STEP
+        # A window that sees nothing before it may follow any other.
+        follow = unseen[1:, :context].all(axis=1) | (inputs[1:, :context] == inputs[:-1, -context:]).all(axis=1)
+        if STEP == context and follow.all():
+            flat = np.concatenate([inputs[:1, :context].ravel(), inputs[:, context:].ravel()])
+            return self.along(flat, STEP, unseen, targets, valid)
+        return self.along(inputs.ravel(), WINDOW, unseen, targets, valid)
+
+    def along(self, flat: np.ndarray, stride: int, unseen: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
+        """Mean loss and gradients of windows that begin `stride` apart in one run of embeddings.
+
+        At STEP apart a window's context is what the one before it scores: a slot is looked up once, and
+        its gradients meet there. Keys, values, queries and own parts are made once for every embedding
+        and looked up. The gradients of a place by all four go on to its embedding while they are in the
+        cache, so that only one row of WIDTH a place is added up by embedding.
         """
-        p, context = self.p, WINDOW - STEP
-        named = np.bincount(inputs.ravel(), minlength=len(p["E"])) > 0
-        some_e, place = np.flatnonzero(named), np.cumsum(named) - 1
-        tables = keys, values, queries, _ = self.tables(some_e)
-        inputs = place.take(inputs)
-        here, parts = inputs[:, context:], [slice(at, at + PART) for at in range(0, len(inputs), PART)]
-        a, pre = np.empty((len(inputs), STEP, WINDOW), np.float32), np.empty((len(inputs), STEP, WIDTH), np.float32)
+        p, context, n = self.p, WINDOW - STEP, len(unseen)
+        keys, values, queries, owns = self.tables()
+        here = _windows_of(flat, stride, n)[:, context:]
+        key, value = (_windows_of(x.take(flat, axis=0), stride, n) for x in (keys, values))
+        query, parts = queries.take(here, axis=0), [slice(at, min(at + PART, n)) for at in range(0, n, PART)]
+        a, pre = np.empty((n, STEP, WINDOW), np.float32), owns.take(here, axis=0)
         for some in parts:
-            a[some], pre[some] = self.attended(inputs[some], unseen[some], tables)
+            a[some], seen = self.attended(query[some], key[some], value[some], unseen[some])
+            pre[some] += seen
         held = np.flatnonzero(valid)
         leaf = targets.ravel()[held]
         order = np.argsort(leaf.astype(np.int16), kind="stable")  # by class, so that a class is one run of rows
         held, leaf = held[order], leaf[order]
-        loss, dhidden, g = self._outputs(_with_ones(pre.reshape(-1, WIDTH), held), leaf)
-        # Of each scored place the gradients by its key, value, query and own part.
-        each = np.empty((len(inputs), STEP, 4 * WIDTH), np.float32)
+        loss, dhidden, g = self._outputs(_hidden(pre.reshape(-1, WIDTH), held), leaf)
         dpre = pre
-        dpre.fill(0)
+        if len(held) < n * STEP:
+            dpre.fill(0)
         dpre.reshape(-1, WIDTH)[held] = dhidden
-        # A window that sees what the one before it scores, as in the pass, adds to that one's rows; one that sees
-        # nothing there adds zeros.
-        alone = ~unseen[:, :context].all(axis=1)
-        if STEP == context:
-            alone[1:] &= (inputs[1:, :context] != here[:-1]).any(axis=1)
-        by_slot, lone, apart = np.zeros(STEP * WINDOW, np.float32), [], alone.copy()
-        apart[:1] = True  # no window is before it
+        to_e = np.vstack([p["K"].T, p["V"].T, p["Q"].T * np.float32(1 / np.sqrt(WIDTH)), p["R"].T])
+        by_e, by_kind = np.zeros((len(flat), WIDTH), np.float32), np.zeros((WIDTH, 4 * WIDTH), np.float32)
+        by_slot, ones = np.zeros(STEP * WINDOW, np.float32), np.ones(max(WINDOW, PART), np.float32)
         for some in parts:
-            seen, dp = inputs[some], dpre[some]
-            ds = dp @ values.take(seen, axis=0).transpose(0, 2, 1)
-            ds -= ((ds * a[some]) @ np.ones(WINDOW, np.float32))[:, :, None]
+            dp, m = dpre[some], some.stop - some.start
+            ds = dp @ value[some].transpose(0, 2, 1)
+            ds -= ((ds * a[some]) @ ones[:WINDOW])[:, :, None]
             ds *= a[some]
-            by_slot += np.ones(len(ds), np.float32) @ ds.reshape(len(ds), STEP * WINDOW)
-            dseen = np.empty((len(seen), WINDOW, 2 * WIDTH), np.float32)
-            np.matmul(ds.transpose(0, 2, 1), queries.take(here[some], axis=0), out=dseen[..., :WIDTH])
-            np.matmul(a[some].transpose(0, 2, 1), dp, out=dseen[..., WIDTH:])
-            each[some, :, : 2 * WIDTH] = dseen[:, context:]
-            np.matmul(ds, keys.take(seen, axis=0), out=each[some, :, 2 * WIDTH : 3 * WIDTH])
-            each[some, :, 3 * WIDTH :] = dp
-            skipped = int(apart[some.start])
-            if not apart[some][skipped:].any():
-                each[some.start + skipped - 1 : some.start + len(seen) - 1, :, : 2 * WIDTH] += dseen[skipped:, :context]
-            else:
-                follows = np.flatnonzero(~apart[some])
-                each[some.start - 1 + follows, :, : 2 * WIDTH] += dseen[follows, :context]
-            if alone[some].any():
-                lone.append(dseen[alone[some], :context])
-        total = np.zeros((len(some_e), 4 * WIDTH), np.float32)
-        _added(total, here, each)
-        if lone:
-            _added(total, inputs[alone, :context], np.concatenate(lone))
-        total[:, 2 * WIDTH : 3 * WIDTH] *= np.float32(1 / np.sqrt(WIDTH))
+            by_slot += ones[:m] @ ds.reshape(m, STEP * WINDOW)
+            # Gradients of each slot by its key and value, and of each scored place by its query and own part.
+            slots = slice(some.start * stride, (some.stop - 1) * stride + WINDOW)
+            each = np.empty((slots.stop - slots.start, 4 * WIDTH), np.float32)
+            seen = _windows_of(each, stride, m)
+            scored, around = seen[:, context:], seen[:, :context]
+            np.matmul(ds, key[some], out=scored[..., 2 * WIDTH : 3 * WIDTH])
+            scored[..., 3 * WIDTH :] = dp
+            np.matmul(ds[..., context:].transpose(0, 2, 1), query[some], out=scored[..., :WIDTH])
+            np.matmul(a[some, :, context:].transpose(0, 2, 1), dp, out=scored[..., WIDTH : 2 * WIDTH])
+            alone = around if stride == WINDOW else around[:1]
+            alone.fill(0)
+            around[..., :WIDTH] += ds[..., :context].transpose(0, 2, 1) @ query[some]
+            around[..., WIDTH : 2 * WIDTH] += a[some, :, :context].transpose(0, 2, 1) @ dp
+            by_e[slots] += each @ to_e
+            by_kind += _product(p["E"].take(flat[slots], axis=0), each)
+        g["E"] = np.zeros_like(p["E"])
+        _added(g["E"], flat, by_e)
         g["d"] = np.bincount(np.maximum(BACK, 0).ravel(), by_slot, minlength=WINDOW).astype(np.float32)
-        g["E"], by_kind = np.zeros_like(p["E"]), p["E"][some_e].T @ total
-        g["E"][some_e] = total @ np.hstack([p["K"], p["V"], p["Q"], p["R"]]).T
+        by_kind[:, 2 * WIDTH : 3 * WIDTH] *= np.float32(1 / np.sqrt(WIDTH))
         g["K"], g["V"], g["Q"], g["R"] = (by_kind[:, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
         return loss, g
 
-    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights from h and a constant 1 to the classes, and to the leaves of each class."""
-        p = self.p
-        return np.vstack([p["W"], p["b"]]), np.concatenate([p["L"], p["l"][:, None]], axis=1)
-
     def _outputs(self, hidden: np.ndarray, leaf: np.ndarray) -> tuple[float, np.ndarray, dict]:
-        """Mean loss of leaves in their order, its gradient by what goes into h, and those by the weights behind.
-
-        `hidden` is h and a constant 1.
-        """
+        """Mean loss of leaves in their order, its gradient by what goes into h, and those by the weights behind."""
         p, n = self.p, max(len(leaf), 1)
-        g = {"L": np.zeros_like(p["L"]), "l": np.zeros_like(p["l"])}
-        by_class, by_leaf = self.outputs()
-        loss, d = _softmax(hidden @ by_class, leaf // LEAVES, n)
-        both, dhidden = hidden.T @ d, d @ p["W"].T
-        g["W"], g["b"] = both[:WIDTH], both[WIDTH]
-        logits, runs_ = self._leaves(hidden, leaf, by_leaf)
+        g, ones = {"L": np.zeros_like(p["L"]), "l": np.zeros_like(p["l"])}, np.ones(len(leaf), np.float32)
+        logits = hidden @ p["W"]
+        logits += p["b"]
+        loss, d = _softmax(logits, leaf // LEAVES, n)
+        g["W"], g["b"], dhidden = _product(hidden, d), ones @ d, d @ p["W"].T
+        logits, runs_ = self._leaves(hidden, leaf)
         own_loss, d = _softmax(logits, leaf % LEAVES, n)
         for c, rows in runs_:
-            both = hidden[rows].T @ d[rows]
-            g["L"][c], g["l"][c] = both[:WIDTH], both[WIDTH]
-            dhidden[rows] += d[rows] @ p["L"][c].T
-        dhidden *= hidden[:, :WIDTH] > 0
-        g["h"] = np.ones(len(leaf), np.float32) @ dhidden
+            part = d[rows]
+            g["L"][c], g["l"][c] = hidden[rows].T @ part, ones[rows] @ part
+            dhidden[rows] += part @ p["L"][c].T
+        dhidden *= hidden > 0
+        g["h"] = ones @ dhidden
         return loss + own_loss, dhidden, g
 
-    @staticmethod
-    def _leaves(hidden: np.ndarray, leaf: np.ndarray, by_leaf: np.ndarray) -> tuple[np.ndarray, list]:
+    def _leaves(self, hidden: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, list]:
         """Logits of each row among the leaves of its class, rows in order of their leaf; the rows of each class."""
         logits = np.empty((len(leaf), LEAVES), np.float32)
         ends = np.searchsorted(leaf, np.arange(CLASSES + 1) * LEAVES)
         runs_ = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends)).tolist()]
         for c, rows in runs_:
-            np.matmul(hidden[rows], by_leaf[c], out=logits[rows])
+            np.matmul(hidden[rows], self.p["L"][c], out=logits[rows])
+            logits[rows] += self.p["l"][c]
         return logits, runs_
 
     def log10(self, ids: np.ndarray, counts: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -284,23 +277,20 @@ class Attention:
         Runs are laid out in whole steps behind each other, so that windows are overlapping views
         of one array of embeddings, not copies.
         """
-        steps = -(-counts // STEP)
-        where = np.repeat(starts_of(steps) * STEP, counts) + spans(counts)
-        before = np.full(int(steps.sum()) * STEP + WINDOW - STEP, self.input_of[END], np.int32)
-        place = spans(counts)
-        own = np.full(len(ids), self.input_of[END], np.int32)
-        own[1:] = np.where(place[1:] == 0, own[1:], self.input_of[ids[:-1]]) if len(ids) else own[1:]
-        before[where + (WINDOW - STEP)] = own
-        leaf, total, number = self.leaf_of[ids], np.zeros(len(ids)), spans(steps)
+        if not len(ids):
+            return np.zeros(len(counts))
+        before, number, where = laid_out(ids, counts, self.input_of)
+        total = np.empty(len(ids))
         ends = np.searchsorted(where, np.arange(0, len(before) + BLOCK, BLOCK))
         for k, at in enumerate(range(0, len(before) - (WINDOW - STEP), BLOCK)):
             some = slice(ends[k], ends[k + 1])
-            hidden = self.hidden(before[at : at + BLOCK + WINDOW - STEP], number[at // STEP : (at + BLOCK) // STEP], tables)
-            found = self.log_leaf(hidden, leaf[some], where[some] - at)
+            seen, rows, own_ids = before[at : at + BLOCK + WINDOW - STEP], where[some] - at, ids[some]
+            leaf = self.leaf_of.take(own_ids)
+            found = self.log_leaf(self.hidden(seen, number[at // STEP : (at + BLOCK) // STEP], tables), leaf, rows)
             if self.trust:
-                follows = self.follows.ravel()[own[some].astype(np.int64) * self.follows.shape[1] + leaf[some]]
+                follows = self.follows.ravel().take(seen.take(rows + (WINDOW - STEP)) * self.follows.shape[1] + leaf)
                 found = np.log(np.float32(1 - self.trust) * np.exp(found) + np.float32(self.trust) * follows)
-            total[some] = found + self.log_share[ids[some]]
+            total[some] = found + self.log_share.take(own_ids)
         return sums(total, counts) / np.log(10)
 
     def hidden(self, before: np.ndarray, number: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -308,12 +298,15 @@ class Attention:
 
         `number` is each step's number in its run; what lies before the first is not seen.
         """
-        seen = np.lib.stride_tricks.sliding_window_view(before, WINDOW)[::STEP]
         unseen = (number == 0)[:, None] & (np.arange(WINDOW) < WINDOW - STEP)
         out = np.empty((len(number), STEP, WIDTH), np.float32)
-        for at in range(0, len(number), PART):
-            some = slice(at, at + PART)
-            out[some] = self.attended(seen[some].astype(np.intp), unseen[some], tables)[1]
+        keys, values, queries, owns = tables
+        for at in range(0, len(number), 4 * PART):  # scoring holds less for a window than a step does
+            n = min(4 * PART, len(number) - at)
+            flat = before[at * STEP : (at + n) * STEP + WINDOW - STEP]
+            key, value = (_windows_of(x.take(flat, axis=0), STEP, n) for x in (keys, values))
+            query, own = (x.take(flat[WINDOW - STEP :], axis=0).reshape(n, STEP, WIDTH) for x in (queries, owns))
+            np.add(self.attended(query, key, value, unseen[at : at + n])[1], own, out=out[at : at + n])
         return out.reshape(-1, WIDTH)
 
     def in_windows(self, inputs: np.ndarray, unseen: np.ndarray) -> np.ndarray:
@@ -326,32 +319,42 @@ class Attention:
     def log_leaf(self, hidden: np.ndarray, leaf: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Log of the probability that attention alone gives to each leaf; `at` names its row of `hidden`, if not the same."""
         order = np.argsort(leaf.astype(np.int16), kind="stable")
-        rows, leaf = _with_ones(hidden, order if at is None else at[order]), leaf[order].astype(np.int64)
-        by_class, by_leaf = self.outputs()
-        out = np.empty(len(rows))
-        out[order] = _log_softmax(rows @ by_class, leaf // LEAVES) + _log_softmax(self._leaves(rows, leaf, by_leaf)[0], leaf % LEAVES)
+        rows, leaf = _hidden(hidden, order if at is None else at[order]), leaf[order].astype(np.int64)
+        logits, out = rows @ self.p["W"], np.empty(len(rows), np.float32)
+        logits += self.p["b"]
+        out[order] = _log_softmax(logits, leaf // LEAVES) + _log_softmax(self._leaves(rows, leaf)[0], leaf % LEAVES)
         return out
 
 
-def _with_ones(pre: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """h of some rows, and a constant 1 behind it."""
-    out = np.ones((len(some), WIDTH + 1), np.float32)
-    np.maximum(pre.take(some, axis=0), 0, out=out[:, :WIDTH])
-    return out
+def _windows_of(rows: np.ndarray, stride: int, n: int) -> np.ndarray:
+    """n windows of WINDOW rows, `stride` rows apart, as a view."""
+    return np.ndarray((n, WINDOW, *rows.shape[1:]), rows.dtype, rows, 0, (stride * rows.strides[0], *rows.strides))
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, in parts of PART rows, which takes half the time of one long product."""
+    whole = len(x) // PART
+    cut = lambda z: z[: whole * PART].reshape(whole, PART, z.shape[1])
+    return np.matmul(cut(x).transpose(0, 2, 1), cut(y)).sum(axis=0) + x[whole * PART :].T @ y[whole * PART :]
+
+
+def _hidden(pre: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """h of some rows."""
+    out = pre.take(some, axis=0)
+    return np.maximum(out, 0, out=out)
 
 
 def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the beginning of the row of `total` that it names; rows that many name are summed first."""
-    at, rows = at.ravel(), rows.reshape(-1, rows.shape[-1])
-    width, order = rows.shape[1], np.argsort(at.astype(np.int16), kind="stable")
+    """Adds each row to the row of `total` that it names; rows that many name are summed first."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
     at = at[order]
     begins = np.flatnonzero(np.diff(at, prepend=-1))
     n = np.diff(begins, append=len(at))
     often, rows, ones = n >= OFTEN, rows.take(order, axis=0), np.ones(n.max(initial=0), np.float32)
     for k, begin, size in zip(at[begins[often]].tolist(), begins[often].tolist(), n[often].tolist()):
-        total[k, :width] += ones[:size] @ rows[begin : begin + size]
+        total[k] += ones[:size] @ rows[begin : begin + size]
     rest = np.flatnonzero(np.repeat(~often, n))
-    place = at[rest, None].astype(np.int64) * total.shape[1] + np.arange(width)
+    place = at[rest, None].astype(np.int64) * total.shape[1] + np.arange(total.shape[1])
     np.add.at(total.reshape(-1), place.ravel(), rows.take(rest, axis=0).ravel())  # one axis: many times as fast
 
 
@@ -381,6 +384,22 @@ def _softmax(logits: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.
     return -float(np.log(chosen * np.float32(n) + 1e-12).sum()) / n, prob
 
 
+def laid_out(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ids in whole steps behind each other: embeddings before each place, numbers of the steps in their run, places.
+
+    WINDOW - STEP places of context stand in front of all, so the place of an id's embedding before is that far on.
+    """
+    steps = -(-counts // STEP)
+    begins, own = starts_of(counts), starts_of(steps) * STEP
+    where = np.arange(len(ids)) + np.repeat(own - begins, counts)
+    before = np.full(int(steps.sum()) * STEP + WINDOW - STEP, input_of[END], np.intp)
+    seen = np.empty(len(ids), np.intp)
+    seen[1:] = input_of.take(ids[:-1])
+    seen[begins[counts > 0]] = input_of[END]
+    before[where + (WINDOW - STEP)] = seen
+    return before, spans(steps), where
+
+
 def windows(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray, portion: int = 4_096):
     """Windows over runs of ids: embeddings seen, slots before the run's begin, ids scored, which exist.
 
@@ -407,18 +426,26 @@ def windows_at(ids: np.ndarray, counts: np.ndarray, input_of: np.ndarray, some):
     return inputs, unseen, np.minimum(begin[:, None] + number, len(ids) - 1), valid
 
 
-def _streams(texts: pa.Array, tokenizer: str):
-    """Subword ids of the words of each text with an end, and the words behind them."""
-    codes, counts, distinct = words(texts)
-    flat, lengths = encoder(tokenizer).words(distinct)
-    each = lengths[codes]
-    body = flat[np.repeat(starts_of(lengths)[codes], each) + spans(each)].astype(np.int64)
-    per_text = sums(each.astype(np.float64), counts).astype(np.int64)
-    ids = np.full(len(body) + len(counts), END, np.int64)
-    held = np.ones(len(ids), bool)
-    held[np.cumsum(per_text + 1) - 1] = False
-    ids[held] = body
-    return ids, per_text + 1, codes, counts, distinct
+def _streams(batch: pa.RecordBatch, tokenizer: str):
+    """Portions of a batch, the subword ids of the words of each text with an end, and how many each text has.
+
+    A word is encoded once for all portions within ENCODED bytes of text.
+    """
+    for group in portions(batch, limit=ENCODED):
+        cut = [(part, *words(part.column("text"))) for part in portions(group, limit=2 << 20)]
+        coded = pa.concat_arrays([distinct for *_, distinct in cut]).dictionary_encode()
+        flat, lengths = encoder(tokenizer).words(coded.dictionary)
+        begins, ends = starts_of(lengths), np.cumsum([len(distinct) for *_, distinct in cut])
+        for (part, codes, counts, _), own in zip(cut, np.split(coded.indices.to_numpy(), ends[:-1])):
+            codes = own[codes]
+            each = lengths[codes]
+            body = flat[np.repeat(begins[codes], each) + spans(each)].astype(np.int64)
+            per_text = sums(each.astype(np.float64), counts).astype(np.int64)
+            ids = np.full(len(body) + len(counts), END, np.int64)
+            held = np.ones(len(ids), bool)
+            held[np.cumsum(per_text + 1) - 1] = False
+            ids[held] = body
+            yield part, ids, per_text + 1
 
 
 def _row_ids(part: pa.RecordBatch) -> np.ndarray:
@@ -482,7 +509,9 @@ class _Adam:
     def step(self, lines: np.ndarray, rate: float) -> None:
         unseen, valid = lines[:, :WINDOW] < 0, lines[:, WINDOW:] >= 0
         inputs, targets = np.where(unseen, self.model.input_of[END], lines[:, :WINDOW]), np.where(valid, lines[:, WINDOW:], 0)
-        _, gradients = self.model.step(inputs, unseen, targets, valid)
+        self.move(self.model.step(inputs, unseen, targets, valid)[1], rate)
+
+    def move(self, gradients: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
         m, s, p = self.m, self.s, self.model.p
         for k, g in gradients.items():
@@ -506,19 +535,29 @@ def passed(tokens: DataFrame, model: Attention) -> dict[str, np.ndarray]:
 
     def walked(batches):
         own = Attention(model.input_of, model.leaf_of, model.log_share, {k: x.copy() for k, x in model.p.items()})
-        adam, waiting, seen = _Adam(own), [], 0
+        adam, seen = _Adam(own), 0
+        context, first = WINDOW - STEP, np.arange(WINDOW) < WINDOW - STEP
+        # What no step has taken yet: embeddings behind their context, leaves (-1 beyond a text), numbers of the windows in their text.
+        before, leaves, number = np.full(context, own.input_of[END], np.intp), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+        def go_on(at: int, n: int) -> None:
+            targets = leaves[at * STEP : (at + n) * STEP]
+            unseen = (number[at : at + n] == 0)[:, None] & first
+            adam.move(own.along(before[at * STEP : (at + n) * STEP + context], STEP, unseen, targets, targets >= 0)[1], PASS_RATE)
+
         for _, ids, per_text in _runs(batches):
-            for first in range(0, int((-(-per_text // STEP)).sum()), PASS_LINES):
-                waiting.append(_drawn_lines(ids, per_text, own, slice(first, first + PASS_LINES, PASS_SHARE)))
-                if sum(map(len, waiting)) >= PASS_BATCH:
-                    lines = np.concatenate(waiting)
-                    for at in range(0, len(lines) - PASS_BATCH + 1, PASS_BATCH):
-                        adam.step(lines[at : at + PASS_BATCH], PASS_RATE)
-                    waiting, seen = [lines[len(lines) // PASS_BATCH * PASS_BATCH :]], seen + len(lines) // PASS_BATCH * PASS_BATCH
-        lines = np.concatenate(waiting) if waiting else np.zeros((0, WINDOW + STEP), "<i2")
-        if len(lines) >= PASS_BATCH // 4:  # fewer say too little for a step
-            adam.step(lines, PASS_RATE)
-            seen += len(lines)
+            more, numbers, where = laid_out(ids, per_text, own.input_of)
+            leaf = np.full(len(more) - context, -1, np.int32)
+            leaf[where] = own.leaf_of.take(ids)
+            before, leaves, number = (np.concatenate(x) for x in ((before, more[context:]), (leaves, leaf), (number, numbers)))
+            whole = len(number) // PASS_BATCH * PASS_BATCH
+            for at in range(0, whole, PASS_BATCH * PASS_SHARE):
+                go_on(at, PASS_BATCH)
+                seen += PASS_BATCH
+            before, leaves, number = before[whole * STEP :], leaves[whole * STEP :], number[whole:]
+        if len(number) >= PASS_BATCH // 4:  # fewer say too little for a step
+            go_on(0, len(number))
+            seen += len(number)
         if seen:
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype("<f4")
             slices = [flat[at : at + SLICE].tobytes() for at in range(0, len(flat), SLICE)]
